@@ -15,7 +15,7 @@ NOT_CONTRACTION = r"([\p{L}])([nN]['’][tT])($|[^\p{L}\p{M}\p{N}])"
 
 # Runs of two or more characters other than white space.
 CHUNK = r"[^\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}]{2,}"
-EDGE_PUNCTUATION = r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$"
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def tokenize(text: Column) -> Column:
@@ -35,7 +35,7 @@ def sentiment_words(text: Column) -> Column:
 
 
 def _bare(word: Column) -> Column:
-    bare = F.regexp_replace(word, EDGE_PUNCTUATION, "")
+    bare = F.btrim(word, F.lit(PUNCTUATION))
     return F.when(F.length(bare) > 1, bare).otherwise(word)
 
 

@@ -4,10 +4,12 @@ The polarity job follows the published rule set of Hutto & Gilbert, "VADER: A Pa
 Rule-based Model for Sentiment Analysis of Social Media Text" (ICWSM 2014). The lexicon is a
 table supplied by the caller with one row per lower-case token.
 
-Plan: each text is cut into words inside its row, every word takes its neighbours along, the
-words are exploded and looked up in the lexicon, and summed per text. All words of a text come
-from one input row, so the map-side half of the sum already leaves a single row per text: the
-only exchange moves one small row per text, never the words.
+Plan: each text is cut into words inside its row and every word takes its neighbours along.
+The words are exploded and joined to the lexicon, which drops all words without a valence;
+one empty word per text, which the lexicon has an entry for, carries the measures of the text
+through. The rest is summed per text. All words of a text come from one input row, so the
+map-side half of the sum already leaves a single row per text: the only exchange moves one
+small row per text, never the words.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skarn.functions.text import count_of, is_upper, sentiment_words, tokenize
+from skarn.sources.files import sql_literal
 
 # Words and weights of the published method.
 NEGATIONS = (
@@ -78,6 +81,13 @@ class PolarityRules:
     question_most: float = 0.96
     alpha: float = 15.0
 
+    @property
+    def looks_around(self) -> bool:
+        return self.boosters or self.negation or self.least
+
+
+# Stands for the text itself among its words; no word of a text is empty.
+EMPTY = ""
 
 CORE = PolarityRules(
     capitals=False, boosters=False, negation=False, least=False, contrast=False, emphasis=False
@@ -122,7 +132,7 @@ def polarity(
 def _words_in_context(
     df: DataFrame, rules: PolarityRules, id_col: str, text_col: str, keep: Sequence[str]
 ) -> DataFrame:
-    """One row per word with its neighbours; a text without words keeps one row of NULLs."""
+    """One row per word with its neighbours, and one for the empty word of each text (at -1)."""
     text = F.col(text_col)
     rows = df.where(text.isNotNull()).select(
         id_col,
@@ -140,93 +150,91 @@ def _words_in_context(
         lower = F.transform("word", F.lower)
         rows = rows.withColumn("turn", F.array_position(lower, rules.contrast_word) - 1)
     shifts = {}
-    if rules.boosters or rules.negation or rules.least:
+    if rules.looks_around:
+        # Element i + 1 of each array belongs to word i; element 0 to the empty word.
         for k in (1, 2, 3):
-            gap = F.array_repeat(F.lit(None).cast("string"), k)
-            shifts[f"back{k}"] = F.slice(F.concat(gap, "word"), F.lit(1), size)
-    if rules.boosters:
-        shifts["next1"] = F.when(size > 0, F.slice(F.concat("word", F.array(F.lit(None).cast("string"))), F.lit(2), size)).otherwise(F.col("word"))
-    rows = rows.withColumns(shifts) if shifts else rows
+            gap = F.array_repeat(F.lit(None).cast("string"), k + 1)
+            shifts[f"back{k}"] = F.slice(F.concat(gap, "word"), F.lit(1), size + 1)
+        shifts["next1"] = F.slice(F.concat(F.col("word"), F.array_repeat(F.lit(None).cast("string"), 1)), F.lit(1), size + 1)
+    rows = rows.withColumns({**shifts, "word": F.concat(F.array(F.lit(EMPTY)), "word")})
     zipped = F.arrays_zip("word", *shifts)
     others = [c for c in rows.columns if c != "word" and c not in shifts]
-    exploded = rows.select(*others, F.posexplode_outer(zipped).alias("at", "w"))
-    return exploded.select(*others, "at", *[F.col(f"w.{c}").alias(c) for c in ("word", *shifts)])
+    exploded = rows.select(*others, F.posexplode(zipped).alias("place", "w"))
+    return exploded.select(
+        *others, (F.col("place") - 1).alias("at"), *[F.col(f"w.{c}").alias(c) for c in ("word", *shifts)]
+    )
 
 
 def _look_up(words: DataFrame, lexicon: DataFrame, rules: PolarityRules) -> DataFrame:
-    """Valence of each word, and for words that have one, which neighbours are lexicon words."""
+    """The words that have a valence, and which of their neighbours are lexicon words."""
     table = lexicon.select(F.col("token").alias("_token"), F.col("valence").cast("double").alias("valence"))
-    found = words.join(table, F.lower("word") == F.col("_token"), "left").drop("_token")
-    if not (rules.boosters or rules.negation or rules.least):
+    empty = lexicon.sparkSession.sql(f"SELECT * FROM VALUES ('{EMPTY}', 0D) AS t(_token, valence)")
+    found = words.join(table.unionAll(empty), F.lower("word") == F.col("_token")).drop("_token")
+    if not rules.looks_around:
         return found
     for k in (1, 2, 3):
         known = lexicon.select(F.col("token").alias("_token"))
-        key = F.when(F.col("valence").isNotNull(), F.lower(f"back{k}"))
-        found = found.join(known, key == F.col("_token"), "left")
+        found = found.join(known, F.lower(f"back{k}") == F.col("_token"), "left")
         found = found.withColumn(f"free{k}", F.col(f"back{k}").isNotNull() & F.col("_token").isNull()).drop("_token")
     return found
 
 
-def _boost(word: Column, weights: Mapping[str, float]) -> Column:
-    by_weight: dict[float, list[str]] = {}
-    for token, weight in weights.items():
-        by_weight.setdefault(weight, []).append(token)
-    chain = F.lit(0.0)
-    for weight, tokens in by_weight.items():
-        chain = F.when(word.isin(tokens), F.lit(weight)).otherwise(chain)
-    return chain
+def _in(words: Sequence[str]) -> str:
+    return "IN (" + ", ".join(sql_literal(w) for w in words) + ")"
 
 
-def _adjusted(found: DataFrame, rules: PolarityRules) -> DataFrame:
-    """Apply the context rules to `valence`, step by step in the published order."""
-    v = F.col("valence")
-    out = found
+def _loud(word: str) -> str:
+    return f"({word} = upper({word}) AND {word} <> lower({word}) AND mixed_case)"
+
+
+def _steps(rules: PolarityRules) -> list[str]:
+    """SQL expressions that replace `valence` one after the other, in the published order."""
+    capital = f"IF(valence > 0, {rules.capital_weight}D, -{rules.capital_weight}D)"
+    steps = []
     if rules.capitals:
-        shift = F.when(v > 0, rules.capital_weight).otherwise(-rules.capital_weight)
-        out = out.withColumn("valence", F.when(is_upper(F.col("word")) & F.col("mixed_case"), v + shift).otherwise(v))
+        steps.append(f"IF({_loud('word')}, valence + {capital}, valence)")
     for k in (1, 2, 3):
-        free = F.coalesce(F.col(f"free{k}"), F.lit(False)) if f"free{k}" in out.columns else None
-        near = F.lower(f"back{k}")
         if rules.boosters:
-            weight = _boost(near, rules.booster_words)
-            signed = F.when(v < 0, -weight).otherwise(weight)
+            cases = " ".join(f"WHEN {sql_literal(w)} THEN {x}D" for w, x in rules.booster_words.items())
+            weight = f"IF(valence < 0, -1, 1) * CASE lower(back{k}) {cases} ELSE 0D END"
             if rules.capitals:
-                loud = is_upper(F.col(f"back{k}")) & F.col("mixed_case") & (weight != 0)
-                extra = F.when(v > 0, rules.capital_weight).otherwise(-rules.capital_weight)
-                signed = F.when(loud, signed + extra).otherwise(signed)
-            out = out.withColumn("valence", F.when(free, v + signed * rules.distance_factors[k - 1]).otherwise(v))
+                both = f"{_loud(f'back{k}')} AND lower(back{k}) {_in(list(rules.booster_words))}"
+                weight += f" + IF({both}, {capital}, 0D)"
+            steps.append(f"IF(free{k}, valence + ({weight}) * {rules.distance_factors[k - 1]}D, valence)")
         if rules.negation:
-            negated = near.isin(list(rules.negation_words)) | near.contains("n't")
-            step = F.when(negated, v * rules.negation_factor).otherwise(v)
-            followed = [F.coalesce(F.col(f"back{j}").isin(list(rules.never_followers)), F.lit(False)) for j in (1, 2)]
+            cases = ""
             if k == 2:
-                never_so = (F.col("back2") == rules.never_word) & followed[0]
-                step = F.when(never_so, v * rules.never_factors[0]).otherwise(step)
+                cases = f"WHEN back2 = {sql_literal(rules.never_word)} AND back1 {_in(rules.never_followers)} THEN {rules.never_factors[0]}D"
             if k == 3:
-                never_so = ((F.col("back3") == rules.never_word) & followed[1]) | followed[0]
-                step = F.when(never_so, v * rules.never_factors[1]).otherwise(step)
-            out = out.withColumn("valence", F.when(free, step).otherwise(v))
+                cases = (
+                    f"WHEN back3 = {sql_literal(rules.never_word)} AND back2 {_in(rules.never_followers)} "
+                    f"OR back1 {_in(rules.never_followers)} THEN {rules.never_factors[1]}D"
+                )
+            cases += f" WHEN lower(back{k}) {_in(rules.negation_words)} OR contains(lower(back{k}), \"n't\") THEN {rules.negation_factor}D"
+            steps.append(f"IF(free{k}, valence * CASE {cases} ELSE 1D END, valence)")
     if rules.least:
-        before = F.coalesce(F.lower("back2").isin(list(rules.least_exempt)), F.lit(False))
-        least = F.coalesce(F.col("free1"), F.lit(False)) & (F.lower("back1") == rules.least_word) & ~before
-        out = out.withColumn("valence", F.when(least, v * rules.negation_factor).otherwise(v))
+        exempt = f"coalesce(lower(back2) {_in(rules.least_exempt)}, false)"
+        least = f"free1 AND lower(back1) = {sql_literal(rules.least_word)} AND NOT {exempt}"
+        steps.append(f"IF({least}, valence * {rules.negation_factor}D, valence)")
     if rules.boosters:
-        word, following = F.lower("word"), F.lower("next1")
-        silent = word.isin(list(rules.booster_words)) | ((word == "kind") & (following == "of"))
-        out = out.withColumn("valence", F.when(silent, F.lit(0.0)).otherwise(v))
+        silent = f"lower(word) {_in(list(rules.booster_words))} OR (lower(word) = 'kind' AND lower(next1) = 'of')"
+        steps.append(f"IF({silent}, 0D, valence)")
     if rules.contrast:
         early, late = rules.contrast_factors
-        factor = (
-            F.when((F.col("turn") >= 0) & (F.col("at") < F.col("turn")), F.lit(early))
-            .when((F.col("turn") >= 0) & (F.col("at") > F.col("turn")), F.lit(late))
-            .otherwise(F.lit(1.0))
+        steps.append(
+            f"valence * CASE WHEN turn >= 0 AND at < turn THEN {early}D WHEN turn >= 0 AND at > turn THEN {late}D ELSE 1D END"
         )
-        out = out.withColumn("valence", v * factor)
-    return out
+    return steps
+
+
+def _adjusted(found: DataFrame, rules: PolarityRules) -> DataFrame:
+    for step in _steps(rules):
+        found = found.withColumn("valence", F.expr(step))
+    return found
 
 
 def _shares(found: DataFrame, rules: PolarityRules, id_col: str, keep: Sequence[str]) -> DataFrame:
-    v = F.coalesce("valence", F.lit(0.0))
+    v = F.col("valence")
     sums = (
         _adjusted(found, rules)
         .groupBy(id_col, *keep)
@@ -234,44 +242,37 @@ def _shares(found: DataFrame, rules: PolarityRules, id_col: str, keep: Sequence[
             F.sum(v).alias("total"),
             F.sum(F.when(v > 0, v + 1).otherwise(0.0)).alias("up"),
             F.sum(F.when(v < 0, v - 1).otherwise(0.0)).alias("down"),
-            F.count_if((v == 0) & F.col("word").isNotNull()).alias("flat"),
             F.max("n_words").alias("n_words"),
+            (F.max("n_words") - F.count_if(v != 0)).alias("flat"),
             F.max("n_bang").alias("n_bang"),
             F.max("n_ask").alias("n_ask"),
         )
     )
+    stress = "0D"
     if rules.emphasis:
-        bang = F.least(F.col("n_bang"), F.lit(rules.exclamation_most)) * rules.exclamation_weight
-        ask = (
-            F.when(F.col("n_ask") <= 1, 0.0)
-            .when(F.col("n_ask") <= 3, F.col("n_ask") * rules.question_weight)
-            .otherwise(rules.question_most)
+        stress = (
+            f"least(n_bang, {rules.exclamation_most}) * {rules.exclamation_weight}D + CASE WHEN n_ask <= 1 THEN 0D "
+            f"WHEN n_ask <= 3 THEN n_ask * {rules.question_weight}D ELSE {rules.question_most}D END"
         )
-        stress = bang + ask
-    else:
-        stress = F.lit(0.0)
-    sums = sums.withColumn("stress", stress)
-    total = (
-        F.when(F.col("total") > 0, F.col("total") + F.col("stress"))
-        .when(F.col("total") < 0, F.col("total") - F.col("stress"))
-        .otherwise(F.col("total"))
+    columns = [id_col, *keep]
+    stressed = sums.withColumn("stress", F.expr(stress)).selectExpr(
+        *[f"`{c}`" for c in columns],
+        "n_words",
+        "flat",
+        "total + sign(total) * stress AS total",
+        "up + IF(up > -down, stress, 0D) AS up",
+        "-down + IF(up < -down, stress, 0D) AS down",
     )
-    up = F.when(F.col("up") > -F.col("down"), F.col("up") + F.col("stress")).otherwise(F.col("up"))
-    down = F.when(F.col("up") < -F.col("down"), F.col("down") - F.col("stress")).otherwise(F.col("down"))
-    parts = sums.select(id_col, *keep, "n_words", "flat", total.alias("total"), up.alias("up"), (-down).alias("down"))
-    mass = F.col("up") + F.col("down") + F.col("flat")
 
-    def share(part: str) -> Column:
-        return F.when(F.col("n_words") > 0, F.round(F.col(part) / mass, 3)).otherwise(0.0)
+    def share(part: str, name: str) -> str:
+        return f"IF(n_words > 0, round({part} / nullif(up + down + flat, 0D), 3), 0D) AS {name}"
 
-    squashed = F.col("total") / F.sqrt(F.col("total") * F.col("total") + rules.alpha)
-    return parts.select(
-        id_col,
-        *keep,
-        share("down").alias("neg"),
-        share("flat").alias("neu"),
-        share("up").alias("pos"),
-        F.round(squashed, 4).alias("compound"),
+    return stressed.selectExpr(
+        *[f"`{c}`" for c in columns],
+        share("down", "neg"),
+        share("flat", "neu"),
+        share("up", "pos"),
+        f"round(total / sqrt(total * total + {rules.alpha}D), 4) AS compound",
     )
 
 

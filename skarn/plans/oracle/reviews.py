@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from skarn.functions.text import CHUNK, EDGE_PUNCTUATION, NOT_CONTRACTION, TOKEN
+from skarn.functions.text import CHUNK, NOT_CONTRACTION, TOKEN
 from skarn.plans.oracle.views import _values, with_views
 from skarn.plans.reviews import CORPUS_RULES, LEXICON_SCORES, MAX_CHARS, MODEL_SCORES, SCORES, TAGGED
 
 
+_EDGE_PUNCTUATION = r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$"
+
+
 def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
@@ -21,7 +24,7 @@ _WORDS = {
     "chunks": f"SELECT doc_id, regexp_extract_all(text, {_quoted(CHUNK)}) AS l FROM documents",
     "raw": "SELECT doc_id, unnest(l) AS c, generate_subscripts(l, 1) - 1 AS at_ FROM chunks",
     "words": f"""SELECT doc_id, at_::INTEGER AS at_, CASE WHEN length(b) > 1 THEN b ELSE c END AS word
-                 FROM (SELECT *, regexp_replace(c, {_quoted(EDGE_PUNCTUATION)}, '', 'g') AS b FROM raw)""",
+                 FROM (SELECT *, regexp_replace(c, {_quoted(_EDGE_PUNCTUATION)}, '', 'g') AS b FROM raw)""",
     "hit": "SELECT w.*, valence FROM words w LEFT JOIN v_lexicon ON token = lower(word)",
 }
 

@@ -48,7 +48,7 @@ VIEWS = {
   FROM events GROUP BY 1, 2, 3""",
     "v_ticks": "SELECT event_type AS series_id, ts, event_id, value FROM events",
     "v_date_text": "SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS s FROM orders",
-    "v_lexicon": f"SELECT * FROM (VALUES {_values(LEXICON)}) AS t(token, valence)",
+    "v_lexicon": f"SELECT token, valence::DOUBLE AS valence FROM (VALUES {_values(LEXICON)}) AS t(token, valence)",
     "v_logits": _MODEL_Z,
     "v_model": """
   SELECT "Id", round(e0 / (e0 + e1 + e2), 6) AS neg, round(e1 / (e0 + e1 + e2), 6) AS neu,

@@ -39,11 +39,11 @@ TAGGED = [
 
 
 def _core(spark, sf_dir):
-    return text.polarity(views.texts(spark, sf_dir), views.lexicon(spark), text.CORE)
+    return text.polarity(views.scorer_input(spark, sf_dir), views.lexicon(spark), text.CORE)
 
 
 def _with_rules(spark, sf_dir):
-    return text.polarity(views.texts(spark, sf_dir), views.lexicon(spark), CORPUS_RULES)
+    return text.polarity(views.scorer_input(spark, sf_dir), views.lexicon(spark), CORPUS_RULES)
 
 
 def _rated(spark, sf_dir):
@@ -58,16 +58,16 @@ def _joint(spark, sf_dir):
 
 
 def tokenize_docs(spark, sf_dir):
-    return text.token_table(views.texts(spark, sf_dir))
+    return text.token_table(views.scorer_input(spark, sf_dir))
 
 
 def first_tokens(spark, sf_dir):
-    heads = text.first_tokens(views.texts(spark, sf_dir), 10)
+    heads = text.first_tokens(views.scorer_input(spark, sf_dir), 10)
     return heads.select("Id", "n_tokens", F.array_join("head", " ").alias("head"))
 
 
 def lexicon_hits(spark, sf_dir):
-    return text.lexicon_hits(views.texts(spark, sf_dir), views.lexicon(spark))
+    return text.lexicon_hits(views.scorer_input(spark, sf_dir), views.lexicon(spark))
 
 
 def lexicon_polarity(spark, sf_dir):
@@ -143,7 +143,7 @@ def disagreements_per_rating(spark, sf_dir):
 
 
 def softmax_scores(spark, sf_dir):
-    logits = views.texts(spark, sf_dir).select("Id", views.model_logits(F.col("Text")).alias("z"))
+    logits = views.scorer_input(spark, sf_dir).select("Id", views.model_logits(F.col("Text")).alias("z"))
     p = logits.select("Id", softmax(F.col("z")).alias("p"))
     return p.select("Id", *[F.round(F.col("p")[i], 6).alias(c) for i, c in enumerate(scoring.CLASSES)])
 
@@ -169,7 +169,7 @@ def _load_linear_scorer():
 
 
 def model_scores(spark, sf_dir):
-    out = scoring.model_scores(views.texts(spark, sf_dir), _load_linear_scorer)
+    out = scoring.model_scores(views.scorer_input(spark, sf_dir), _load_linear_scorer)
     return out.select("Id", *[F.round(c, 6).alias(c) for c in scoring.CLASSES], "failed")
 
 
@@ -180,16 +180,16 @@ def text_classifier_scores(spark, sf_dir):
 
 
 def scoring_quarantine(spark, sf_dir):
-    return scoring.quarantine(views.texts(spark, sf_dir), max_chars=MAX_CHARS)
+    return scoring.quarantine(views.scorer_input(spark, sf_dir), max_chars=MAX_CHARS)
 
 
 def tag_tokens(spark, sf_dir):
     tagged = literal_table(spark, {"token": "string", "tag": "string"}, TAGGED)
-    return text.tag_tokens(text.token_table(views.texts(spark, sf_dir)), text.unigram_tagger(tagged))
+    return text.tag_tokens(text.token_table(views.scorer_input(spark, sf_dir)), text.unigram_tagger(tagged))
 
 
 def entity_spans(spark, sf_dir):
-    return text.name_spans(views.texts(spark, sf_dir))
+    return text.name_spans(views.scorer_input(spark, sf_dir))
 
 
 QUERIES = {

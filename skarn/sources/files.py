@@ -52,7 +52,19 @@ def land_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     writer.parquet(path)
 
 
-def _sql_literal(value: object) -> str:
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores on a small input whose rows are costly to work on.
+
+    A small file comes as one or a few splits, which leaves the other cores idle. A big input
+    has more splits than there are cores and is returned as it is: its rows are not moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
+def sql_literal(value: object) -> str:
     if value is None:
         return "NULL"
     if isinstance(value, str):
@@ -70,7 +82,7 @@ def literal_table(spark: SparkSession, columns: dict[str, str], rows: Iterable[S
     Its exact size is known to the optimizer, which broadcasts it below
     `spark.sql.autoBroadcastJoinThreshold` without a hint.
     """
-    body = ", ".join("(" + ", ".join(_sql_literal(v) for v in row) + ")" for row in rows)
+    body = ", ".join("(" + ", ".join(sql_literal(v) for v in row) + ")" for row in rows)
     names = ", ".join(columns)
     frame = spark.sql(f"SELECT * FROM VALUES {body} AS t({names})")
     return frame.select(*[F.col(name).cast(dtype).alias(name) for name, dtype in columns.items()])

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarn.functions.numeric import softmax
-from skarn.sources.files import literal_table
+from skarn.sources.files import literal_table, spread
 
 SCHEMAS = {
     "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
@@ -76,10 +76,15 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Id and Text only: the input of the scorers, with no join before the tokens are reduced."""
+    """Id and Text only."""
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("Id"), F.col("text").alias("Text"))
 
 
+def scorer_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts as input of the scorers: no join comes before the words are reduced."""
+    return spread(texts(spark, sf_dir), "Id")
+
+
 def _score() -> Column:
     return (1 + 2 * F.col("quality") + 2 * (1 - F.col("toxic"))).cast("int").alias("Score")
 
@@ -167,7 +172,7 @@ def model_logits(text: Column) -> Column:
 
 
 def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logits = texts(spark, sf_dir).select("Id", model_logits(F.col("Text")).alias("z"))
+    logits = scorer_input(spark, sf_dir).select("Id", model_logits(F.col("Text")).alias("z"))
     probs = logits.select("Id", softmax(F.col("z")).alias("p"))
     return probs.select(
         "Id",
