@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from skarn.functions.numeric import missing
-from skarn.operators.quantiles import exact_quantiles
+from skarn.operators.quantiles import exact_quantiles, one_row_per_group
 
-QUARTILES = (0.25, 0.5, 0.75)
+QUARTILES = {0.25: "q25", 0.5: "q50", 0.75: "q75"}
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -58,63 +59,77 @@ def null_counts(df: DataFrame) -> DataFrame:
 def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """count, mean, sample std, min, quartiles and max, one row per numeric column.
 
-    NaN is missing. The moments need one pass and no shuffle to speak of; the quartiles are
-    exact (see `exact_quantiles`).
+    NaN is missing. Two passes over the data: the moments ride along on the first pass of
+    the exact quartiles. A column without any value has count 0 and NULL elsewhere.
     """
     columns = list(columns or numeric_columns(df))
-    values = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
-    long = values.unpivot([], columns, "column_name", "value")
-    moments = long.groupBy("column_name").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column_name", "value")
+    moments = (
+        F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("std"), F.min("_v").alias("min"), F.max("_v").alias("max")
     )
-    quartiles = (
-        exact_quantiles(long, ["column_name"], "value", QUARTILES)
-        .groupBy("column_name")
-        .agg(*[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(f"q{int(p * 100)}") for p in QUARTILES])
+    quartiles = exact_quantiles(long, ["column_name"], "value", list(QUARTILES), also=moments)
+    described = one_row_per_group(quartiles, ["column_name"], QUARTILES)
+    names = F.explode(F.array(*[F.lit(c) for c in columns]))
+    return (
+        df.sparkSession.range(1)
+        .select(names.alias("column_name"))
+        .join(described, "column_name", "left")
+        .select(
+            "column_name", F.coalesce("n", F.lit(0).cast("long")).alias("count"), "mean", "std", "min", "q25", "q50", "q75", "max"
+        )
     )
-    return moments.join(quartiles, "column_name", "left").select(
-        "column_name", "count", "mean", "std", "min", "q25", "q50", "q75", "max"
+
+
+# More correlations than this in one aggregate make its generated code too long to be compiled.
+_PAIRS_PER_AGGREGATE = 14
+
+
+def _pair_correlations(df: DataFrame, groups: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(*groups, a, b, r, n) for each unordered pair of columns, in one pass; n counts all rows.
+
+    Each row is handed on once per batch of pairs, and a batch is aggregated as a whole.
+    """
+    values = df.select(*groups, *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
+    pairs = list(combinations(columns, 2))
+    batches = [pairs[i : i + _PAIRS_PER_AGGREGATE] for i in range(0, len(pairs), _PAIRS_PER_AGGREGATE)]
+    width = len(batches[0])
+    nothing = F.lit(None).cast("double")
+
+    def row(number: int, batch: Sequence[tuple[str, str]]) -> Column:
+        sides = []
+        for i in range(width):
+            x, y = (F.col(batch[i][0]), F.col(batch[i][1])) if i < len(batch) else (nothing, nothing)
+            sides += [x.alias(f"x{i}"), y.alias(f"y{i}")]
+        return F.struct(F.lit(number).alias("batch"), *sides)
+
+    handed_on = values.select(*groups, F.inline(F.array(*[row(k, batch) for k, batch in enumerate(batches)])))
+    wide = handed_on.groupBy(*groups, "batch").agg(
+        F.count(F.lit(1)).alias("n"), *[F.corr(f"x{i}", f"y{i}").alias(f"r{i}") for i in range(width)]
     )
+    names = [
+        F.when(F.col("batch") == k, F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in batch]))
+        for k, batch in enumerate(batches)
+    ]
+    zipped = F.arrays_zip(F.coalesce(*names).alias("p"), F.array(*[F.col(f"r{i}") for i in range(width)]).alias("r"))
+    long = wide.select(*groups, "n", F.inline(zipped).alias("p", "r")).where(F.col("p").isNotNull())
+    return long.select(*groups, F.col("p.a").alias("a"), F.col("p.b").alias("b"), "r", "n")
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of each ordered pair of columns as (a, b, r), pairwise complete.
 
-    All pairs come from a single aggregate. A column with itself gives 1.
+    A column with itself gives 1.
     """
     columns = list(columns or numeric_columns(df))
-    values = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    wide = values.agg(*[F.corr(columns[i], columns[j]).alias(f"r_{i}_{j}") for i, j in pairs])
-    entries = [(columns[i], columns[j], F.col(f"r_{i}_{j}")) for i, j in pairs]
-    entries += [(b, a, r) for a, b, r in entries]
-    entries += [(c, c, F.lit(1.0)) for c in columns]
-    return wide.select(
-        F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r")) for a, b, r in entries]))
-    )
+    same = F.explode(F.array(*[F.lit(c) for c in columns])).alias("a")
+    diagonal = df.sparkSession.range(1).select(same).select("a", F.col("a").alias("b"), F.lit(1.0).alias("r"))
+    if len(columns) < 2:
+        return diagonal
+    half = _pair_correlations(df, [], columns)
+    both = F.array(F.struct(F.col("a"), F.col("b"), F.col("r")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("r")))
+    return half.select(F.inline(both)).unionByName(diagonal)
 
 
 def correlation_by(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
     """Correlation of each unordered pair within each group: (group, a, b, r, n)."""
-    columns = list(columns)
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    wide = df.groupBy(group).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.corr(columns[i], columns[j]).alias(f"r_{i}_{j}") for i, j in pairs],
-    )
-    return wide.select(
-        group,
-        "n",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), F.col(f"r_{i}_{j}").alias("r"))
-                    for i, j in pairs
-                ]
-            )
-        ),
-    )
+    return _pair_correlations(df, [group], list(columns))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skarn.operators.joins import join_small
@@ -21,12 +21,15 @@ def exact_quantiles(
     value: str,
     probs: Sequence[float],
     accuracy: int = 10_000,
+    also: Sequence[Column] = (),
 ) -> DataFrame:
-    """One row per group and probability: (*groups, prob, quantile, n).
+    """One row per group and probability: (*groups, prob, quantile, n, *also).
 
     Linear interpolation between the two neighbouring order statistics. Rows with a NULL or
-    NaN value, or a NULL group, are left out. Two passes over the input. What is shuffled:
-    one row per map task and bracket, and the distinct values inside the brackets.
+    NaN value, or a NULL group, are left out. `also` are further aggregates of the value,
+    named `_v` in them, that ride along on the first of the two passes over the input. What
+    is shuffled: one row per map task and group, and the distinct values inside the brackets
+    (about 4 / accuracy of a group for each probability).
 
     The result is exact. The sketch is off by at most n / accuracy ranks and the bracket
     reaches twice as far; when n is so small that this is less than one rank, the sketch
@@ -40,37 +43,45 @@ def exact_quantiles(
     margin = 2.0 / accuracy
     cuts = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
     sketch = clean.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", cuts, accuracy).alias("cuts")
+        F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", cuts, accuracy).alias("cuts"), *also
     )
-    brackets = sketch.select(
+    carried = [c for c in sketch.columns if c not in groups and c != "cuts"]
+    # Where a value lies towards each bracket: -1 below, 0 inside, 1 above. All values that
+    # lie alike and inside no bracket become one row per map task.
+    sides = {}
+    for i in range(len(probs)):
+        lo, hi = F.col("cuts")[i], F.col("cuts")[len(probs) + i]
+        sides[f"side_{i}"] = F.when(F.col("_v") < lo, -1).when(F.col("_v") > hi, 1).otherwise(0)
+    inside = F.lit(False)
+    for name in sides:
+        inside = inside | (F.col(name) == 0)
+    placed = (
+        join_small(clean, sketch, groups)
+        .withColumns(sides)
+        .groupBy(*groups, *carried, *sides, F.when(inside, F.col("_v")).alias("inside"))
+        .agg(F.count(F.lit(1)).alias("c"), F.min("_v").alias("least"), F.max("_v").alias("most"))
+    )
+    by_prob = placed.select(
         *groups,
-        "n",
+        *carried,
+        "c",
+        "least",
+        "most",
         F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(p).alias("prob"),
-                        F.col("cuts")[i].alias("lo"),
-                        F.col("cuts")[len(probs) + i].alias("hi"),
-                    )
-                    for i, p in enumerate(probs)
-                ]
-            )
+            F.array(*[F.struct(F.lit(p).alias("prob"), F.col(f"side_{i}").alias("side")) for i, p in enumerate(probs)])
         ),
     )
-    side = F.when(F.col("_v") < F.col("lo"), -1).when(F.col("_v") > F.col("hi"), 1).otherwise(0)
-    counted = (
-        join_small(clean, brackets, groups)
-        .withColumn("side", side)
-        .groupBy(*groups, "prob", "n", "side", F.when(F.col("side") == 0, F.col("_v")).alias("inside"))
-        .agg(F.count(F.lit(1)).alias("c"), F.min("_v").alias("least"), F.max("_v").alias("most"))
+    keys = [*groups, "prob", *carried]
+    steps = (
+        by_prob.groupBy(*keys, "side", F.when(F.col("side") == 0, F.col("least")).alias("inside"))
+        .agg(F.sum("c").alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
         .withColumn("_v", F.when(F.col("side") == -1, F.col("most")).otherwise(F.col("least")))
     )
     in_order = Window.partitionBy(*groups, "prob").orderBy("_v")
     rank = F.col("prob") * (F.col("n") - 1)
     ends = (
-        counted.withColumn("upto", F.sum("c").over(in_order))
-        .groupBy(*groups, "prob", "n")
+        steps.withColumn("upto", F.sum("c").over(in_order))
+        .groupBy(*keys)
         .agg(
             F.min(F.when(F.col("upto") > F.floor(rank), F.col("_v"))).alias("low"),
             F.min(F.when(F.col("upto") > F.ceil(rank), F.col("_v"))).alias("high"),
@@ -78,5 +89,13 @@ def exact_quantiles(
     )
     share = rank - F.floor(rank)
     return ends.select(
-        *groups, "prob", (F.col("low") + (F.col("high") - F.col("low")) * share).alias("quantile"), "n"
+        *groups, "prob", (F.col("low") + (F.col("high") - F.col("low")) * share).alias("quantile"), *carried
+    )
+
+
+def one_row_per_group(quantiles: DataFrame, groups: Sequence[str], names: dict[float, str]) -> DataFrame:
+    """Turn the rows of `exact_quantiles` into one column per probability."""
+    rest = [c for c in quantiles.columns if c not in (*groups, "prob", "quantile")]
+    return quantiles.groupBy(*groups, *rest).agg(
+        *[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(name) for p, name in names.items()]
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -17,6 +18,8 @@ from pyspark.sql.types import ArrayType, DoubleType
 from skarn.functions.numeric import softmax
 from skarn.operators.columns import prefix_columns
 from skarn.operators.joins import natural_left_join
+from skarn.operators.quantiles import exact_quantiles
+from skarn.sources.files import stored
 
 CLASSES = ("neg", "neu", "pos")
 
@@ -187,19 +190,23 @@ def mean_interval(df: DataFrame, group: str, value: str, z: float = 1.96) -> Dat
     return stats.select(group, "n", "mean", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
 
 
-def _poisson(count: Column, u: Column, u2: Column) -> Column:
-    """Poisson draw with mean `count`: inverse distribution below 16, normal with rounding above."""
-    # 60 terms leave a tail below 1e-15 at mean 16.
-    start = F.struct(F.exp(-count).alias("term"), F.exp(-count).alias("below"), F.lit(0).alias("k"))
-
-    def step(acc: Column, i: Column) -> Column:
-        term = acc["term"] * count / i
-        return F.struct(term.alias("term"), (acc["below"] + term).alias("below"), (acc["k"] + F.when(u > acc["below"], 1).otherwise(0)).alias("k"))
-
-    small = F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, step)["k"].cast("double")
-    normal = F.sqrt(-2 * F.log(u)) * F.cos(2 * np.pi * u2)
-    large = F.greatest(F.round(count + F.sqrt(count) * normal), F.lit(0.0))
-    return F.when(count < 16, small).otherwise(large)
+@F.pandas_udf(DoubleType())
+def _poisson(mean: pd.Series, u: pd.Series, u2: pd.Series) -> pd.Series:
+    """Poisson draws by the inverse distribution; above a mean of 500 a rounded normal draw."""
+    m, low, other = mean.to_numpy(), u.to_numpy(), u2.to_numpy()
+    small = np.where(m <= 500, m, 0.0)
+    term = np.exp(-small)
+    below, k = term.copy(), np.zeros(len(m))
+    step, open_ = 0, low > below
+    # A term below 1e-18 no longer moves the distribution function.
+    while open_.any():
+        step += 1
+        k += open_
+        term = term * small / step
+        below += term
+        open_ &= (low > below) & ((term > 1e-18) | (step < small))
+    normal = np.sqrt(-2 * np.log(low)) * np.cos(2 * np.pi * other)
+    return pd.Series(np.where(m <= 500, k, np.maximum(np.round(m + np.sqrt(m) * normal), 0.0)))
 
 
 def bootstrap_interval(
@@ -239,6 +246,6 @@ def bootstrap_interval(
 
 
 def quantiles_by_rating(df: DataFrame, value: str, probs: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
-    from skarn.operators.quantiles import exact_quantiles
-
-    return exact_quantiles(df.where(F.col("Score").isNotNull()), ["Score"], value, probs)
+    """Exact quantiles per rating. The narrow scored rows are stored, as they are read twice."""
+    rated = stored(df.where(F.col("Score").isNotNull()).select("Score", value))
+    return exact_quantiles(rated, ["Score"], value, probs)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
@@ -107,13 +109,19 @@ def _fit(vectors: DataFrame, k: int, seed: int, max_iter: int, tol: float):
     return estimator.fit(vectors)
 
 
+def _step_limit(df: DataFrame, features: Sequence[str], tol: float) -> float:
+    """Centroid step below which a fit has settled: `tol` is relative to the spread of the features."""
+    spread = df.agg(*[F.var_pop(f).alias(f) for f in features]).first()
+    return math.sqrt(tol * sum((v or 0.0) for v in spread) / len(features))
+
+
 def fit_segments(
     df: DataFrame, features: Sequence[str], k: int = 5, seed: int = 0, max_iter: int = 300, tol: float = 1e-4
 ) -> list[list[float]]:
     """Fitted centroids in ascending order, so that cluster numbers do not depend on the seed's order."""
     vectors = _vectors(df, features).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = _fit(vectors, k, seed, max_iter, tol)
+        model = _fit(vectors, k, seed, max_iter, _step_limit(df, features, tol))
     finally:
         vectors.unpersist()
     return sorted([float(v) for v in c] for c in model.clusterCenters())
@@ -124,18 +132,30 @@ def segments(df: DataFrame, features: Sequence[str], k: int = 5, seed: int = 0)
     return assign_clusters(df, features, fit_segments(df, features, k, seed))
 
 
-def elbow(df: DataFrame, features: Sequence[str], k_max: int = 10, seed: int = 42, max_iter: int = 300) -> DataFrame:
-    """(k, wcss) for k = 1 .. k_max on one stored feature frame."""
+def elbow(
+    df: DataFrame,
+    features: Sequence[str],
+    k_max: int = 10,
+    seed: int = 42,
+    max_iter: int = 300,
+    tol: float = 1e-4,
+    parallel: int = 4,
+) -> DataFrame:
+    """(k, wcss) for k = 1 .. k_max on one stored feature frame.
+
+    The fits do not depend on each other; `parallel` of them are submitted at a time, so that
+    one fit's last tasks do not leave the cluster idle.
+    """
     vectors = _vectors(df, features).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        costs = [
-            (k, float(_fit(vectors, k, seed, max_iter, 1e-4).summary.trainingCost)) for k in range(2, k_max + 1)
-        ]
+        limit = _step_limit(df, features, tol)
+        with ThreadPoolExecutor(parallel) as pool:
+            fits = list(pool.map(lambda k: _fit(vectors, k, seed, max_iter, limit), range(2, k_max + 1)))
+        costs = [(k, float(fit.summary.trainingCost)) for k, fit in enumerate(fits, 2)]
     finally:
         vectors.unpersist()
-    fitted = df.sparkSession.createDataFrame(costs, "k int, wcss double") if costs else None
     first = single_cluster_cost(df, features).select(F.col("k").cast("int").alias("k"), "wcss")
-    return first if fitted is None else first.unionByName(fitted)
+    return first.unionByName(df.sparkSession.createDataFrame(costs, "k int, wcss double")) if costs else first
 
 
 def fit_vector_segments(df: DataFrame, array_column: str, k: int, seed: int = 0, max_iter: int = 100):

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from skarn.operators.joins import join_small
-from skarn.operators.quantiles import exact_quantiles
+from skarn.operators.quantiles import exact_quantiles, one_row_per_group
 
 
 @dataclass(frozen=True)
@@ -295,14 +295,8 @@ def fit_scaler(df: DataFrame, key: Sequence[str], value: str, where: Column | No
 
 def outlier_flags(df: DataFrame, key: str, value: str, reach: float = 1.5) -> DataFrame:
     """Add q1, q3 and `is_outlier`: outside [q1 - reach * iqr, q3 + reach * iqr] of its series."""
-    fences = (
-        exact_quantiles(df, [key], value, (0.25, 0.75))
-        .groupBy(key)
-        .agg(
-            F.max(F.when(F.col("prob") == 0.25, F.col("quantile"))).alias("q1"),
-            F.max(F.when(F.col("prob") == 0.75, F.col("quantile"))).alias("q3"),
-        )
-    )
+    quartiles = exact_quantiles(df, [key], value, (0.25, 0.75))
+    fences = one_row_per_group(quartiles, [key], {0.25: "q1", 0.75: "q3"}).drop("n")
     iqr = F.col("q3") - F.col("q1")
     outside = (F.col(value) < F.col("q1") - reach * iqr) | (F.col(value) > F.col("q3") + reach * iqr)
     return join_small(df, fences, [key], "left").withColumn("is_outlier", outside)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from skarn.functions import dates
 from skarn.operators import columns, profile
 from skarn.sources import views
+from skarn.sources.files import spread
 
 
 def _rounded(df, names, digits=6):
@@ -31,13 +32,17 @@ def null_counts(spark, sf_dir):
     return profile.null_counts(views.reviews(spark, sf_dir))
 
 
+def _line_numbers(spark, sf_dir):
+    return spread(columns.project_numeric(views.table(spark, sf_dir, "lineitem")), "l_orderkey")
+
+
 def describe_numeric(spark, sf_dir):
-    out = profile.describe_numeric(views.table(spark, sf_dir, "lineitem"))
+    out = profile.describe_numeric(_line_numbers(spark, sf_dir))
     return _rounded(out, ["mean", "std", "min", "q25", "q50", "q75", "max"], 4)
 
 
 def correlation_matrix(spark, sf_dir):
-    return _rounded(profile.correlation_matrix(views.table(spark, sf_dir, "lineitem")), ["r"])
+    return _rounded(profile.correlation_matrix(_line_numbers(spark, sf_dir)), ["r"])
 
 
 def project_named(spark, sf_dir):

@@ -13,7 +13,7 @@ from skarn.functions.numeric import softmax
 from skarn.operators import columns, plotdata, profile, scoring, text
 from skarn.operators.joins import natural_left_join
 from skarn.sources import views
-from skarn.sources.files import literal_table
+from skarn.sources.files import literal_table, spread
 
 SCORES = ["neg", "neu", "pos", "compound"]
 LEXICON_SCORES = ["lexicon_neg", "lexicon_neu", "lexicon_pos"]
@@ -174,7 +174,7 @@ def model_scores(spark, sf_dir):
 
 
 def text_classifier_scores(spark, sf_dir):
-    rows = views.reviews(spark, sf_dir)
+    rows = spread(views.reviews(spark, sf_dir), "Id")
     model = scoring.fit_text_classifier(rows)
     return scoring.classifier_scores(model, rows)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +54,24 @@ def land_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     writer.parquet(path)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write a frame once and read it back: for narrow results of costly work read several times.
+
+    The table goes to the shared folder the session names in `spark.checkpoint.dir`, so it
+    outlives lost executors. A local session without that setting uses a temporary folder; a
+    cluster session without it gets the frame back as it is.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            return df
+        root = tempfile.mkdtemp(prefix="spark-")
+    path = f"{root.rstrip('/')}/skarn-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Use all cores on a small input whose rows are costly to work on.
 
