@@ -198,7 +198,7 @@ SQL = {
     ),
     "recursive_forecast": with_views(
         ["v_prices"],
-        """SELECT r.series_id, r.k AS row_idx, i.dt, round(r.v, 3) AS prediction
+        """SELECT r.series_id, r.k AS row_idx, i.dt, round(r.v, 4) AS prediction
         FROM r JOIN i ON i.series_id = r.series_id AND i.row_idx = r.k""",
         recursive=True,
         extra={
@@ -210,7 +210,7 @@ SQL = {
     ),
     "frozen_forecast": with_views(
         ["v_prices"],
-        f"""SELECT i.series_id, i.row_idx, i.dt, round({_NEXT}, 3) AS prediction
+        f"""SELECT i.series_id, i.row_idx, i.dt, round({_NEXT}, 4) AS prediction
         FROM i JOIN w USING (series_id) WHERE i.row_idx >= w.cut""",
         extra={"i": _INDEXED, "w": _window_at(1)},
     ),

@@ -234,7 +234,7 @@ def recursive_forecast(spark, sf_dir):
     starts = forecast.start_windows(bars, BARS, "close", 3)
     out = forecast.roll_forward(starts, _fixed_models(spark, sf_dir), KEY)
     dated = align(out, series.row_index(bars, BARS).select("series_id", "row_idx", "dt"))
-    return dated.select("series_id", "row_idx", "dt", F.round("prediction", 3).alias("prediction"))
+    return dated.select("series_id", "row_idx", "dt", F.round("prediction", 4).alias("prediction"))
 
 
 def frozen_forecast(spark, sf_dir):
@@ -242,7 +242,7 @@ def frozen_forecast(spark, sf_dir):
     starts = forecast.start_windows(bars, BARS, "close", 3, start="last_sample")
     out = forecast.frozen_forecast(starts, _fixed_models(spark, sf_dir), KEY)
     dated = align(out, series.row_index(bars, BARS).select("series_id", "row_idx", "dt"))
-    return dated.select("series_id", "row_idx", "dt", F.round("prediction", 3).alias("prediction"))
+    return dated.select("series_id", "row_idx", "dt", F.round("prediction", 4).alias("prediction"))
 
 
 def forecast_long(spark, sf_dir):

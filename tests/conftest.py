@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -10,6 +11,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from skarn.session import local_session
 
-    session = local_session()
+    session = local_session(checkpoint_dir=tempfile.mkdtemp(prefix="spark-"))
     yield session
     session.stop()
