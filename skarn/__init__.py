@@ -1,3 +1,11 @@
 """Segmentation, review scoring and price-series operators on Spark DataFrames."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# The few Python functions that run in tasks travel with the job, so that workers need no
+# installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -81,11 +81,16 @@ def model_scores(
         isolating(make_predict, 3), return_type=ArrayType(DoubleType()), batch_size=batch_size
     )
     logits = df.select(id_col, infer(F.col(text_col)).alias("z"))
-    logits = logits.withColumn("failed", F.exists("z", F.isnan))
+    logits = logits.withColumn("failed", ~F.forall("z", lambda v: v.isNotNull() & ~F.isnan(v)))
     probs = logits.select(id_col, "failed", F.when(~F.col("failed"), softmax(F.col("z"))).alias("p"))
     return probs.select(id_col, *[F.col("p")[i].alias(c) for i, c in enumerate(CLASSES)], "failed")
 
 
+def scoring_failures(scores: DataFrame, id_col: str = "Id") -> DataFrame:
+    """(id, reason) of the rows the model failed on, in the form of `quarantine`."""
+    return scores.where("failed").select(id_col, F.lit("scorer failed").alias("reason"))
+
+
 def model_forecast(df: DataFrame, make_predict: Callable, window_col: str, length: int, batch_size: int = 512) -> DataFrame:
     """Add `prediction` from an externally trained sequence model over windows of one length."""
     infer = predict_batch_udf(

@@ -145,14 +145,13 @@ def lag_table(
         in_run = F.col("row_idx") > n
         if first is not None:
             in_run = in_run & (F.col("prev_time") >= F.lit(first))
-        breaks = wanted.groupBy(*layout.key).agg(
-            F.min(F.when(in_run & (F.col("gap_days") > max_gap_days), F.col(layout.time))).alias("_break")
-        )
-        wanted = (
-            wanted.join(breaks, list(layout.key), "left")
-            .where(F.col("_break").isNull() | (F.col(layout.time) < F.col("_break")))
-            .drop("_break")
-        )
+        first_break = F.min(F.when(in_run & (F.col("gap_days") > max_gap_days), F.col(layout.time)))
+        if layout.span is None:
+            wanted = wanted.withColumn("_break", first_break.over(Window.partitionBy(*layout.key)))
+        else:
+            breaks = wanted.groupBy(*layout.key).agg(first_break.alias("_break"))
+            wanted = wanted.join(breaks, list(layout.key), "left")
+        wanted = wanted.where(F.col("_break").isNull() | (F.col(layout.time) < F.col("_break"))).drop("_break")
     return wanted.select(
         *layout.key,
         *layout.order,
@@ -293,6 +292,26 @@ def fit_scaler(df: DataFrame, key: Sequence[str], value: str, where: Column | No
     )
 
 
+def with_scaler(df: DataFrame, layout: Layout, value: str, where: Column | None = None) -> DataFrame:
+    """Add mean, std, low and high of the series, taken over the rows that satisfy `where`.
+
+    Bounded series use the exchange that their index and splits already need; others get
+    the statistics from an aggregate that combines on the map side.
+    """
+    if layout.span is not None:
+        return join_small(df, fit_scaler(df, layout.key, value, where), layout.key, "left")
+    whole = Window.partitionBy(*layout.key)
+    used = F.col(value) if where is None else F.when(where, F.col(value))
+    return df.withColumns(
+        {
+            "mean": F.avg(used).over(whole),
+            "std": F.stddev_pop(used).over(whole),
+            "low": F.min(used).over(whole),
+            "high": F.max(used).over(whole),
+        }
+    )
+
+
 def outlier_flags(df: DataFrame, key: str, value: str, reach: float = 1.5) -> DataFrame:
     """Add q1, q3 and `is_outlier`: outside [q1 - reach * iqr, q3 + reach * iqr] of its series."""
     quartiles = exact_quantiles(df, [key], value, (0.25, 0.75))

@@ -1,7 +1,8 @@
 """Price-series queries.
 
 Bars are laid out by series (at most one row per series and day, or hour); single events, of
-which one series may hold any share, are laid out by (series, day).
+which one series may hold any share, are laid out by (series, day). A query that needs its bars
+more than once stores them: a few rows per day, against a second pass over all orders.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ from pyspark.sql import functions as F
 
 from skarn.functions import numeric
 from skarn.operators import forecast, series
-from skarn.operators.joins import align, join_small
+from skarn.operators.joins import align
 from skarn.operators.series import BARS, Layout
 from skarn.sources import views
+from skarn.sources.files import stored
 
 HOURS = Layout(time="dt", tie=("hr",), span=None)
 TICKS = Layout(time="ts", tie=("event_id",), span="day", block=5_000)
@@ -110,7 +112,7 @@ def last_k_ticks(spark, sf_dir):
 
 def asof_price(spark, sf_dir):
     """Close at or before the middle and the last but one day of every month, per series."""
-    bars = _closes(spark, sf_dir)
+    bars = stored(_closes(spark, sf_dir))
     months = bars.select("series_id", F.trunc("dt", "month").alias("m")).distinct()
     probes = months.select("series_id", F.explode(F.array(F.date_add("m", 14), F.date_add(F.last_day("m"), -1))).alias("dt"))
     out = series.asof(probes, bars, BARS, ["close"])
@@ -131,16 +133,14 @@ def asof_ticks(spark, sf_dir):
 def zscore_series(spark, sf_dir):
     """Scaled by the training rows only."""
     split = series.split_chronological(_closes(spark, sf_dir), BARS)
-    stats = series.fit_scaler(split, KEY, "close", F.col("split") == "train")
-    scaled = split.join(stats, KEY, "left")
+    scaled = series.with_scaler(split, BARS, "close", F.col("split") == "train")
     z = numeric.zscore(F.col("close"), F.col("mean"), F.col("std"))
     return scaled.select("series_id", "dt", "split", F.round(z, 6).alias("z"))
 
 
 def zscore_roundtrip(spark, sf_dir):
     """Scaled by all rows, and back."""
-    bars = _closes(spark, sf_dir)
-    scaled = bars.join(series.fit_scaler(bars, KEY, "close"), KEY, "left").withColumn(
+    scaled = series.with_scaler(_closes(spark, sf_dir), BARS, "close").withColumn(
         "z", numeric.zscore(F.col("close"), F.col("mean"), F.col("std"))
     )
     back = numeric.inverse_zscore(F.col("z"), F.col("mean"), F.col("std"))
@@ -148,14 +148,13 @@ def zscore_roundtrip(spark, sf_dir):
 
 
 def minmax_series(spark, sf_dir):
-    bars = _closes(spark, sf_dir)
-    scaled = bars.join(series.fit_scaler(bars, KEY, "close"), KEY, "left")
-    return scaled.select("series_id", "dt", F.round(numeric.minmax(F.col("close"), F.col("low"), F.col("high")), 6).alias("scaled"))
+    scaled = series.with_scaler(_closes(spark, sf_dir), BARS, "close")
+    value = numeric.minmax(F.col("close"), F.col("low"), F.col("high"))
+    return scaled.select("series_id", "dt", F.round(value, 6).alias("scaled"))
 
 
 def zscore_ticks(spark, sf_dir):
-    ticks = views.ticks(spark, sf_dir)
-    scaled = join_small(ticks, series.fit_scaler(ticks, KEY, "value"), KEY, "left")
+    scaled = series.with_scaler(views.ticks(spark, sf_dir), TICKS, "value")
     z = numeric.zscore(F.col("value"), F.col("mean"), F.col("std"))
     return scaled.select("series_id", "event_id", F.round(z, 6).alias("z"))
 
@@ -164,24 +163,23 @@ def persistence_forecast(spark, sf_dir):
     return forecast.persistence(_lag_split(spark, sf_dir, 1)).select("series_id", "dt", "split", "target", "prediction")
 
 
-def _autoregression(spark, sf_dir, n):
-    table = _lag_split(spark, sf_dir, n)
+def _autoregression(table, n):
     models = forecast.fit_autoregression(table.where(F.col("split") == "train"), KEY, n)
     return forecast.predict_autoregression(table, models, KEY, n)
 
 
 def ar1_forecast(spark, sf_dir):
-    out = _autoregression(spark, sf_dir, 1)
+    out = _autoregression(stored(_lag_split(spark, sf_dir, 1)), 1)
     return out.select("series_id", "dt", "split", "target", F.round("prediction", 3).alias("prediction"))
 
 
 def ar3_forecast(spark, sf_dir):
-    out = _autoregression(spark, sf_dir, 3)
+    out = _autoregression(stored(_lag_split(spark, sf_dir, 3)), 3)
     return out.select("series_id", "dt", "split", "target", F.round("prediction", 3).alias("prediction"))
 
 
 def forecast_metrics(spark, sf_dir):
-    out = forecast.forecast_metrics(_autoregression(spark, sf_dir, 1), ["series_id", "split"])
+    out = forecast.forecast_metrics(_autoregression(stored(_lag_split(spark, sf_dir, 1)), 1), ["series_id", "split"])
     return out.select(
         "series_id", "split", "n", F.round("mse", 0).alias("mse"), F.round("mae", 3).alias("mae"), F.round("rmse", 3).alias("rmse")
     )
@@ -189,16 +187,16 @@ def forecast_metrics(spark, sf_dir):
 
 def forecast_vs_actual(spark, sf_dir):
     """Test rows with the forecasts put beside them by position."""
-    table = _lag_split(spark, sf_dir, 3)
+    table = stored(_lag_split(spark, sf_dir, 3))
     test = table.where(F.col("split") == "test").select("series_id", "row_idx", "dt", "target")
-    predictions = _autoregression(spark, sf_dir, 3).select("series_id", "row_idx", "prediction")
+    predictions = _autoregression(table, 3).select("series_id", "row_idx", "prediction")
     both = align(test, predictions)
     return both.select("series_id", "row_idx", "dt", "target", F.round("prediction", 3).alias("prediction"))
 
 
 def forecast_by_split(spark, sf_dir):
     """One pooled model over the lag vectors of all series, applied to every split at once."""
-    table = series.lag_arrays(_lag_split(spark, sf_dir, 3), BARS, 3)
+    table = series.lag_arrays(stored(_lag_split(spark, sf_dir, 3)), BARS, 3)
     model = forecast.fit_window_model(table.where(F.col("split") == "train"), "X", "y")
     out = forecast.predict_window_model(model, table, "X")
     return out.select("series_id", "dt", "split", "y", "prediction")
@@ -207,9 +205,10 @@ def forecast_by_split(spark, sf_dir):
 def window60_forecast(spark, sf_dir):
     """60-step windows of the scaled series, holdout split, prediction scaled back."""
     bars = series.split_holdout(views.hourly(spark, sf_dir).select("series_id", "dt", "hr", "close"), HOURS)
-    stats = series.fit_scaler(bars, KEY, "close", F.col("split") == "train").select("series_id", "mean", "std")
-    scaled = bars.join(stats, KEY, "left").withColumn("z", numeric.zscore(F.col("close"), F.col("mean"), F.col("std")))
-    windows = series.history(scaled, HOURS, "z", 60)
+    scaled = series.with_scaler(bars, HOURS, "close", F.col("split") == "train").withColumn(
+        "z", numeric.zscore(F.col("close"), F.col("mean"), F.col("std"))
+    )
+    windows = series.history(stored(scaled), HOURS, "z", 60)
     model = forecast.fit_window_model(windows.where(F.col("split") == "train"), "window", "z", reg_param=0.1)
     out = forecast.predict_window_model(model, windows.where(F.col("split") == "test"), "window", "z_hat")
     value = numeric.inverse_zscore(F.col("z_hat"), F.col("mean"), F.col("std"))
@@ -224,37 +223,37 @@ def forecast_horizon(spark, sf_dir):
     return val.unionByName(test)
 
 
-def _fixed_models(spark, sf_dir):
-    names = _closes(spark, sf_dir).select("series_id").distinct()
+def _fixed_models(bars):
+    names = bars.select("series_id").distinct()
     return names.select("series_id", F.lit(FIXED_INTERCEPT).alias("intercept"), F.array(*[F.lit(c) for c in FIXED_COEFS]).alias("coefs"))
 
 
 def recursive_forecast(spark, sf_dir):
-    bars = _closes(spark, sf_dir)
+    bars = stored(series.row_index(_closes(spark, sf_dir), BARS))
     starts = forecast.start_windows(bars, BARS, "close", 3)
-    out = forecast.roll_forward(starts, _fixed_models(spark, sf_dir), KEY)
-    dated = align(out, series.row_index(bars, BARS).select("series_id", "row_idx", "dt"))
+    out = forecast.roll_forward(starts, _fixed_models(bars), KEY)
+    dated = align(out, bars.select("series_id", "row_idx", "dt"))
     return dated.select("series_id", "row_idx", "dt", F.round("prediction", 4).alias("prediction"))
 
 
 def frozen_forecast(spark, sf_dir):
-    bars = _closes(spark, sf_dir)
+    bars = stored(series.row_index(_closes(spark, sf_dir), BARS))
     starts = forecast.start_windows(bars, BARS, "close", 3, start="last_sample")
-    out = forecast.frozen_forecast(starts, _fixed_models(spark, sf_dir), KEY)
-    dated = align(out, series.row_index(bars, BARS).select("series_id", "row_idx", "dt"))
+    out = forecast.frozen_forecast(starts, _fixed_models(bars), KEY)
+    dated = align(out, bars.select("series_id", "row_idx", "dt"))
     return dated.select("series_id", "row_idx", "dt", F.round("prediction", 4).alias("prediction"))
 
 
 def forecast_long(spark, sf_dir):
     """Observed, one-step and baseline values over all splits as one long table."""
-    out = forecast.persistence(_autoregression(spark, sf_dir, 1).withColumnRenamed("prediction", "predicted"))
+    out = forecast.persistence(_autoregression(stored(_lag_split(spark, sf_dir, 1)), 1).withColumnRenamed("prediction", "predicted"))
     out = out.withColumnsRenamed({"target": "observed", "prediction": "baseline"})
     out = out.withColumn("predicted", F.round("predicted", 3))
     return forecast.forecast_long(out, ["series_id", "dt", "split"], ["observed", "predicted", "baseline"])
 
 
 def volume_outliers(spark, sf_dir):
-    bars = views.prices(spark, sf_dir).select("series_id", "dt", "volume")
+    bars = stored(views.prices(spark, sf_dir).select("series_id", "dt", "volume"))
     return series.outlier_flags(bars, "series_id", "volume").withColumns(
         {c: F.round(c, 4) for c in ("q1", "q3")}
     )

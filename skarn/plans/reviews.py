@@ -52,9 +52,13 @@ def _rated(spark, sf_dir):
 
 
 def _joint(spark, sf_dir):
-    return scoring.joint_scores(
-        _with_rules(spark, sf_dir), views.model_scores(spark, sf_dir), views.ratings(spark, sf_dir)
-    )
+    """Both scorers and the rating. The texts are read once: model scores ride along."""
+    probs = views.scorer_input(spark, sf_dir).select("Id", "Text", views.model_logits(F.col("Text")).alias("z"))
+    probs = probs.select("Id", "Text", softmax(F.col("z")).alias("p"))
+    model = probs.select("Id", "Text", *[F.round(F.col("p")[i], 6).alias(c) for i, c in enumerate(MODEL_SCORES)])
+    scores = text.polarity(model, views.lexicon(spark), CORPUS_RULES, keep=MODEL_SCORES)
+    named = columns.prefix_columns(scores, "lexicon_", ["Id", *MODEL_SCORES])
+    return natural_left_join(named, views.ratings(spark, sf_dir))
 
 
 def tokenize_docs(spark, sf_dir):
@@ -107,7 +111,10 @@ def score_histogram(spark, sf_dir):
 
 
 def scores_joined(spark, sf_dir):
-    return _joint(spark, sf_dir)
+    """Two scorers run apart, put side by side and merged with the ratings."""
+    return scoring.joint_scores(
+        _with_rules(spark, sf_dir), views.model_scores(spark, sf_dir), views.ratings(spark, sf_dir)
+    )
 
 
 def scorer_confusion(spark, sf_dir):

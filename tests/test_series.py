@@ -54,6 +54,8 @@ def test_gap_cut(spark):
     assert [r["gap_days"] for r in whole.orderBy("dt").collect()] == [1, 1, 7, 1, 8, 1]
     cut = series.lag_table(df, BARS, "close", 1, max_gap_days=7)
     assert [r["dt"] for r in cut.orderBy("dt").collect()] == [DAY0 + dt.timedelta(d) for d in (1, 2, 9, 10)]
+    pieces = series.lag_table(df, Layout(span="month", block=3), "close", 1, max_gap_days=7)
+    assert rows(pieces) == rows(cut)
     # The gap before the first wanted row does not end the run.
     late = series.lag_table(df, BARS, "close", 1, first=DAY0 + dt.timedelta(18), max_gap_days=7)
     assert late.count() == 2
