@@ -45,6 +45,11 @@ BOOSTERS_DOWN = (
     "almost", "barely", "hardly", "kinda", "kindof", "kind-of", "less", "little", "marginally", "occasionally",
     "partly", "scarcely", "slightly", "somewhat", "sorta", "sortof", "sort-of",
 )
+BOOSTER_PHRASES = ("just enough", "kind of", "sort of")
+IDIOMS = {
+    "the shit": 3.0, "the bomb": 3.0, "bad ass": 1.5, "yeah right": -2.0, "cut the mustard": 2.0,
+    "kiss of death": -1.5, "hand to mouth": -2.0,
+}
 
 
 def _default_boosters() -> dict[str, float]:
@@ -58,12 +63,16 @@ class PolarityRules:
     capitals: bool = True
     boosters: bool = True
     negation: bool = True
+    idioms: bool = True
     least: bool = True
     contrast: bool = True
     emphasis: bool = True
 
     booster_words: Mapping[str, float] = field(default_factory=_default_boosters)
+    booster_phrases: Sequence[str] = BOOSTER_PHRASES
+    phrase_weight: float = -BOOST
     negation_words: Sequence[str] = NEGATIONS
+    idiom_values: Mapping[str, float] = field(default_factory=lambda: dict(IDIOMS))
     never_word: str = "never"
     never_followers: Sequence[str] = ("so", "this")
     least_word: str = "least"
@@ -83,14 +92,14 @@ class PolarityRules:
 
     @property
     def looks_around(self) -> bool:
-        return self.boosters or self.negation or self.least
+        return self.boosters or self.negation or self.idioms or self.least
 
 
 # Stands for the text itself among its words; no word of a text is empty.
 EMPTY = ""
 
 CORE = PolarityRules(
-    capitals=False, boosters=False, negation=False, least=False, contrast=False, emphasis=False
+    capitals=False, boosters=False, negation=False, idioms=False, least=False, contrast=False, emphasis=False
 )
 
 
@@ -155,7 +164,10 @@ def _words_in_context(
         for k in (1, 2, 3):
             gap = F.array_repeat(F.lit(None).cast("string"), k + 1)
             shifts[f"back{k}"] = F.slice(F.concat(gap, "word"), F.lit(1), size + 1)
-        shifts["next1"] = F.slice(F.concat(F.col("word"), F.array_repeat(F.lit(None).cast("string"), 1)), F.lit(1), size + 1)
+        for k in (1, 2):
+            gap = F.array_repeat(F.lit(None).cast("string"), k)
+            ahead = F.slice(F.concat("word", gap), F.lit(k), size + 1)
+            shifts[f"next{k}"] = ahead
     rows = rows.withColumns({**shifts, "word": F.concat(F.array(F.lit(EMPTY)), "word")})
     zipped = F.arrays_zip("word", *shifts)
     others = [c for c in rows.columns if c != "word" and c not in shifts]
@@ -187,6 +199,11 @@ def _loud(word: str) -> str:
     return f"({word} = upper({word}) AND {word} <> lower({word}) AND mixed_case)"
 
 
+def _phrase(words: str) -> str:
+    """NULL where one of the words is missing."""
+    return "concat(" + ", ' ', ".join(words.split()) + ")"
+
+
 def _steps(rules: PolarityRules) -> list[str]:
     """SQL expressions that replace `valence` one after the other, in the published order."""
     capital = f"IF(valence > 0, {rules.capital_weight}D, -{rules.capital_weight}D)"
@@ -212,6 +229,14 @@ def _steps(rules: PolarityRules) -> list[str]:
                 )
             cases += f" WHEN lower(back{k}) {_in(rules.negation_words)} OR contains(lower(back{k}), \"n't\") THEN {rules.negation_factor}D"
             steps.append(f"IF(free{k}, valence * CASE {cases} ELSE 1D END, valence)")
+    if rules.idioms:
+        phrases = ["back1 word", "back2 back1 word", "back2 back1", "back3 back2 back1", "back3 back2"]
+        cases = " ".join(f"WHEN {sql_literal(p)} THEN {float(x)}D" for p, x in rules.idiom_values.items())
+        # A phrase that goes on after the word outranks one that ends at it.
+        ranked = ["word next1 next2", "word next1", *phrases]
+        found = ", ".join(f"CASE {_phrase(p)} {cases} END" for p in ranked)
+        damped = " OR ".join(f"{_phrase(p)} {_in(rules.booster_phrases)}" for p in ("back3 back2", "back2 back1"))
+        steps.append(f"IF(free3, coalesce({found}, valence) + IF({damped}, {rules.phrase_weight}D, 0D), valence)")
     if rules.least:
         exempt = f"coalesce(lower(back2) {_in(rules.least_exempt)}, false)"
         least = f"free1 AND lower(back1) = {sql_literal(rules.least_word)} AND NOT {exempt}"

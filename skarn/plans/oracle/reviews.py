@@ -59,7 +59,7 @@ def _rule_steps() -> dict[str, str]:
     steps = {
         "upper_counts": """SELECT doc_id, count(*) FILTER (word = upper(word) AND word <> lower(word)) AS n_up, count(*) AS n,
           min(at_) FILTER (lower(word) = '""" + r.contrast_word + """') AS turn FROM words GROUP BY 1""",
-        "ctx": f"""SELECT h.*, {lags}, lead(word) {before} AS nx, n_up > 0 AND n_up < n AS mixed, turn
+        "ctx": f"""SELECT h.*, {lags}, lead(word) {before} AS nx, lead(word, 2) {before} AS nx2, n_up > 0 AND n_up < n AS mixed, turn
           FROM hit h JOIN upper_counts USING (doc_id)""",
         "s0": f"""SELECT *, CASE WHEN word = upper(word) AND word <> lower(word) AND mixed
           THEN valence + CASE WHEN valence > 0 THEN {r.capital_weight} ELSE -{r.capital_weight} END::DOUBLE ELSE valence END AS v
@@ -83,6 +83,16 @@ def _rule_steps() -> dict[str, str]:
         steps[f"n{k}s"] = f"""SELECT * EXCLUDE (v), CASE WHEN known{k} IS DISTINCT FROM false THEN v {never}
           WHEN {negated} THEN v * {r.negation_factor}::DOUBLE ELSE v END AS v FROM b{k}s"""
         last = f"n{k}s"
+    values = ", ".join(f"({_quoted(p)}, {x}::DOUBLE)" for p, x in r.idiom_values.items())
+    steps["idiom"] = f"SELECT * FROM (VALUES {values}) AS t(phrase, worth)"
+    spoken = ["word || ' ' || nx || ' ' || nx2", "word || ' ' || nx", "b1 || ' ' || word", "b2 || ' ' || b1 || ' ' || word",
+              "b2 || ' ' || b1", "b3 || ' ' || b2 || ' ' || b1", "b3 || ' ' || b2"]
+    worths = ", ".join(f"(SELECT worth FROM idiom WHERE phrase = {p})" for p in spoken)
+    steps["phrased"] = f"""SELECT * EXCLUDE (v), CASE WHEN known3 IS NOT DISTINCT FROM false THEN coalesce({worths}, v) +
+        CASE WHEN b3 || ' ' || b2 IN {_in(r.booster_phrases)} OR b2 || ' ' || b1 IN {_in(r.booster_phrases)}
+        THEN {r.phrase_weight}::DOUBLE ELSE 0.0::DOUBLE END ELSE v END AS v FROM {last} WHERE valence IS NOT NULL
+      UNION ALL BY NAME SELECT * FROM {last} WHERE valence IS NULL"""
+    last = "phrased"
     early, late = r.contrast_factors
     steps["adjusted"] = f"""SELECT doc_id, at_, (CASE
         WHEN valence IS NULL OR lower(word) IN {_in(r.booster_words)} OR (lower(word) = 'kind' AND lower(nx) = 'of') THEN 0.0::DOUBLE

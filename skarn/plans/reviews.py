@@ -23,7 +23,9 @@ MAX_CHARS = 20_000
 # Words of the invented corpus in the place of real boosters, negations and so on.
 CORPUS_RULES = text.PolarityRules(
     booster_words={"the": 0.293, "is": 0.293, "and": -0.293},
+    booster_phrases=("of the", "to the", "and the"),
     negation_words=("of", "not", "des", "no"),
+    idiom_values={"with the": 0.7, "the that": -1.2, "of that the": 1.1, "of the": -0.4, "from the of": 2.1},
     never_word="to",
     never_followers=("by", "in"),
     least_word="for",

@@ -60,10 +60,18 @@ def test_texts_without_words_score_zero_and_null_has_no_row(score):
         ("not in the least way good", 1.9),
         ("there is no good", -1.2 + 1.9),
         ("never so good", (1.9 + 0.293) * 1.5),
-        ("never this very good", ((1.9 + 0.293) * -0.74 if False else (1.9 + 0.293)) * 1.25),
+        ("never this very good", (1.9 + 0.293) * 1.25),
+        ("that was a bit of a bad ass", 1.5),
+        ("oh what a day good is the bomb", 1.9),
+        ("he is only just enough good", 1.9 - 0.293),
+        ("he lives hand to mouth bad", -2.0),
+        ("what a sort of nice good", 1.9 - 0.293),
+        ("hand to mouth bad", -2.0),
+        ("to mouth bad", -2.5),
         ("the least good", 1.9 * -0.74),
         ("at least good", 1.9),
-        ("some kind of good", 1.9),
+        ("kind of good", 1.9),
+        ("some kind of good", 1.9 - 0.293),
         ("it is kind and flat", 2.4),
         ("good but bad", 1.9 * 0.5 - 2.5 * 1.5),
         ("good!", 1.9 + 0.292),
@@ -81,7 +89,7 @@ def test_rules(score, sentence, total):
 
 def test_switched_off_rules_only_sum(score):
     assert score("it was NOT VERY good but bad!!!", rules=CORE)[0][3] == squash(1.9 - 2.5)
-    only = PolarityRules(capitals=False, boosters=False, least=False, contrast=False, emphasis=False)
+    only = PolarityRules(capitals=False, boosters=False, idioms=False, least=False, contrast=False, emphasis=False)
     assert score("it was not VERY GOOD!", rules=only)[0][3] == squash(1.9 * -0.74)
 
 
