@@ -1,11 +1,12 @@
 """Segmentation, review scoring and price-series operators on Spark DataFrames."""
 
-import sys
-
 from pyspark import cloudpickle
 
-__version__ = "0.1.0"
+from skarn import functions, operators, sources, streaming
+
+__version__ = "0.2.0"
 
-# The few Python functions that run in tasks travel with the job, so that workers need no
-# installed copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+# The few Python functions of these folders that run in tasks travel with the job, so that
+# workers need no installed copy of them.
+for _folder in (functions, operators, sources, streaming):
+    cloudpickle.register_pickle_by_value(_folder)

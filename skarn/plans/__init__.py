@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
+
 from skarn.plans import prices, profiling, reviews, segmentation
 from skarn.plans.oracle import prices as prices_sql
 from skarn.plans.oracle import profiling as profiling_sql
@@ -10,3 +14,5 @@ from skarn.plans.oracle import segmentation as segmentation_sql
 
 QUERIES = {**profiling.QUERIES, **segmentation.QUERIES, **reviews.QUERIES, **prices.QUERIES}
 ORACLE_SQL = {**profiling_sql.SQL, **segmentation_sql.SQL, **reviews_sql.SQL, **prices_sql.SQL}
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
