@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.llm import byte_bpe, huffman, packing
+from skarn.llm import byte_bpe, huffman, packing, toxicity
 from skarn.llm._shared import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -31,6 +31,20 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+TOXIC = 0.7  # score from which a text is called toxic
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= TOXIC).cast("int").alias("predicted"),
+    )
+
+
 def op9_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = huffman.coded_ids(table(spark, sf_dir, "documents"), WORD_BPE)
     return ids.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -39,6 +53,7 @@ def op9_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_packing": op2_packing,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_toxicity": op7_toxicity,
     "op9_huffman": op9_huffman,
 }
 SQL: dict[str, str] = {}
