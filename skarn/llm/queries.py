@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.llm import byte_bpe, huffman, packing, toxicity
+from skarn.llm import byte_bpe, huffman, jaccard, packing, toxicity
 from skarn.llm._shared import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -20,6 +20,37 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'
+    ) AS w FROM documents
+), sets AS (
+    SELECT doc_id, CASE
+        WHEN len(w) = 0 THEN []
+        WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)])
+    END AS g FROM words
+), single AS (
+    SELECT doc_id, len(g) AS n, unnest(g) AS s FROM sets
+), links AS (
+    SELECT a.doc_id AS x, b.doc_id AS y FROM single a JOIN single b ON a.s = b.s AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach AS (
+    SELECT doc_id, doc_id AS root FROM documents
+    UNION
+    SELECT links.y, reach.root FROM reach JOIN links ON links.x = reach.doc_id
+), roots AS (
+    SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT sets.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id FROM sets JOIN roots USING (doc_id)
+"""
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = byte_bpe.encode_texts(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
     decoded = byte_bpe.decode_ids(encoded, BYTE_BPE, public_tokenizers.PATTERN)
@@ -52,8 +83,9 @@ def op9_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op3_jaccard": op3_jaccard,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_toxicity": op7_toxicity,
     "op9_huffman": op9_huffman,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_jaccard": OP3_SQL}
