@@ -6,13 +6,40 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.llm import byte_bpe, huffman, jaccard, packing, toxicity
+from skarn.llm import byte_bpe, huffman, jaccard, neighbours, packing, toxicity
 from skarn.llm._shared import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP1_SQL = """
+WITH RECURSIVE usable AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE label IS NOT NULL AND len(list_filter(CAST(embedding AS DOUBLE[]), x -> x IS NULL OR NOT isfinite(x))) = 0
+        AND list_sum(list_transform(CAST(embedding AS DOUBLE[]), x -> x * x)) > 0
+), links AS (
+    SELECT a.vec_id AS x, b.vec_id AS y FROM usable a JOIN usable b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), reach AS (
+    SELECT vec_id, vec_id AS root FROM embeddings
+    UNION
+    SELECT links.y, reach.root FROM reach JOIN links ON links.x = reach.vec_id
+), roots AS (
+    SELECT vec_id, min(root) AS component_id FROM reach GROUP BY vec_id
+), counts AS (
+    SELECT x AS vec_id, count(*) AS n FROM links GROUP BY x
+)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM roots LEFT JOIN counts USING (vec_id)
+"""
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
     return pieces.select(
@@ -82,10 +109,11 @@ def op9_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_neighbours": op1_neighbours,
     "op2_packing": op2_packing,
     "op3_jaccard": op3_jaccard,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_toxicity": op7_toxicity,
     "op9_huffman": op9_huffman,
 }
-SQL: dict[str, str] = {"op3_jaccard": OP3_SQL}
+SQL: dict[str, str] = {"op1_neighbours": OP1_SQL, "op3_jaccard": OP3_SQL}
