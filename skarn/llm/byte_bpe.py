@@ -78,7 +78,7 @@ def encode_texts(df: DataFrame, path: str, pattern: str, id_column: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(path, pattern)
         for batch in batches:
-            for rows in text_slices(batch, text_column, 8 << 20):
+            for rows in text_slices(batch, text_column, 2 << 20):
                 each = [bpe.encode(t) for t in texts_of(rows, text_column)]
                 yield pa.RecordBatch.from_pydict(
                     {
@@ -101,7 +101,7 @@ def decode_ids(df: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(path, pattern)
         for batch in batches:
-            for rows in text_slices(batch, "ids", 8 << 20):
+            for rows in text_slices(batch, "ids", 2 << 20):
                 each = [np.frombuffer(x or b"", "<u4").tolist() for x in rows.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_pydict(
                     {
