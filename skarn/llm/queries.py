@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.llm import byte_bpe, huffman, jaccard, neighbours, packing, toxicity
+from skarn.llm import byte_bpe, huffman, jaccard, neighbours, packing, secrets, toxicity
 from skarn.llm._shared import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -20,8 +20,8 @@ def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = """
 WITH RECURSIVE usable AS (
     SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
-    WHERE label IS NOT NULL AND len(list_filter(CAST(embedding AS DOUBLE[]), x -> x IS NULL OR NOT isfinite(x))) = 0
-        AND list_sum(list_transform(CAST(embedding AS DOUBLE[]), x -> x * x)) > 0
+    WHERE label IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        AND list_sum([CAST(x AS DOUBLE) * x FOR x IN embedding]) > 0
 ), links AS (
     SELECT a.vec_id AS x, b.vec_id AS y FROM usable a JOIN usable b
     ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
@@ -108,6 +108,10 @@ def op9_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digested(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_neighbours": op1_neighbours,
     "op2_packing": op2_packing,
@@ -115,5 +119,6 @@ QUERIES = {
     "op6_byte_bpe": op6_byte_bpe,
     "op7_toxicity": op7_toxicity,
     "op9_huffman": op9_huffman,
+    "op10_secrets": op10_secrets,
 }
 SQL: dict[str, str] = {"op1_neighbours": OP1_SQL, "op3_jaccard": OP3_SQL}
