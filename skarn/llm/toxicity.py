@@ -34,6 +34,7 @@ STRONG = 2.5  # weight from which a term counts as a hit
 LEAST = 4  # toxic texts, and different words before the term, that a term needs at least
 SHARE = 0.01  # the same as a share of the toxic texts
 HEADS = range(3, 8)  # letters of word beginnings
+SLICE = 4 << 20  # bytes of text measured at once
 NEAR = 6  # places between a hit and a word of the second person
 
 # Common insults, and words of the second person in English, German, French and Spanish.
@@ -74,7 +75,7 @@ class Model:
 class Words(dict):
     """distinct word -> (weight, weight once hidden letters are plain, second person, mixed), remembered up to a bound."""
 
-    def __init__(self, model: Model, most: int = 500_000):
+    def __init__(self, model: Model, most: int = 300_000):
         super().__init__()
         self.model, self.most, self.second, self.insults = model, most, set(SECOND.split()), set(INSULTS.split())
 
@@ -247,10 +248,14 @@ def fit(
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = [Words(Model(w)) for w in crossed]
         for batch in batches:
-            ids = batch.column("_id").to_pylist()
-            x = [features(batch.column("_text"), w) for w in words]
-            own = np.where(fold(ids, 2)[:, None] == 0, x[0], x[1]) if ids else np.empty((0, 15))
-            yield pa.RecordBatch.from_pydict({"_id": batch.column("_id").cast(pa.int64()), "y": batch.column("_y").cast(pa.int64()), "x": pa.array(own.tolist(), pa.list_(pa.float64()))})
+            for part in text_slices(batch, "_text", SLICE):
+                ids = part.column("_id").to_pylist()
+                x = [features(part.column("_text"), w) for w in words]
+                own = np.where(fold(ids, 2)[:, None] == 0, x[0], x[1])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), part.column("_y").cast(pa.int64()), pa.array(own.tolist(), pa.list_(pa.float64()))],
+                    ["_id", "y", "x"],
+                )
 
     table = rows.mapInArrow(measured, "_id long, y long, x array<double>").toPandas().sort_values(["_id", "y"])
     model = Model(lexicon((0, 1)))
@@ -273,7 +278,7 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(model)
         for batch in batches:
-            for rows in text_slices(batch, text_column):
+            for rows in text_slices(batch, text_column, SLICE):
                 x = features(rows.column(text_column), words)
                 p = calibrated(model.trees.margin(x), model.knots) if model.trees else np.full(len(x), 0.5)
                 if keep:
