@@ -188,9 +188,9 @@ def fit(
     )
 
     def toxic_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (p for batch in batches for p in text_slices(batch, "_text", SLICE // 4)):
             term, half, before = [], [], []
-            for k, text in zip(fold(batch.column("_id").to_pylist(), 2).tolist(), batch.column("_text").to_pylist(), strict=True):
+            for k, text in zip(fold(part.column("_id").to_pylist(), 2).tolist(), part.column("_text").to_pylist(), strict=True):
                 words, seen = [bare(w) for w in text.lower().split()], set()
                 for prior, word in zip(["", *words], words, strict=False):
                     for key in keys_of(word) if word else ():
