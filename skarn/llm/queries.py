@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.llm import byte_bpe, huffman, jaccard, neighbours, packing, secrets, toxicity
+from skarn.llm import byte_bpe, huffman, jaccard, language, neighbours, packing, secrets, toxicity
 from skarn.llm._shared import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -103,6 +104,16 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.classify(docs, language.fit(docs, PIECES)).select(
+        "doc_id",
+        F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"),
+        "lang_pred",
+        "score",
+    )
+
+
 def op9_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = huffman.coded_ids(table(spark, sf_dir, "documents"), WORD_BPE)
     return ids.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -118,6 +129,7 @@ QUERIES = {
     "op3_jaccard": op3_jaccard,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_toxicity": op7_toxicity,
+    "op8_language": op8_language,
     "op9_huffman": op9_huffman,
     "op10_secrets": op10_secrets,
 }
