@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.llm import byte_bpe, huffman, jaccard, language, neighbours, packing, secrets, toxicity
+from skarn.llm import byte_bpe, huffman, jaccard, language, matroska, neighbours, packing, secrets, toxicity
 from skarn.llm._shared import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -79,6 +79,10 @@ SELECT sets.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id FROM sets
 """
 
 
+def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.payload_digests(matroska.media_of(table(spark, sf_dir, "documents")))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = byte_bpe.encode_texts(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
     decoded = byte_bpe.decode_ids(encoded, BYTE_BPE, public_tokenizers.PATTERN)
@@ -127,6 +131,7 @@ QUERIES = {
     "op1_neighbours": op1_neighbours,
     "op2_packing": op2_packing,
     "op3_jaccard": op3_jaccard,
+    "op4_matroska": op4_matroska,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_toxicity": op7_toxicity,
     "op8_language": op8_language,
