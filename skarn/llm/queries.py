@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.llm import byte_bpe, huffman, jaccard, language, matroska, neighbours, packing, secrets, toxicity
+from skarn.llm import byte_bpe, huffman, jaccard, language, matroska, neighbours, packing, secrets, toxicity, warc_zip
 from skarn.llm._shared import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -83,6 +83,23 @@ def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.payload_digests(matroska.media_of(table(spark, sf_dir, "documents")))
 
 
+def op5_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.archived(table(spark, sf_dir, "pages"))
+
+
+OP5_SQL = """
+WITH sized AS (
+    SELECT page_id, sha1(coalesce(html, '')) AS digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages
+), last AS (
+    SELECT digest, max(page_id) AS response FROM sized WHERE n >= 1000 GROUP BY digest
+)
+SELECT page_id, n AS payload_bytes, sized.digest AS payload_digest,
+    CASE WHEN response <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN response <> page_id THEN response END AS refers_to
+FROM sized LEFT JOIN last ON sized.digest = last.digest AND n >= 1000
+"""
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = byte_bpe.encode_texts(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
     decoded = byte_bpe.decode_ids(encoded, BYTE_BPE, public_tokenizers.PATTERN)
@@ -132,10 +149,11 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_jaccard": op3_jaccard,
     "op4_matroska": op4_matroska,
+    "op5_warc_zip": op5_warc_zip,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_toxicity": op7_toxicity,
     "op8_language": op8_language,
     "op9_huffman": op9_huffman,
     "op10_secrets": op10_secrets,
 }
-SQL: dict[str, str] = {"op1_neighbours": OP1_SQL, "op3_jaccard": OP3_SQL}
+SQL: dict[str, str] = {"op1_neighbours": OP1_SQL, "op3_jaccard": OP3_SQL, "op5_warc_zip": OP5_SQL}
