@@ -56,10 +56,6 @@ def _longs(sets: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-def _packed(sets: list[np.ndarray]) -> pa.Array:
-    return pa.array([s.tobytes() for s in sets], pa.binary())
-
-
 def _summed(parts: DataFrame, cells: int, dtype: str, union: bool) -> DataFrame:
     """Add up (or unite) packed pieces of a table of fixed size; each task holds the blocks dealt to it, nothing more."""
     size = cells // BLOCKS
@@ -196,60 +192,77 @@ def first_regions(spark: SparkSession, points: DataFrame) -> DataFrame:
     return stored(members.join(one, "region").withColumn("open", F.lit(True)), "members")
 
 
-def point_sets(spark: SparkSession, docs: DataFrame, id_column: str, text: str, wanted: DataFrame) -> DataFrame:
-    """(point, shingles) of each wanted (point, doc_id): one document of each point, its shingles packed."""
-    bits = spark.sparkContext.broadcast(_filter_of(wanted.select("point")))
+def _kept(table: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Rows of a table that may have a value of the one-column table `wanted` of longs: all that have, and few others."""
+    bits = table.sparkSession.sparkContext.broadcast(_filter_of(wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_has(bits.value, batch.column(column).to_numpy())))
+
+    return table.mapInArrow(run, table.schema)
+
+
+def point_texts(docs: DataFrame, id_column: str, text: str, wanted: DataFrame) -> DataFrame:
+    """(point, text) of each wanted (point, doc_id): the text of one document of each point.
+
+    A filter of fixed size on both columns picks the documents where they lie. It may let others through; a text is then
+    there under its own point as well, which no pair asks for, or twice.
+    """
+    context = docs.sparkSession.sparkContext
+    ids, names = (context.broadcast(_filter_of(wanted.select(c))) for c in ("doc_id", "point"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pc.is_valid(batch.column(0)))
+            batch = batch.filter(pa.array(_has(ids.value, batch.column(0).cast(pa.int64()).to_numpy())))
             for rows in _slices(batch, text):
-                sets = shingle_sets(rows.column(text), SIZE)
-                names = np.array([fingerprint(s) for s in sets], np.int64)
-                there = np.flatnonzero(_has(bits.value, names))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        rows.column(id_column).cast(pa.int64()).take(pa.array(there)),
-                        pa.array(names[there]),
-                        _packed([sets[k] for k in there]),
-                    ],
-                    ["doc_id", "point", "shingles"],
-                )
+                own = np.array([fingerprint(s) for s in shingle_sets(rows.column(text), SIZE)], np.int64)
+                there = pa.array(np.flatnonzero(_has(names.value, own)))
+                yield pa.RecordBatch.from_arrays([pa.array(own).take(there), rows.column(text).take(there)], ["point", "text"])
 
-    made = docs.select(id_column, text).mapInArrow(run, "doc_id long, point long, shingles binary")
-    # rows that repeat a document repeat its set
-    return stored(made.join(wanted, ["doc_id", "point"], "left_semi").dropDuplicates(["point"]).select("point", "shingles"), "sets", "lz4")
+    return stored(docs.select(id_column, text).mapInArrow(run, "point long, text string"), "texts")
 
 
-def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, d, linked) of distinct pairs a < b of points, from their whole sets."""
+def distances(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, d, linked) of distinct pairs a < b of points, from the whole sets of their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            common, sizes = [], []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                common.append(int((y[np.minimum(at, len(y) - 1)] == x).sum()))
-                sizes.append(len(x) + len(y))
-            common = np.array(common, np.int64)
-            union = np.array(sizes, np.int64) - common
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(1 - common / np.maximum(union, 1)), pa.array(PARTS * common >= (PARTS - 1) * union)],
-                ["a", "b", "d", "linked"],
-            )
-
-    left = sets.select(F.col("point").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("point").alias("b"), F.col("shingles").alias("sb"))
-    return stored(pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long, d double, linked boolean"), "distances")
+            for rows in _slices(batch, "ta"):
+                for part in _slices(rows, "tb"):
+                    sets = []
+                    for name, text in (("a", "ta"), ("b", "tb")):
+                        points, first, where = np.unique(part.column(name).to_numpy(), return_index=True, return_inverse=True)
+                        own = shingle_sets(part.column(text).take(pa.array(first)), SIZE)
+                        sets.append([own[k] for k in where])
+                    common = np.array([_common(x, y) for x, y in zip(*sets, strict=True)], np.int64)
+                    union = np.array([len(x) + len(y) for x, y in zip(*sets, strict=True)], np.int64) - common
+                    linked = PARTS * common >= (PARTS - 1) * union
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("a"), part.column("b"), pa.array(1 - common / np.maximum(union, 1)), pa.array(linked)],
+                        ["a", "b", "d", "linked"],
+                    )
+
+    pairs = stored(pairs, "pairs")
+    needed = _kept(texts, "point", pairs.select("a").union(pairs.select("b")))
+    left = needed.select(F.col("point").alias("a"), F.col("text").alias("ta"))
+    right = needed.select(F.col("point").alias("b"), F.col("text").alias("tb"))
+    found = pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long, d double, linked boolean")
+    return stored(found.dropDuplicates(["a", "b"]), "distances")
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    if len(x) > len(y):
+        x, y = y, x
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
 
 
 def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
     return pairs.where(f"{x} <> {y}").select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def next_level(members: DataFrame, sets: DataFrame, level: int) -> tuple[DataFrame, DataFrame | None]:
+def next_level(members: DataFrame, texts: DataFrame, level: int) -> tuple[DataFrame, DataFrame | None]:
     """Join the regions of one level: (distances computed, regions of the next level or None)."""
     counted = stored(
         members.groupBy("region").agg(F.expr("count_if(open)").alias("n"), F.min(F.expr("if(open, point, null)")).alias("least")),
@@ -265,7 +278,7 @@ def next_level(members: DataFrame, sets: DataFrame, level: int) -> tuple[DataFra
     inside = leaves.join(members.select("region", F.col("point").alias("y")), "region")
     to_pivot = members.join(pivots, "region")
     pairs = _ordered(inside, "x", "y").union(_ordered(to_pivot, "point", "pivot")).distinct()
-    found = distances(pairs, sets)
+    found = distances(pairs, texts)
     rest = to_pivot.join(pivots.select("region", F.col("pivot").alias("point")), ["region", "point"], "left_anti")
     rest = rest.withColumn("a", F.least("point", "pivot")).withColumn("b", F.greatest("point", "pivot"))
     rest = stored(rest.join(found, ["a", "b"]).select("region", "point", "open", "pivot", "d", "linked"), "to-pivots")
@@ -300,13 +313,14 @@ def linked_points(spark: SparkSession, docs: DataFrame, id_column: str, text: st
     points = stored(signatures(docs, id_column, text, codes), "signatures")
     members = first_regions(spark, points)
     wanted = members.select("point").distinct().join(points.where("doc_id is not null").groupBy("point").agg(F.min("doc_id").alias("doc_id")), "point")
-    sets = point_sets(spark, docs, id_column, text, stored(wanted, "wanted"))
-    # points whose rows all lack an id link with nothing
-    members = stored(members.join(sets.select("point"), "point", "left_semi").select("region", "point", "open"), "members")
+    # points whose rows all lack an id are not among them and link with nothing
+    wanted = stored(wanted, "wanted")
+    texts = point_texts(docs, id_column, text, wanted)
+    members = stored(members.join(wanted.select("point"), "point", "left_semi").select("region", "point", "open"), "members")
     links, level = None, 0
     while members is not None:
         level += 1
-        found, members = next_level(members, sets, level)
+        found, members = next_level(members, texts, level)
         own = found.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
         links = own if links is None else links.union(own)
     return points.select("doc_id", "n", "point"), links
