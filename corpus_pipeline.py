@@ -1,25 +1,67 @@
-"""The corpus pipeline: operators of `skarn.llm` one after another over `documents`."""
+"""The corpus pipeline: five operators of `skarn.llm` one after another over `documents`.
+
+Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns a frame; all but the last
+return the columns of `documents`. Models are trained on the frame at hand and the labels of the input folder.
+
+toxicity      documents scored 0.7 or more go; clean, null and empty texts stay
+language      documents without any letter go (`und`); `lang` takes the predicted language
+jaccard       one document of each group of linked documents stays, the one with the smallest doc_id
+secrets       every secret in a text, also inside encoded runs, is replaced; `n_chars` follows the text
+packing       what is left is packed into sequences: one row per piece with its ids
+
+A null doc_id makes no stage fail: the row is scored and cleaned like others, never counts as a copy, and is packed under
+a null id. Repeated rows of an id are judged each for itself, and copies under one id leave one row.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skarn.llm._shared import stored, table
-from skarn.llm import packing, queries
+from skarn.llm import jaccard, language, packing, queries, secrets, toxicity
+from skarn.llm._shared import ship, stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, keep=True).where(F.col("_score") < queries.TOXIC).drop("_score")
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    found = language.classify(docs, language.fit(docs, queries.PIECES), keep=True)
+    return found.where("_lang_pred <> 'und'").withColumn("lang", F.col("_lang_pred")).select(docs.columns)
+
+
+def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return jaccard.one_of_each(docs)
+
+
+def safe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return secrets.redact(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return packing.pack_documents(docs, queries.WORD_BPE)
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", clean),
+    ("language", identified),
+    ("jaccard", single),
+    ("secrets", safe),
     ("packing", packed),
 ]
 
+# Models, tokenizers and decoded layers are beyond SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 

@@ -192,13 +192,19 @@ def first_regions(spark: SparkSession, points: DataFrame) -> DataFrame:
     return stored(members.join(one, "region").withColumn("open", F.lit(True)), "members")
 
 
-def _kept(table: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """Rows of a table that may have a value of the one-column table `wanted` of longs: all that have, and few others."""
+def _kept(table: DataFrame, column: str, wanted: DataFrame, inverse: bool = False) -> DataFrame:
+    """Rows of a table that may have a value of the one-column table `wanted` of longs: all that have, and few others.
+
+    `inverse`: the rows that surely have none of them, those without a value included.
+    """
     bits = table.sparkSession.sparkContext.broadcast(_filter_of(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_has(bits.value, batch.column(column).to_numpy())))
+            values = batch.column(column)
+            may = _has(bits.value, pc.fill_null(values.cast(pa.int64()), 0).to_numpy())
+            may &= pc.is_valid(values).to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(~may if inverse else may))
 
     return table.mapInArrow(run, table.schema)
 
@@ -346,3 +352,19 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
     )
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of `docs` without near-duplicates: of each group of linked documents the one with the smallest id.
+
+    Rows with equal id and equal text leave one; rows without an id stay. Only rows that may be concerned, by a filter of
+    fixed size over their ids, move at all.
+    """
+    groups = near_duplicates(docs, id_column, text_column).where("doc_id is not null")
+    groups = stored(groups.select("doc_id", "component_id"), "groups")
+    copies = stored(groups.where("component_id <> doc_id").select("doc_id").distinct(), "copies")
+    again = groups.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    concerned = stored(copies.union(again), "concerned")
+    apart = _kept(docs, id_column, concerned)
+    apart = apart.join(copies.select(F.col("doc_id").alias(id_column)), id_column, "left_anti").dropDuplicates([id_column, text_column])
+    return _kept(docs, id_column, concerned, inverse=True).unionByName(apart.select(docs.columns))
