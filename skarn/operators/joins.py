@@ -1,4 +1,4 @@
-"""Natural join, join to a small table behind a size check, positional alignment."""
+"""Natural join, join to per-group rows spread by salts, positional alignment."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 50_000
+SALTS = 16
 
 
 def natural_left_join(left: DataFrame, right: DataFrame, null_safe: bool = False) -> DataFrame:
@@ -29,19 +29,16 @@ def natural_left_join(left: DataFrame, right: DataFrame, null_safe: bool = False
     return left.join(renamed, condition, "left").drop(*[f"_right_{c}" for c in shared])
 
 
-def join_small(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join a big frame to a per-group table of a few rows.
+def join_groups(big: DataFrame, per_group: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join a big frame to a table with one row per group.
 
-    The table is computed here, up to a bound. Within the bound it is broadcast, so the big
-    frame is not moved and a hot group does no harm; beyond it the join is an ordinary one,
-    whose hot partitions adaptive execution splits.
+    The per-group rows are repeated over `SALTS` salts and each row of the big frame takes one of
+    them, so a hot group is spread over as many tasks. The plan is the same at any size; whether
+    the repeated table is small enough to broadcast is the optimizer's choice.
     """
-    on = list(on)
-    rows = small.limit(SMALL_ROWS + 1).collect()
-    if len(rows) > SMALL_ROWS:
-        return big.join(small, on, how)
-    local = big.sparkSession.createDataFrame(rows, small.schema)
-    return big.join(F.broadcast(local), on, how)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int"))
+    return left.join(per_group.withColumn("_salt", salts), [*on, "_salt"], how).drop("_salt")
 
 
 def align(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("series_id", "row_idx")) -> DataFrame:

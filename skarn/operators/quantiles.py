@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skarn.operators.joins import join_small
+from skarn.operators.joins import join_groups
 
 
 def exact_quantiles(
@@ -56,7 +56,7 @@ def exact_quantiles(
     for name in sides:
         inside = inside | (F.col(name) == 0)
     placed = (
-        join_small(clean, sketch, groups)
+        join_groups(clean, sketch, groups)
         .withColumns(sides)
         .groupBy(*groups, *carried, *sides, F.when(inside, F.col("_v")).alias("inside"))
         .agg(F.count(F.lit(1)).alias("c"), F.min("_v").alias("least"), F.max("_v").alias("most"))

@@ -25,8 +25,8 @@ CLASSES = ("neg", "neu", "pos")
 
 
 def rejection(text: Column, max_chars: int | None = None) -> Column:
-    """Why a text cannot be scored, or NULL."""
-    reason = F.when(text.isNull(), "null text").when(F.length(F.trim(F.regexp_replace(text, r"\s+", " "))) == 0, "blank text")
+    """Why a text cannot be scored, or NULL. Every scorer here and the quarantine follow it."""
+    reason = F.when(text.isNull(), "null text").when(~text.rlike(r"\S"), "blank text")
     if max_chars is not None:
         reason = reason.when(F.length(text) > max_chars, "text too long")
     return reason
@@ -75,22 +75,33 @@ def model_scores(
 
     `make_predict` runs once per Python worker and loads the model there. Texts go over in
     Arrow batches; softmax stays in the JVM. A row the model raises RuntimeError on has NULL
-    scores and `failed`.
+    scores and `failed`, and so has a text that `rejection` refuses, whatever the model says to
+    it. Rows that repeat an id are scored each for itself.
     """
     infer = predict_batch_udf(
         isolating(make_predict, 3), return_type=ArrayType(DoubleType()), batch_size=batch_size
     )
-    logits = df.select(id_col, infer(F.col(text_col)).alias("z"))
-    logits = logits.withColumn("failed", ~F.forall("z", lambda v: v.isNotNull() & ~F.isnan(v)))
+    text = F.col(text_col)
+    logits = df.select(id_col, rejection(text).alias("reason"), infer(F.coalesce(text, F.lit(""))).alias("z"))
+    failed = F.col("reason").isNotNull() | ~F.forall("z", lambda v: v.isNotNull() & ~F.isnan(v))
+    logits = logits.select(id_col, failed.alias("failed"), "z")
     probs = logits.select(id_col, "failed", F.when(~F.col("failed"), softmax(F.col("z"))).alias("p"))
     return probs.select(id_col, *[F.col("p")[i].alias(c) for i, c in enumerate(CLASSES)], "failed")
 
 
 def scoring_failures(scores: DataFrame, id_col: str = "Id") -> DataFrame:
-    """(id, reason) of the rows the model failed on, in the form of `quarantine`."""
+    """(id, reason) of the rows without scores that the quarantine does not name, in its form."""
     return scores.where("failed").select(id_col, F.lit("scorer failed").alias("reason"))
 
 
+def outcomes(df: DataFrame, scores: DataFrame, id_col: str = "Id", text_col: str = "Text") -> DataFrame:
+    """(id, outcome) of every row: `scored`, why the text was refused, or `scorer failed`."""
+    refused = df.select(id_col, rejection(F.col(text_col)).alias("reason"))
+    joined = refused.join(scores.select(id_col, "failed"), id_col, "left")
+    failed = F.when(F.coalesce("failed", F.lit(True)), "scorer failed").otherwise("scored")
+    return joined.select(id_col, F.coalesce("reason", failed).alias("outcome"))
+
+
 def model_forecast(df: DataFrame, make_predict: Callable, window_col: str, length: int, batch_size: int = 512) -> DataFrame:
     """Add `prediction` from an externally trained sequence model over windows of one length."""
     infer = predict_batch_udf(
@@ -105,7 +116,7 @@ def rating_class(score: Column) -> Column:
 
 
 def fit_text_classifier(
-    df: DataFrame, score_col: str = "Score", text_col: str = "Text", n_features: int = 1 << 14, max_iter: int = 20
+    df: DataFrame, score_col: str = "Score", text_col: str = "Text", n_features: int = 1 << 14, max_iter: int = 100
 ) -> PipelineModel:
     """Three-class classifier learnt from the rated rows."""
     label = F.when(F.col(score_col) <= 2, 0.0).when(F.col(score_col) == 3, 1.0).when(F.col(score_col) >= 4, 2.0)
@@ -126,9 +137,10 @@ def fit_text_classifier(
 
 
 def classifier_scores(model: PipelineModel, df: DataFrame, id_col: str = "Id", text_col: str = "Text") -> DataFrame:
-    """(id, neg, neu, pos) of every text, rated or not."""
-    scored = model.transform(df.where(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("text")))
-    p = scored.select(id_col, vector_to_array("probability").alias("p"))
+    """(id, neg, neu, pos) of every row, rated or not; NULL scores where `rejection` refuses the text."""
+    text = F.col(text_col)
+    shown = df.select(id_col, rejection(text).alias("reason"), F.coalesce(text, F.lit("")).alias("text"))
+    p = model.transform(shown).select(id_col, F.when(F.col("reason").isNull(), vector_to_array("probability")).alias("p"))
     return p.select(id_col, *[F.col("p")[i].alias(c) for i, c in enumerate(CLASSES)])
 
 
@@ -195,27 +207,80 @@ def mean_interval(df: DataFrame, group: str, value: str, z: float = 1.96) -> Dat
     return stats.select(group, "n", "mean", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
 
 
+def _long(df: DataFrame, group: str, values: Sequence[str]) -> DataFrame:
+    """(group, variable, value) rows of the measures, rated rows only."""
+    rated = df.where(F.col(group).isNotNull()).select(group, *[F.col(v).cast("double").alias(v) for v in values])
+    return rated.unpivot([group], list(values), "variable", "value")
+
+
+def mean_intervals(df: DataFrame, group: str, values: Sequence[str], z: float = 1.96) -> DataFrame:
+    """`mean_interval` of several measures in one aggregate: (group, variable, n, mean, low, high)."""
+    stats = _long(df, group, values).groupBy(group, "variable").agg(
+        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")
+    )
+    half = z * F.col("std") / F.sqrt("n")
+    return stats.select(group, "variable", "n", "mean", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
+
+
+def bootstrap_intervals(df: DataFrame, group: str, values: Sequence[str], replicates: int = 1000, seed: int = 0) -> DataFrame:
+    """`bootstrap_interval` of several measures in one pass: (group, variable, n, mean, low, high)."""
+    keyed = _long(df, group, values).withColumn("_key", F.struct(group, "variable"))
+    out = bootstrap_interval(keyed, "_key", "value", replicates, seed)
+    return out.select(f"_key.{group}", "_key.variable", "n", "mean", "low", "high")
+
+
+def _uniform(key: np.ndarray, step: int) -> np.ndarray:
+    """The `step`-th of a key's uniform numbers, in (0, 1)."""
+    x = key.astype(np.uint64) + np.uint64(step + 1) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return ((x >> np.uint64(12)).astype(np.float64) + 0.5) / float(1 << 52)
+
+
+def _log_factorial(k: np.ndarray) -> np.ndarray:
+    """Stirling's series from 16 on, sums of logarithms below: right to 1e-13."""
+    small = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1.0, 16.0)))])
+    n = np.maximum(k, 16.0)
+    series = (n + 0.5) * np.log(n) - n + 0.5 * np.log(2 * np.pi) + 1 / (12 * n) - 1 / (360 * n**3) + 1 / (1260 * n**5)
+    return np.where(k < 16, small[np.minimum(k, 15).astype(int)], series)
+
+
 @F.pandas_udf(DoubleType())
-def _poisson(mean: pd.Series, u: pd.Series, u2: pd.Series) -> pd.Series:
-    """Poisson draws by the inverse distribution; above a mean of 500 a rounded normal draw."""
-    m, low, other = mean.to_numpy(), u.to_numpy(), u2.to_numpy()
-    small = np.where(m <= 500, m, 0.0)
-    term = np.exp(-small)
-    below, k = term.copy(), np.zeros(len(m))
-    step, open_ = 0, low > below
-    # A term below 1e-18 no longer moves the distribution function.
+def _poisson(mean: pd.Series, key: pd.Series) -> pd.Series:
+    """Poisson draws of any mean: by inversion below 10, above by transformed rejection."""
+    m, keys = mean.to_numpy(), key.to_numpy().view(np.uint64)
+    out = np.zeros(len(m))
+    at = np.flatnonzero((m > 0) & (m < 10))
+    u, term = _uniform(keys[at], 0), np.exp(-m[at])
+    below, step = term.copy(), 0
+    open_ = u > below
+    # a term below 1e-18 no longer moves the distribution function
     while open_.any():
         step += 1
-        k += open_
-        term = term * small / step
+        out[at[open_]] += 1
+        term = term * m[at] / step
         below += term
-        open_ &= (low > below) & ((term > 1e-18) | (step < small))
-    normal = np.sqrt(-2 * np.log(low)) * np.cos(2 * np.pi * other)
-    return pd.Series(np.where(m <= 500, k, np.maximum(np.round(m + np.sqrt(m) * normal), 0.0)))
+        open_ &= (u > below) & ((term > 1e-18) | (step < m[at]))
+    at, step = np.flatnonzero(m >= 10), 0
+    while len(at):
+        mu = m[at]
+        b = 0.931 + 2.53 * np.sqrt(mu)
+        a = -0.059 + 0.02483 * b
+        u, v = _uniform(keys[at], step) - 0.5, _uniform(keys[at], step + 1)
+        us = 0.5 - np.abs(u)
+        k = np.floor((2 * a / us + b) * u + mu + 0.43)
+        quick = (us >= 0.07) & (v <= 0.9277 - 3.6224 / (b - 2))
+        bound = -mu + k * np.log(mu) - _log_factorial(np.maximum(k, 0))
+        slow = np.log(v * (1.1239 + 1.1328 / (b - 3.4)) / (a / (us * us) + b)) <= bound
+        taken = quick | ((k >= 0) & ~((us < 0.013) & (v > us)) & slow)
+        out[at[taken]] = k[taken]
+        at, step = at[~taken], step + 2
+    return pd.Series(out)
 
 
 def bootstrap_interval(
-    df: DataFrame, group: str, value: str, replicates: int = 200, seed: int = 0, level: float = 0.95
+    df: DataFrame, group: str, value: str, replicates: int = 1000, seed: int = 0, level: float = 0.95
 ) -> DataFrame:
     """Mean per group with its Poisson-bootstrap interval.
 
@@ -228,13 +293,8 @@ def bootstrap_interval(
     counted = values.groupBy(group, "v").agg(F.count(F.lit(1)).cast("double").alias("c"))
     drawn = counted.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
 
-    def uniform(stream: int) -> Column:
-        bits = F.pmod(F.xxhash64(F.col(group), F.col("v"), F.col("b"), F.lit(seed), F.lit(stream)), F.lit(1 << 52))
-        return (bits.cast("double") + 0.5) / float(1 << 52)
-
-    weighted = drawn.withColumns({"u": uniform(0), "u2": uniform(1)}).withColumn(
-        "w", _poisson(F.col("c"), F.col("u"), F.col("u2"))
-    )
+    key = F.xxhash64(F.col(group), F.col("v"), F.col("b"), F.lit(seed))
+    weighted = drawn.withColumn("w", _poisson(F.col("c"), key))
     means = weighted.groupBy(group, "b").agg(
         F.try_divide(F.sum(F.col("w") * F.col("v")), F.sum("w")).alias("m"),
         F.sum(F.col("c") * F.col("v")).alias("sum_v"),

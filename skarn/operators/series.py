@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from skarn.operators.joins import join_small
+from skarn.operators.joins import join_groups
 from skarn.operators.quantiles import exact_quantiles, one_row_per_group
 
 
@@ -299,7 +299,7 @@ def with_scaler(df: DataFrame, layout: Layout, value: str, where: Column | None
     the statistics from an aggregate that combines on the map side.
     """
     if layout.span is not None:
-        return join_small(df, fit_scaler(df, layout.key, value, where), layout.key, "left")
+        return join_groups(df, fit_scaler(df, layout.key, value, where), layout.key, "left")
     whole = Window.partitionBy(*layout.key)
     used = F.col(value) if where is None else F.when(where, F.col(value))
     return df.withColumns(
@@ -318,7 +318,7 @@ def outlier_flags(df: DataFrame, key: str, value: str, reach: float = 1.5) -> Da
     fences = one_row_per_group(quartiles, [key], {0.25: "q1", 0.75: "q3"}).drop("n")
     iqr = F.col("q3") - F.col("q1")
     outside = (F.col(value) < F.col("q1") - reach * iqr) | (F.col(value) > F.col("q3") + reach * iqr)
-    return join_small(df, fences, [key], "left").withColumn("is_outlier", outside)
+    return join_groups(df, fences, [key], "left").withColumn("is_outlier", outside)
 
 
 def downsample(df: DataFrame, layout: Layout, unit: str = "month") -> DataFrame:

@@ -98,6 +98,8 @@ class PolarityRules:
 # Stands for the text itself among its words; no word of a text is empty.
 EMPTY = ""
 
+ROW = "_row"  # tells apart rows that repeat an id
+
 CORE = PolarityRules(
     capitals=False, boosters=False, negation=False, idioms=False, least=False, contrast=False, emphasis=False
 )
@@ -129,13 +131,16 @@ def polarity(
     text_col: str = "Text",
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """(id, *keep, neg, neu, pos, compound) for each text that is not NULL.
+    """(id, *keep, neg, neu, pos, compound) for each text that is neither NULL nor blank.
 
-    `id_col` must be unique (see `last_wins`). `keep` carries narrow columns along.
+    Each row is scored for itself, also where an id repeats (see `last_wins` for one row per
+    id). `keep` carries narrow columns along.
     """
+    df = df.withColumn(ROW, F.monotonically_increasing_id())
+    keep = [*keep, ROW]
     words = _words_in_context(df, rules, id_col, text_col, keep)
     looked_up = _look_up(words, lexicon, rules)
-    return _shares(looked_up, rules, id_col, keep)
+    return _shares(looked_up, rules, id_col, keep).drop(ROW)
 
 
 def _words_in_context(
@@ -143,7 +148,7 @@ def _words_in_context(
 ) -> DataFrame:
     """One row per word with its neighbours, and one for the empty word of each text (at -1)."""
     text = F.col(text_col)
-    rows = df.where(text.isNotNull()).select(
+    rows = df.where(text.rlike(r"\S")).select(
         id_col,
         *keep,
         sentiment_words(text).alias("word"),

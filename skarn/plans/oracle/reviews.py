@@ -6,7 +6,7 @@ from itertools import combinations
 
 from skarn.functions.text import CHUNK, NOT_CONTRACTION, TOKEN
 from skarn.plans.oracle.views import _values, with_views
-from skarn.plans.reviews import CORPUS_RULES, LEXICON_SCORES, MAX_CHARS, MODEL_SCORES, SCORES, TAGGED
+from skarn.plans.reviews import CORPUS_RULES, LEXICON_SCORES, MODEL_SCORES, SCORES, TAGGED
 
 
 _EDGE_PUNCTUATION = r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$"
@@ -155,10 +155,11 @@ SQL = {
     ),
     "rating_ci_normal": _on(
         _RATED,
-        """SELECT "Score", count(*) AS n, round(avg(compound), 6) AS mean,
-        round(avg(compound) - 1.96::DOUBLE * stddev_samp(compound) / sqrt(count(*)), 6) AS low,
-        round(avg(compound) + 1.96::DOUBLE * stddev_samp(compound) / sqrt(count(*)), 6) AS high
-        FROM rated WHERE "Score" IS NOT NULL GROUP BY 1""",
+        """SELECT "Score", variable, count(*) AS n, round(avg(value), 6) AS mean,
+        round(avg(value) - 1.96::DOUBLE * stddev_samp(value) / sqrt(count(*)), 6) AS low,
+        round(avg(value) + 1.96::DOUBLE * stddev_samp(value) / sqrt(count(*)), 6) AS high
+        FROM (UNPIVOT (SELECT "Score", neg, neu, pos, compound FROM rated WHERE "Score" IS NOT NULL)
+              ON neg, neu, pos, compound INTO NAME variable VALUE value) GROUP BY 1, 2""",
     ),
     "score_quantiles_by_rating": _on(
         _RATED,
@@ -168,11 +169,10 @@ SQL = {
             for p in (0.25, 0.5, 0.75)
         ),
     ),
-    "score_histogram": _on(
-        _RATED,
-        """SELECT "Score", variable, floor((value + 1) / 0.125)::BIGINT AS bin, count(*) AS n
-        FROM (UNPIVOT (SELECT "Score", neg, neu, pos, compound FROM rated WHERE "Score" IS NOT NULL)
-              ON neg, neu, pos, compound INTO NAME variable VALUE value) GROUP BY 1, 2, 3""",
+    "score_histogram": _joint(
+        f"""SELECT "Score", variable, floor((value + 1) / 0.125)::BIGINT AS bin, count(*) AS n
+        FROM (UNPIVOT (SELECT "Score", {', '.join([*LEXICON_SCORES, 'lexicon_compound', *MODEL_SCORES])} FROM joint WHERE "Score" IS NOT NULL)
+              ON {', '.join([*LEXICON_SCORES, 'lexicon_compound', *MODEL_SCORES])} INTO NAME variable VALUE value) GROUP BY 1, 2, 3"""
     ),
     "scores_joined": _joint("SELECT * FROM joint"),
     "scorer_confusion": _joint("SELECT lexicon_class, model_class, count(*) AS n FROM classed GROUP BY 1, 2"),
@@ -204,10 +204,12 @@ SQL = {
     "softmax_scores": _on({}, "SELECT * FROM v_model", ("v_logits", "v_model")),
     "pivot_scores": _on({}, "SELECT * FROM v_model", ("v_logits", "v_model")),
     "model_scores": _on({}, "SELECT *, false AS failed FROM v_model", ("v_logits", "v_model")),
-    "scoring_quarantine": f"""
+    "scoring_quarantine": """
+    SELECT doc_id AS "Id", CASE WHEN text IS NULL THEN 'null text' ELSE 'blank text' END AS reason
+    FROM documents WHERE text IS NULL OR NOT regexp_matches(text, '\\S')""",
+    "scored_or_quarantined": """
     SELECT doc_id AS "Id", CASE WHEN text IS NULL THEN 'null text' WHEN NOT regexp_matches(text, '\\S') THEN 'blank text'
-      ELSE 'text too long' END AS reason
-    FROM documents WHERE text IS NULL OR NOT regexp_matches(text, '\\S') OR length(text) > {MAX_CHARS}""",
+      ELSE 'scored' END AS outcome FROM documents""",
     "tag_tokens": _on(
         _TOKENS | _TAGGER,
         """SELECT "Id", pos, tok.token, coalesce(dict.tag, CASE

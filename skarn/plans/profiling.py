@@ -58,11 +58,12 @@ def project_numeric(spark, sf_dir):
 
 
 def review_sample(spark, sf_dir):
-    return views.reviews(spark, sf_dir).orderBy("Id").limit(500)
+    """The first 500 texts; only these meet their ratings."""
+    return views.rated(spark, sf_dir, views.language_texts(spark, sf_dir).orderBy("Id").limit(500))
 
 
 def row_at(spark, sf_dir):
-    return columns.row_at(views.reviews(spark, sf_dir), "Id", 50).select("Id", "Text")
+    return columns.row_at(views.texts(spark, sf_dir), "Id", 50)
 
 
 def filter_by_rating(spark, sf_dir):

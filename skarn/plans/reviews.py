@@ -13,12 +13,11 @@ from skarn.functions.numeric import softmax
 from skarn.operators import columns, plotdata, profile, scoring, text
 from skarn.operators.joins import natural_left_join
 from skarn.sources import views
-from skarn.sources.files import literal_table, spread
+from skarn.sources.files import literal_table
 
 SCORES = ["neg", "neu", "pos", "compound"]
 LEXICON_SCORES = ["lexicon_neg", "lexicon_neu", "lexicon_pos"]
 MODEL_SCORES = ["model_neg", "model_neu", "model_pos"]
-MAX_CHARS = 20_000
 
 # Words of the invented corpus in the place of real boosters, negations and so on.
 CORPUS_RULES = text.PolarityRules(
@@ -95,12 +94,12 @@ def sentiment_by_rating(spark, sf_dir):
 
 
 def rating_ci_normal(spark, sf_dir):
-    out = scoring.mean_interval(_rated(spark, sf_dir), "Score", "compound")
+    out = scoring.mean_intervals(_rated(spark, sf_dir), "Score", SCORES)
     return out.withColumns({c: F.round(c, 6) for c in ("mean", "low", "high")})
 
 
 def rating_ci_bootstrap(spark, sf_dir):
-    return scoring.bootstrap_interval(_rated(spark, sf_dir), "Score", "compound", replicates=200)
+    return scoring.bootstrap_intervals(_rated(spark, sf_dir), "Score", SCORES)
 
 
 def score_quantiles_by_rating(spark, sf_dir):
@@ -109,7 +108,8 @@ def score_quantiles_by_rating(spark, sf_dir):
 
 
 def score_histogram(spark, sf_dir):
-    return plotdata.histogram(_rated(spark, sf_dir), "Score", SCORES, low=-1.0, width=0.125)
+    measures = [*LEXICON_SCORES, "lexicon_compound", *MODEL_SCORES]
+    return plotdata.histogram(_joint(spark, sf_dir), "Score", measures, low=-1.0, width=0.125)
 
 
 def scores_joined(spark, sf_dir):
@@ -183,13 +183,18 @@ def model_scores(spark, sf_dir):
 
 
 def text_classifier_scores(spark, sf_dir):
-    rows = spread(views.reviews(spark, sf_dir), "Id")
-    model = scoring.fit_text_classifier(rows)
-    return scoring.classifier_scores(model, rows)
+    """Learnt from the rated texts; every text is scored without a join."""
+    model = scoring.fit_text_classifier(views.rated_texts(spark, sf_dir))
+    return scoring.classifier_scores(model, views.scorer_input(spark, sf_dir))
 
 
 def scoring_quarantine(spark, sf_dir):
-    return scoring.quarantine(views.scorer_input(spark, sf_dir), max_chars=MAX_CHARS)
+    return scoring.quarantine(views.scorer_input(spark, sf_dir))
+
+
+def scored_or_quarantined(spark, sf_dir):
+    rows = views.scorer_input(spark, sf_dir)
+    return scoring.outcomes(rows, scoring.model_scores(rows, _load_linear_scorer))
 
 
 def tag_tokens(spark, sf_dir):
@@ -226,6 +231,7 @@ QUERIES = {
         model_scores,
         text_classifier_scores,
         scoring_quarantine,
+        scored_or_quarantined,
         tag_tokens,
         entity_spans,
     )

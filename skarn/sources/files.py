@@ -54,34 +54,38 @@ def land_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     writer.parquet(path)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by `spark.checkpoint.dir`, which all executors share.
+
+    Where it is unset on one machine (tests), a folder of our own is set; a cluster has to name one.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Write a frame once and read it back: for narrow results of costly work read several times.
+    """Write a frame once to the shared folder and read it back.
 
-    The table goes to the shared folder the session names in `spark.checkpoint.dir`, so it
-    outlives lost executors. A local session without that setting uses a temporary folder; a
-    cluster session without it gets the frame back as it is.
+    For narrow results of costly work that are read several times; they outlive lost executors.
     """
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            return df
-        root = tempfile.mkdtemp(prefix="spark-")
-    path = f"{root.rstrip('/')}/skarn-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/skarn-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores on a small input whose rows are costly to work on.
+    """Deal rows to as many partitions as the caller asks for in `skarn.inputPartitions`; as they are without it.
 
-    A small file comes as one or a few splits, which leaves the other cores idle. A big input
-    has more splits than there are cores and is returned as it is: its rows are not moved.
+    For inputs of few splits whose rows are costly to work on. Nothing about the input is looked at.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)
+    parts = df.sparkSession.conf.get("skarn.inputPartitions", None)
+    return df.repartition(int(parts), key) if parts else df
 
 
 def sql_literal(value: object) -> str:

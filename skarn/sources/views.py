@@ -67,12 +67,25 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(labels, "doc_id", "left").select(F.col("doc_id").alias("Id"), _score())
 
 
+def language_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("Id"), F.col("text").alias("Text"), "lang")
+
+
+def rated(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    """(Id, Score, Text, lang) of some rows of `language_texts`."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("Id"), _score())
+    return docs.join(labels, "Id", "left").select("Id", "Score", "Text", "lang")
+
+
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    labels = table(spark, sf_dir, "labels")
-    return docs.join(labels, "doc_id", "left").select(
-        F.col("doc_id").alias("Id"), _score(), F.col("text").alias("Text"), "lang"
-    )
+    return rated(spark, sf_dir, language_texts(spark, sf_dir))
+
+
+def rated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(Id, Score, Text) of the rated texts only."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("Id"), _score())
+    return texts(spark, sf_dir).join(labels, "Id")
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +103,8 @@ def _score() -> Column:
 
 
 def _bars(df: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
-    rank = F.struct(*order)
+    # a bare column keeps the aggregate a hash one; a struct would make it sort both halves
+    rank = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     return df.groupBy(*keys).agg(
         F.min_by(value, rank).alias("open"),
         F.max(value).alias("high"),

@@ -126,16 +126,17 @@ def test_natural_join(spark):
         joins.natural_left_join(left.select("l"), right.select("r"))
 
 
-def test_join_small_falls_back_beyond_its_bound(spark, monkeypatch):
-    big = spark.range(100).select((F.col("id") % 10).alias("k"))
-    small = spark.range(10).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    want = sorted((i % 10, i % 10 * 2) for i in range(100))
-    broadcast = joins.join_small(big, small, ["k"])
-    assert "BroadcastHashJoin" in broadcast._jdf.queryExecution().executedPlan().toString()
-    monkeypatch.setattr(joins, "SMALL_ROWS", 5)
-    plain = joins.join_small(big, small, ["k"])
-    assert sorted(map(tuple, broadcast.collect())) == sorted(map(tuple, plain.collect())) == want
-    assert "ResolvedHint" not in plain._jdf.queryExecution().analyzed().toString()
+def test_join_groups_has_one_plan_at_any_size(spark):
+    def nodes(n):
+        big = spark.range(2 * n).select((F.col("id") % n).alias("k"))
+        joined = joins.join_groups(big, spark.range(n).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")), ["k"])
+        plan = joined._jdf.queryExecution().optimizedPlan().toString()
+        return joined, [line.split("[")[0].split("(")[0].strip(" :+-") for line in plan.splitlines()]
+
+    small, big = nodes(3), nodes(60_000)
+    assert small[1] == big[1]
+    assert sorted(map(tuple, small[0].collect())) == [(k, 2 * k) for k in (0, 0, 1, 1, 2, 2)]
+    assert big[0].where("v <> 2 * k").count() == 0 and big[0].count() == 120_000
 
 
 def test_dates(spark):

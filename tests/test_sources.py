@@ -49,8 +49,11 @@ def test_stored_uses_the_shared_folder(spark):
     assert df.inputFiles()[0].startswith(f"file://{spark.conf.get('spark.checkpoint.dir')}/skarn-")
 
 
-def test_spread_leaves_a_split_input_alone(spark):
+def test_spread_does_what_the_caller_asks(spark):
     wide = spark.range(100, numPartitions=64)
     assert files.spread(wide, "id") is wide
-    narrow = spark.range(100, numPartitions=1)
-    assert files.spread(narrow, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    spark.conf.set("skarn.inputPartitions", "5")
+    try:
+        assert files.spread(wide, "id").rdd.getNumPartitions() == 5
+    finally:
+        spark.conf.unset("skarn.inputPartitions")

@@ -36,8 +36,8 @@ def test_two_plain_sentences(score):
     assert worst == (0.451, 0.549, 0.0, -0.6249)
 
 
-def test_texts_without_words_score_zero_and_null_has_no_row(score):
-    assert score("", "   ", "a", None) == [(0.0, 0.0, 0.0, 0.0)] * 3
+def test_texts_without_words_score_zero_and_null_and_blank_have_no_row(score):
+    assert score("", "   ", "a", None) == [(0.0, 0.0, 0.0, 0.0)]
 
 
 @pytest.mark.parametrize(
