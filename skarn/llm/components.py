@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from skarn.llm._shared import drop_stored, stored
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of a task, each batch reduced to at most one per node: to the smallest node its links reach."""
     for batch in batches:
         ends = np.stack([batch.column("u").to_numpy(), batch.column("v").to_numpy()])
@@ -38,7 +38,7 @@ def connected(links: DataFrame) -> DataFrame:
     without links gives no rows. Each step is written to the shared folder; only counts reach the driver. A node with
     very many links is one side of an ordinary join whose partitions adaptive execution may split.
     """
-    edges = stored(links.where("u <> v").select("u", "v").mapInArrow(_forest, "u long, v long").distinct(), "edges")
+    edges = stored(links.where("u <> v").select("u", "v").mapInArrow(forest, "u long, v long").distinct(), "edges")
     mark = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -6,14 +6,17 @@ Level 0 deals sets to regions. A set enters one region for each of its rarest sh
 share at least one of (|x| - ceil(t |x|) + 1). Rarity is a count sketch over all texts, so wide-spread passages do not
 make regions unless a set has little else. Equal sets are one point with one name.
 
-Every further level joins the regions: some of a region's points are pivots, all others get their exact distance to
-them, and distances of at most r are links. Each point belongs to the Voronoi cell of its nearest pivot. By the triangle
+Every further level joins the regions: some of a region's points are pivots (the most central one and some drawn by
+hash), all others get their exact distance to them, and distances of at most r are links. Regions that share a pivot go on
+as one. Each point belongs to the Voronoi cell of its nearest pivot. By the triangle
 inequality a partner of a point in a cell lies no more than 2r further from that cell's pivot than from its own, so the
 boundary points inside this window are replicated into the cell, and points whose distance from the pivot differs by more
 than r from that of every open point of the cell are left out. A point is open in its cell unless it is linked to the
-pivot and no other pivot's cell could hold an unlinked partner. Cells are the regions of the next level; regions with few
-open points are joined pair by pair. Pivots are compared with all points of their region and leave it, so the recursion
-ends. Only distances of candidate pairs are computed, each once a level, and copies of a text add no pair.
+pivot and no other pivot's cell could hold an unlinked partner. Cells are the regions of the next level; regions that have
+become small are joined pair by pair, in tiles. Pivots are compared with all points of their region and leave it, so the recursion
+ends. Only distances of candidate pairs are computed, each once a level, and copies of a text add no pair. Between levels
+the components of the links so far are formed: regions inside one component are settled, and of the others only points
+outside their settled component stay open.
 
 All steps are grouped aggregates and equi-joins over (region, point); a hot region is spread by adaptive execution, and
 nothing per document reaches the driver.
@@ -31,14 +34,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarn.llm._shared import drop_stored, stored, text_slices
-from skarn.llm.components import connected
+from skarn.llm.components import connected, forest
 from skarn.llm.shingles import fingerprint, shingle_sets
 
 PARTS = 5  # a similarity of at least (PARTS - 1) / PARTS links: 0.8
 SIZE = 5  # words of a shingle
 RADIUS = 1 / PARTS
-LEAF = 32  # open points of a region that is joined pair by pair
+LEAF = 1 << 20  # comparisons up to which a region is joined pair by pair
+TILE = (64, 128)  # open points and points that meet in one task at a time
 PIVOTS = 32  # pivots of a region, about, at most
+SHARE = 256  # open points for each pivot of a region, about
 CELLS = 22  # bits of a shingle that choose a cell of the count sketch
 BLOCKS = 64  # pieces of the sketch
 FILTER = 1 << 26  # bits of a membership filter
@@ -158,7 +163,7 @@ def signatures(docs: DataFrame, id_column: str, text: str, codes) -> DataFrame:
 
 
 def first_regions(spark: SparkSession, points: DataFrame) -> DataFrame:
-    """(region, point, open): level 0, only regions of two points or more, and of regions with equal points one."""
+    """(region, point, open, degree): level 0, only regions of two points or more, and of regions with equal points one."""
     keyed = points.where("point is not null").select("point", F.explode("keys").alias("region"))
     shared = stored(
         keyed.groupBy("region")
@@ -189,7 +194,10 @@ def first_regions(spark: SparkSession, points: DataFrame) -> DataFrame:
         F.sum(F.xxhash64("point").cast("decimal(38,0)")).alias("s"), F.expr("bit_xor(point)").alias("x"),
     )
     one = stored(alike.groupBy("c", "a", "b", "s", "x").agg(F.min("region").alias("region")).select("region"), "regions")
-    return stored(members.join(one, "region").withColumn("open", F.lit(True)), "members")
+    members = members.join(one, "region")
+    # in how many regions a point is: the original of many edited copies shares more shingles with them than they do
+    degree = stored(members.groupBy("point").agg(F.count("*").alias("degree")), "degrees")
+    return stored(members.join(degree, "point").select("region", "point", F.lit(True).alias("open"), "degree"), "members")
 
 
 def _kept(table: DataFrame, column: str, wanted: DataFrame, inverse: bool = False) -> DataFrame:
@@ -268,26 +276,72 @@ def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
     return pairs.where(f"{x} <> {y}").select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
+def _tile(rows: pa.Table) -> pa.Table:
+    """Links of one tile, open points against others, as few as connect what they connect."""
+    points, first, where = np.unique(rows.column("point").to_numpy(), return_index=True, return_inverse=True)
+    sets = shingle_sets(rows.column("text").combine_chunks().take(pa.array(first)), SIZE)
+    side = rows.column("side").to_numpy()
+    others, u, v = np.unique(where[~side]), [], []
+    owner = np.repeat(np.arange(len(others)), [len(sets[k]) for k in others])
+    flat = np.concatenate([sets[k] for k in others] + [np.empty(0, np.uint64)])
+    order = np.argsort(flat)
+    flat, owner = flat[order], owner[order]
+    sizes = np.array([len(sets[k]) for k in others], np.int64)
+    for k in np.unique(where[side]):
+        low, high = np.searchsorted(flat, sets[k], "left"), np.searchsorted(flat, sets[k], "right")
+        n = high - low
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        common = np.bincount(owner[at], minlength=len(others))
+        union = len(sets[k]) + sizes - common
+        linked = others[(PARTS * common >= (PARTS - 1) * union) & (others != k)]
+        u.append(np.full(len(linked), points[k]))
+        v.append(points[linked])
+    none = np.empty(0, np.int64)
+    links = pa.RecordBatch.from_pydict({"u": pa.array(np.concatenate([*u, none])), "v": pa.array(np.concatenate([*v, none]))})
+    return pa.Table.from_batches([*forest(iter([links]))])
+
+
+def joined_pairwise(small: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, v) links of regions (region, point, open, n open, m points) whose open points meet all points.
+
+    A region is a grid of tiles, dealt by hash, each a group of bounded size: no task holds a region, no pair is a row.
+    """
+    rows, columns = (F.ceil(F.col(c) / size).cast("int") for c, size in zip("nm", TILE, strict=True))
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    drawn = lambda n, seed: F.pmod(F.xxhash64("point", F.lit(seed)), n).cast("int")
+    opened = small.where("open").select("region", "point", drawn(rows, 1).alias("i"), every(columns).alias("j"), F.lit(True).alias("side"))
+    others = small.select("region", "point", every(rows).alias("i"), drawn(columns, 2).alias("j"), F.lit(False).alias("side"))
+    dealt = stored(opened.union(others), "tiles")
+    needed = _kept(texts, "point", dealt.select("point").distinct()).dropDuplicates(["point"])
+    met = dealt.join(needed, "point").select("region", "i", "j", "side", "point", "text")
+    return stored(met.groupBy("region", "i", "j").applyInArrow(_tile, "u long, v long"), "links")
+
+
 def next_level(members: DataFrame, texts: DataFrame, level: int) -> tuple[DataFrame, DataFrame | None]:
-    """Join the regions of one level: (distances computed, regions of the next level or None)."""
+    """Join the regions of one level: (links found, regions of the next level or None)."""
     counted = stored(
-        members.groupBy("region").agg(F.expr("count_if(open)").alias("n"), F.min(F.expr("if(open, point, null)")).alias("least")),
+        members.groupBy("region").agg(
+            F.expr("count_if(open)").alias("n"), F.count("*").alias("m"), F.expr("max(if(open, struct(degree, point), null)).point").alias("central")
+        ),
         "counted",
     )
     sized = members.join(counted, "region")
     # level 1 compares every point with one pivot; regions of copies end there
-    small = F.lit(level > 1) & (F.col("n") <= LEAF)
-    share = F.least(F.sqrt("n"), F.lit(float(PIVOTS))) / F.col("n") if level > 1 else F.lit(0.0)
+    small = F.lit(level > 1) & (F.col("n") * F.col("m") <= LEAF)
+    share = F.least(F.col("n") / SHARE, F.lit(float(PIVOTS))) / F.col("n") if level > 1 else F.lit(0.0)
     drawn = F.pmod(F.xxhash64("point", F.lit(level)), F.lit(1 << 20)) < share * (1 << 20)
-    pivots = stored(sized.where(F.col("open") & ~small & ((F.col("point") == F.col("least")) | drawn)).select("region", F.col("point").alias("pivot")), "pivots")
-    leaves = sized.where(small & F.col("open")).select("region", F.col("point").alias("x"))
-    inside = leaves.join(members.select("region", F.col("point").alias("y")), "region")
+    pivots = stored(
+        sized.where(F.col("open") & ~small & ((F.col("point") == F.col("central")) | drawn)).select("region", F.col("point").alias("pivot")),
+        "pivots",
+    )
     to_pivot = members.join(pivots, "region")
-    pairs = _ordered(inside, "x", "y").union(_ordered(to_pivot, "point", "pivot")).distinct()
-    found = distances(pairs, texts)
+    found = distances(_ordered(to_pivot, "point", "pivot"), texts)
+    links = found.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    if level > 1:
+        links = links.union(joined_pairwise(sized.where(small), texts))
     rest = to_pivot.join(pivots.select("region", F.col("pivot").alias("point")), ["region", "point"], "left_anti")
     rest = rest.withColumn("a", F.least("point", "pivot")).withColumn("b", F.greatest("point", "pivot"))
-    rest = stored(rest.join(found, ["a", "b"]).select("region", "point", "open", "pivot", "d", "linked"), "to-pivots")
+    rest = stored(rest.join(found, ["a", "b"]).select("region", "point", "open", "degree", "pivot", "d", "linked"), "to-pivots")
     nearest = rest.groupBy("region", "point").agg(
         F.min(F.struct("d", "pivot")).alias("near"),
         F.expr(f"count_if(not linked and d <= {2 * RADIUS + SLACK})").alias("beyond"),
@@ -297,20 +351,58 @@ def next_level(members: DataFrame, texts: DataFrame, level: int) -> tuple[DataFr
         rest.join(nearest, ["region", "point"])
         .where(F.col("d") - F.col("near.d") <= 2 * RADIUS + SLACK)
         .withColumn("open", F.col("open") & (F.col("pivot") == F.col("near.pivot")) & ((F.col("links") == 0) | (F.col("beyond") > 0)))
-        .select("region", "pivot", "point", "open", "d")
+        # regions that share a pivot go on as one
+        .groupBy("pivot", "point")
+        .agg(F.max("open").alias("open"), F.max("degree").alias("degree"), F.min("d").alias("d"))
     )
     cells = stored(cells, "cells")
-    ranges = stored(
-        cells.where("open").groupBy("region", "pivot").agg(F.min("d").alias("low"), F.max("d").alias("high")), "ranges"
-    )
+    ranges = stored(cells.where("open").groupBy("pivot").agg(F.min("d").alias("low"), F.max("d").alias("high")), "ranges")
     after = stored(
-        cells.join(ranges, ["region", "pivot"])
+        cells.join(ranges, "pivot")
         .where(F.col("open") | F.col("d").between(F.col("low") - RADIUS - SLACK, F.col("high") + RADIUS + SLACK))
-        .select(F.xxhash64("region", "pivot", F.lit(level)).alias("region"), "point", "open"),
+        .select(F.col("pivot").alias("region"), "point", "open", "degree"),
         "members",
     )
     drop_stored(counted, pivots, rest, cells, ranges, members)
-    return found, (None if after.isEmpty() else after)
+    return links, (None if after.isEmpty() else after)
+
+
+def unsettled(members: DataFrame, links: DataFrame) -> DataFrame | None:
+    """Regions that still hold points of several components of the links so far, each set of points once; None if none does.
+
+    Points of one component need no comparison. In a region whose closed points all belong to one component, or that has
+    none, that component (or the largest) closes: any pair of two components keeps an open point.
+    """
+    roots = stored(connected(links), "roots").select(F.col("node").alias("point"), "root")
+    placed = members.join(roots, "point", "left").withColumn("root", F.coalesce("root", "point"))
+    placed = stored(placed.select("region", "point", "open", "degree", "root"), "members")
+    regions = (
+        placed.groupBy("region")
+        .agg(
+            F.min("root").alias("a"),
+            F.max("root").alias("b"),
+            F.min(F.expr("if(open, null, root)")).alias("ca"),
+            F.max(F.expr("if(open, null, root)")).alias("cb"),
+            F.count("*").alias("c"),
+            F.sum(F.xxhash64("point", "open").cast("decimal(38,0)")).alias("s"),
+            F.expr("bit_xor(xxhash64(point, open, 1))").alias("x"),
+        )
+        .where("a < b")
+    )
+    regions = stored(regions, "regions")
+    one = regions.groupBy("c", "a", "b", "s", "x").agg(F.min("region").alias("region")).select("region")
+    regions = regions.join(one, "region")
+    sizes = placed.join(regions.where("ca is null").select("region"), "region").groupBy("region", "root").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("region").agg(F.max(F.struct("n", "root")).alias("top")).select("region", F.col("top.root").alias("largest"))
+    closing = regions.join(largest, "region", "left").select(
+        "region", F.expr("case when ca is null then largest when ca = cb then ca end").alias("closing")
+    )
+    after = placed.join(stored(closing, "regions"), "region").select(
+        "region", "point", (F.col("open") & ~F.coalesce(F.col("root") == F.col("closing"), F.lit(False))).alias("open"), "degree"
+    )
+    after = stored(after, "members")
+    drop_stored(members, placed)
+    return None if after.isEmpty() else after
 
 
 def linked_points(spark: SparkSession, docs: DataFrame, id_column: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -322,13 +414,14 @@ def linked_points(spark: SparkSession, docs: DataFrame, id_column: str, text: st
     # points whose rows all lack an id are not among them and link with nothing
     wanted = stored(wanted, "wanted")
     texts = point_texts(docs, id_column, text, wanted)
-    members = stored(members.join(wanted.select("point"), "point", "left_semi").select("region", "point", "open"), "members")
+    members = stored(members.join(wanted.select("point"), "point", "left_semi").select("region", "point", "open", "degree"), "members")
     links, level = None, 0
     while members is not None:
         level += 1
-        found, members = next_level(members, texts, level)
-        own = found.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        own, members = next_level(members, texts, level)
         links = own if links is None else links.union(own)
+        if members is not None:
+            members = unsettled(members, links)
     return points.select("doc_id", "n", "point"), links
 
 

@@ -75,11 +75,12 @@ def corpus(seed, n):
     return list(zip(ids, rows, strict=True))
 
 
-@pytest.mark.parametrize("seed,leaf,pivots", [(1, 32, 32), (2, 1, 3), (3, 2, 2)])
+@pytest.mark.parametrize("seed,leaf,pivots", [(1, 1 << 20, 32), (2, 40, 3), (3, 4, 2)])
 def test_matches_brute_force(spark, monkeypatch, seed, leaf, pivots):
     """Small leaves and few pivots drive the recursion through several levels."""
     monkeypatch.setattr(jaccard, "LEAF", leaf)
     monkeypatch.setattr(jaccard, "PIVOTS", pivots)
+    monkeypatch.setattr(jaccard, "SHARE", 4)
     rows = corpus(seed, 72)
     assert ours(spark, rows) == brute(rows)
 
