@@ -63,7 +63,7 @@ def laced(packets: list[bytes], lacing: int) -> bytes:
     head = bytes([len(packets) - 1])
     if lacing == XIPH:
         head += b"".join(b"\xff" * (n // 255) + bytes([n % 255]) for n in sizes[:-1])
-    elif lacing == EBML_LACING:
+    elif lacing == EBML_LACING and len(packets) > 1:
         head += size_bytes(sizes[0])
         for before, now in zip(sizes, sizes[1:-1], strict=False):
             step = now - before

@@ -41,7 +41,7 @@ NEAR = 6  # places between a hit and a word of the second person
 INSULTS = "idiot moron stupid loser scum trash worthless pathetic disgusting dumb fool jerk bastard bitch asshole"
 SECOND = "you your yours yourself du dich dir dein deine ihr euch tu te toi ton ta vous votre tú ti usted ustedes vosotros"
 # Letters that digits and symbols stand for.
-HIDDEN = str.maketrans("0134578@$!|", "oleastbasil")
+HIDDEN = str.maketrans("0134578@$!|", "oieastbasil")
 
 EDGES = ".,;:!?\"'()[]{}*#%&…-_«»“”¿¡"
 LETTERS = re.compile(r"[^\W\d_]")
