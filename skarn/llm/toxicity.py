@@ -82,7 +82,7 @@ class Words(dict):
     def __missing__(self, word: str) -> tuple[float, float, float, float, float]:
         own = bare(word)
         mixed = bool(MIXED.search(own)) and not own.isalpha()
-        plain_form = shown(word) if mixed else own
+        plain_form = shown(own) if mixed else own
         out = (
             self.model.weight(own),
             self.model.weight(plain_form) if mixed and len(plain_form) > 2 else 0.0,
