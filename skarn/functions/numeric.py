@@ -35,10 +35,6 @@ def minmax(value: Column, low: Column, high: Column) -> Column:
     return F.when(high == low, F.lit(0.0)).otherwise((value - low) / F.when(high == low, F.lit(1.0)).otherwise(high - low))
 
 
-def inverse_minmax(value: Column, low: Column, high: Column) -> Column:
-    return value * (high - low) + low
-
-
 def bin_index(value: Column, low: float, width: float) -> Column:
     """0-based number of the bin of the given width that holds the value."""
     return F.floor((value - low) / width).cast("long")

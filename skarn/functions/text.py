@@ -47,7 +47,3 @@ def is_upper(word: Column) -> Column:
 def count_of(text: Column, sign: str) -> Column:
     """Occurrences of a single character."""
     return F.length(text) - F.length(F.replace(text, F.lit(sign), F.lit("")))
-
-
-def head(array: Column, n: int) -> Column:
-    return F.slice(array, 1, n)

@@ -146,7 +146,7 @@ SQL = {
     "asof_ticks": with_views(
         ["v_ticks"],
         """SELECT p.series_id, p.event_id AS probe_id, f.event_id, f.value
-        FROM (SELECT s AS series_id, ts, event_id FROM v_ticks, (VALUES ('click'), ('view')) AS w(s)
+        FROM (SELECT s AS series_id, ts, event_id FROM v_ticks, (VALUES ('click'), ('purchase'), ('signup'), ('view')) AS w(s)
               WHERE series_id = 'error') p
         ASOF LEFT JOIN v_ticks f ON f.series_id = p.series_id AND f.ts <= p.ts""",
     ),

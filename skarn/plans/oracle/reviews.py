@@ -4,11 +4,20 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from skarn.functions.text import CHUNK, NOT_CONTRACTION, TOKEN
 from skarn.plans.oracle.views import _values, with_views
 from skarn.plans.reviews import CORPUS_RULES, LEXICON_SCORES, MODEL_SCORES, SCORES, TAGGED
 
 
+# The token rules written out by hand, apart from the patterns under test: a number with inner marks; words of letters,
+# their marks and digits, joined by hyphens; the short forms behind an apostrophe; any other visible character alone.
+TOKEN = (
+    r"\p{N}+(?:[.,]\p{N}+)+"
+    r"|[\p{L}\p{M}\p{N}]+(?:-[\p{L}\p{M}\p{N}]+)*"
+    r"|'(?:s|S|m|M|d|D|ll|LL|re|RE|ve|VE)"
+    r"|[^\s\p{L}\p{M}\p{N}]"
+)
+NOT_CONTRACTION = r"(\p{L})([nN]['’][tT])($|[^\p{L}\p{M}\p{N}])"
+CHUNK = r"[^\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}]{2,}"
 _EDGE_PUNCTUATION = r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$"
 
 

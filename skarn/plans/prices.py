@@ -119,13 +119,16 @@ def asof_price(spark, sf_dir):
     return out.select("series_id", "dt", F.col("fact_time").alias("fact_dt"), "close")
 
 
+OTHERS = ("click", "purchase", "signup", "view")  # the series beside the errors
+
+
 def asof_ticks(spark, sf_dir):
-    """For each error event the last purchase-like value seen in each other series before it."""
+    """For each error event the last value seen in each other series before it."""
     ticks = views.ticks(spark, sf_dir)
     probes = ticks.where(F.col("series_id") == "error").select(
-        F.explode(F.array(*[F.lit(s) for s in ("click", "view")])).alias("series_id"), "ts", F.col("event_id").alias("probe_id")
+        F.explode(F.array(*[F.lit(s) for s in OTHERS])).alias("series_id"), "ts", F.col("event_id").alias("probe_id")
     )
-    facts = ticks.where(F.col("series_id").isin("click", "view"))
+    facts = ticks.where(F.col("series_id") != "error")
     out = series.asof(probes, facts, TICKS, ["event_id", "value"])
     return out.select("series_id", "probe_id", "event_id", "value")
 
@@ -216,11 +219,9 @@ def window60_forecast(spark, sf_dir):
 
 
 def forecast_horizon(spark, sf_dir):
-    """Validation and test dates, one after the other."""
+    """Validation and test dates in one pass; the split column tells them apart."""
     table = _lag_split(spark, sf_dir, 3)
-    val = table.where(F.col("split") == "val").select("series_id", "dt", "split")
-    test = table.where(F.col("split") == "test").select("series_id", "dt", "split")
-    return val.unionByName(test)
+    return table.where(F.col("split").isin("val", "test")).select("series_id", "dt", "split")
 
 
 def _fixed_models(bars):
