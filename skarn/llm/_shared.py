@@ -13,14 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by `spark.checkpoint.dir`; where it is unset (tests, one machine), one of our own is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="skarn-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from skarn.sources.files import shared_dir
 
 
 def scratch(spark: SparkSession, name: str) -> str:
