@@ -15,8 +15,8 @@ than r from that of every open point of the cell are left out. A point is open i
 pivot and no other pivot's cell could hold an unlinked partner. Cells are the regions of the next level; regions that have
 become small are joined pair by pair, in tiles. Pivots are compared with all points of their region and leave it, so the recursion
 ends. Only distances of candidate pairs are computed, each once a level, and copies of a text add no pair. Between levels
-the components of the links so far are formed: regions inside one component are settled, and of the others only points
-outside their settled component stay open.
+points that link with the same hub form groups: regions inside one group are settled, and of the others only points outside
+their settled group stay open.
 
 All steps are grouped aggregates and equi-joins over (region, point); a hot region is spread by adaptive execution, and
 nothing per document reaches the driver.
@@ -317,8 +317,8 @@ def joined_pairwise(small: DataFrame, texts: DataFrame) -> DataFrame:
     return stored(met.groupBy("region", "i", "j").applyInArrow(_tile, "u long, v long"), "links")
 
 
-def next_level(members: DataFrame, texts: DataFrame, level: int) -> tuple[DataFrame, DataFrame | None]:
-    """Join the regions of one level: (links found, regions of the next level or None)."""
+def next_level(members: DataFrame, texts: DataFrame, level: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Join the regions of one level: (links found, a point that each point links with, regions of the next level or None)."""
     counted = stored(
         members.groupBy("region").agg(
             F.expr("count_if(open)").alias("n"), F.count("*").alias("m"), F.expr("max(if(open, struct(degree, point), null)).point").alias("central")
@@ -337,8 +337,8 @@ def next_level(members: DataFrame, texts: DataFrame, level: int) -> tuple[DataFr
     to_pivot = members.join(pivots, "region")
     found = distances(_ordered(to_pivot, "point", "pivot"), texts)
     links = found.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    if level > 1:
-        links = links.union(joined_pairwise(sized.where(small), texts))
+    tiled = joined_pairwise(sized.where(small), texts) if level > 1 else None
+    links = links if tiled is None else links.union(tiled)
     rest = to_pivot.join(pivots.select("region", F.col("pivot").alias("point")), ["region", "point"], "left_anti")
     rest = rest.withColumn("a", F.least("point", "pivot")).withColumn("b", F.greatest("point", "pivot"))
     rest = stored(rest.join(found, ["a", "b"]).select("region", "point", "open", "degree", "pivot", "d", "linked"), "to-pivots")
@@ -363,18 +363,20 @@ def next_level(members: DataFrame, texts: DataFrame, level: int) -> tuple[DataFr
         .select(F.col("pivot").alias("region"), "point", "open", "degree"),
         "members",
     )
+    hubs = rest.where("linked").select(F.col("point").alias("u"), F.col("pivot").alias("v"))
+    hubs = stored((hubs if tiled is None else hubs.union(tiled)).groupBy("u").agg(F.min("v").alias("v")), "hubs")
     drop_stored(counted, pivots, rest, cells, ranges, members)
-    return links, (None if after.isEmpty() else after)
+    return links, hubs, (None if after.isEmpty() else after)
 
 
-def unsettled(members: DataFrame, links: DataFrame) -> DataFrame | None:
-    """Regions that still hold points of several components of the links so far, each set of points once; None if none does.
+def unsettled(members: DataFrame, hubs: DataFrame) -> DataFrame | None:
+    """Regions that still hold points of several groups, each set of points once; None if none does.
 
-    Points of one component need no comparison. In a region whose closed points all belong to one component, or that has
-    none, that component (or the largest) closes: any pair of two components keeps an open point.
+    Points that link with the same hub are a group and need no comparison. In a region whose closed points all belong to
+    one group, or that has none, that group (or the largest) closes: any pair of two groups keeps an open point.
     """
-    roots = stored(connected(links), "roots").select(F.col("node").alias("point"), "root")
-    placed = members.join(roots, "point", "left").withColumn("root", F.coalesce("root", "point"))
+    placed = members.join(hubs.select(F.col("u").alias("point"), F.col("v").alias("root")), "point", "left")
+    placed = placed.withColumn("root", F.coalesce("root", "point"))
     placed = stored(placed.select("region", "point", "open", "degree", "root"), "members")
     regions = (
         placed.groupBy("region")
@@ -415,13 +417,14 @@ def linked_points(spark: SparkSession, docs: DataFrame, id_column: str, text: st
     wanted = stored(wanted, "wanted")
     texts = point_texts(docs, id_column, text, wanted)
     members = stored(members.join(wanted.select("point"), "point", "left_semi").select("region", "point", "open", "degree"), "members")
-    links, level = None, 0
+    links, hubs, level = None, None, 0
     while members is not None:
         level += 1
-        own, members = next_level(members, texts, level)
+        own, near, members = next_level(members, texts, level)
         links = own if links is None else links.union(own)
         if members is not None:
-            members = unsettled(members, links)
+            hubs = near if hubs is None else stored(hubs.union(near).groupBy("u").agg(F.min("v").alias("v")), "hubs")
+            members = unsettled(members, hubs)
     return points.select("doc_id", "n", "point"), links
 
 
