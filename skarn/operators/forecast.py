@@ -77,13 +77,13 @@ def fit_window_model(
 ):
     """One pooled regressor on window arrays over all series. kind: 'linear' or 'boosted'."""
     points = df.select(array_to_vector(F.col(window_col).cast("array<double>")).alias("features"), F.col(target).cast("double").alias("label"))
+    if kind == "linear":  # one pass: nothing to keep
+        return LinearRegression(solver="normal", regParam=reg_param).fit(points)
+    if kind != "boosted":
+        raise ValueError(f"unknown kind {kind!r}")
     points = points.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        if kind == "linear":
-            return LinearRegression(solver="normal", regParam=reg_param).fit(points)
-        if kind == "boosted":
-            return GBTRegressor(maxIter=max_iter, maxDepth=4, seed=0).fit(points)
-        raise ValueError(f"unknown kind {kind!r}")
+        return GBTRegressor(maxIter=max_iter, maxDepth=4, seed=0).fit(points)
     finally:
         points.unpersist()
 

@@ -123,17 +123,18 @@ def fit_text_classifier(
     rated = df.where(F.col(score_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(text_col).alias("text"), label.alias("label")
     )
-    stages = [
-        RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[^\p{L}\p{N}]+"),
-        HashingTF(inputCol="words", outputCol="tf", numFeatures=n_features),
+    words = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[^\p{L}\p{N}]+")
+    hashed = HashingTF(inputCol="words", outputCol="tf", numFeatures=n_features)
+    # the fits pass over the hashed counts, not over the texts
+    counts = hashed.transform(words.transform(rated)).select("tf", "label").persist(StorageLevel.MEMORY_AND_DISK)
+    fitted = [
         IDF(inputCol="tf", outputCol="features", minDocFreq=2),
         LogisticRegression(family="multinomial", maxIter=max_iter, regParam=0.01),
     ]
-    rated = rated.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return Pipeline(stages=stages).fit(rated)
+        return PipelineModel([words, hashed, *Pipeline(stages=fitted).fit(counts).stages])
     finally:
-        rated.unpersist()
+        counts.unpersist()
 
 
 def classifier_scores(model: PipelineModel, df: DataFrame, id_col: str = "Id", text_col: str = "Text") -> DataFrame:

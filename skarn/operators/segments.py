@@ -101,7 +101,7 @@ def lloyd(df: DataFrame, features: Sequence[str], centroids: Centroids, steps: i
 
 def _vectors(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-    return assembler.transform(df.select(*keep, *features)).select(*keep, "features")
+    return assembler.transform(df.select(*dict.fromkeys([*keep, *features]))).select(*keep, "features")
 
 
 def _fit(vectors: DataFrame, k: int, seed: int, max_iter: int, tol: float):
@@ -119,9 +119,9 @@ def fit_segments(
     df: DataFrame, features: Sequence[str], k: int = 5, seed: int = 0, max_iter: int = 300, tol: float = 1e-4
 ) -> list[list[float]]:
     """Fitted centroids in ascending order, so that cluster numbers do not depend on the seed's order."""
-    vectors = _vectors(df, features).persist(StorageLevel.MEMORY_AND_DISK)
+    vectors = _vectors(df, features, keep=features).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = _fit(vectors, k, seed, max_iter, _step_limit(df, features, tol))
+        model = _fit(vectors, k, seed, max_iter, _step_limit(vectors, features, tol))
     finally:
         vectors.unpersist()
     return sorted([float(v) for v in c] for c in model.clusterCenters())
@@ -146,16 +146,16 @@ def elbow(
     The fits do not depend on each other; `parallel` of them are submitted at a time, so that
     one fit's last tasks do not leave the cluster idle.
     """
-    vectors = _vectors(df, features).persist(StorageLevel.MEMORY_AND_DISK)
+    vectors = _vectors(df, features, keep=features).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        limit = _step_limit(df, features, tol)
+        limit = _step_limit(vectors, features, tol)
+        one = single_cluster_cost(vectors, features).first()
         with ThreadPoolExecutor(parallel) as pool:
             fits = list(pool.map(lambda k: _fit(vectors, k, seed, max_iter, limit), range(2, k_max + 1)))
         costs = [(k, float(fit.summary.trainingCost)) for k, fit in enumerate(fits, 2)]
     finally:
         vectors.unpersist()
-    first = single_cluster_cost(df, features).select(F.col("k").cast("int").alias("k"), "wcss")
-    return first.unionByName(df.sparkSession.createDataFrame(costs, "k int, wcss double")) if costs else first
+    return df.sparkSession.createDataFrame([(1, one["wcss"]), *costs], "k int, wcss double")
 
 
 def fit_vector_segments(df: DataFrame, array_column: str, k: int, seed: int = 0, max_iter: int = 100):
