@@ -2,9 +2,10 @@
 
 Each text is a worklist that starts with the text itself. A layer is scanned with the patterns, and every run in it that
 decodes is unwrapped into a further layer: percent codes, escapes of code points, base64, and gzip, zlib or hexadecimal
-forms of these. The list ends at its fixpoint; a layer whose content was seen before in the same text is not entered
-again, which also breaks cycles. A layer maps each of its characters to a span of the original text, so findings at any
-depth are given as spans of that text: character by character where the encoding allows it, else as the whole run.
+forms of these. The list ends at its fixpoint. A layer maps each of its characters to a span of the original text, so
+findings at any depth are given as spans of that text: character by character where the encoding allows it, else as the
+whole run. Of a run only the kinds that it holds at any depth matter, so equal content is scanned once and counts at every
+place where it stands; a content that comes back under itself is not entered again, which breaks cycles.
 
 Every text is scanned whole. Work grows with the text: a layer of a run is at most as long as the run unless it was
 compressed, and what a run inflates to is read up to `INFLATED` bytes for each level, far beyond any key.
@@ -16,6 +17,7 @@ import base64
 import binascii
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -86,11 +88,10 @@ def _replaced(layer: Layer, runs: list[tuple[int, int, list[tuple[str, int, int]
     return "".join(parts), new_firsts, new_ends
 
 
-def _inside(layer: Layer, start: int, end: int, text: str) -> Layer:
-    """A layer made of one run of another: every character stands for the whole run."""
+def _place(layer: Layer, start: int, end: int) -> tuple[int, int]:
+    """The span of the original text that a run of a layer stands for."""
     _, firsts, ends = layer
-    a, b = (start, end) if firsts is None else (firsts[start], ends[end - 1])
-    return text, [a] * len(text), [b] * len(text)
+    return (start, end) if firsts is None else (min(firsts[start:end]), max(ends[start:end]))
 
 
 def _percent(layer: Layer) -> Layer | None:
@@ -146,9 +147,9 @@ def _readable(raw: bytes) -> str | None:
     return text if text and 20 * len(DULL.findall(text)) <= len(text) else None
 
 
-def _unpacked(layer: Layer) -> Iterator[Layer]:
-    """Layers of the runs of base64 or hexadecimal digits whose bytes are text, or inflate to text."""
-    for m in BASE64.finditer(layer[0]):
+def _unpacked(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, content) of the runs of base64 or hexadecimal digits whose bytes are text, or inflate to text."""
+    for m in BASE64.finditer(text):
         run = m[0].rstrip("=")
         if len(run) % 4 == 1:
             continue
@@ -157,39 +158,58 @@ def _unpacked(layer: Layer) -> Iterator[Layer]:
             raw = base64.b64decode(wide + "=" * (-len(wide) % 4), validate=True)
         except binascii.Error:
             continue
-        if text := _readable(raw):
-            yield _inside(layer, m.start(), m.end(), text)
-    for m in HEXED.finditer(layer[0]):
-        if text := _readable(bytes.fromhex(m[0])):
-            yield _inside(layer, m.start(), m.end(), text)
+        if content := _readable(raw):
+            yield m.start(), m.end(), content
+    for m in HEXED.finditer(text):
+        if content := _readable(bytes.fromhex(m[0])):
+            yield m.start(), m.end(), content
 
 
 URL_SAFE = str.maketrans("-_", "+/")
 
 
+def _recoded(layer: Layer) -> Iterator[Layer]:
+    """The layer with its percent codes, and with its escapes, as what they stand for."""
+    if "%" in layer[0] and (inner := _percent(layer)):
+        yield inner
+    if ("\\" in layer[0] or "&#" in layer[0]) and (inner := _escaped(layer)):
+        yield inner
+
+
+def _held(content: str, scanned: dict[str, tuple[set[str], set[str]]]) -> set[str]:
+    """Kinds that the content of a run holds at any depth; `scanned` keeps the kinds and inner contents of each content."""
+    kinds, seen, work = set(), {content}, [content]
+    while work:
+        own = work.pop()
+        if own not in scanned:
+            inner = {c for _, _, c in _unpacked(own)} | {x[0] for x in _recoded((own, None, None))}
+            scanned[own] = {kind for _, _, kind in base_spans(own)}, inner
+        kinds |= scanned[own][0]
+        work += scanned[own][1] - seen
+        seen |= scanned[own][1]
+    return kinds
+
+
 def spans_of(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(spans of the text itself, all spans), each (start, end, kind) ordered by start, kind and end.
 
     Offsets count characters (code points) of the text, ends exclusive. A span found again in a decoded layer is listed
-    once.
+    once; equal runs at several places give a span each.
     """
     order = {k: i for i, k in enumerate(KINDS)}
     by_place = lambda s: (s[0], order[s[2]], s[1])
     base = sorted(base_spans(text), key=by_place)
-    every, seen, work = set(base), {text}, [(text, None, None)]
+    every, seen, work, scanned = set(base), set(), [(text, None, None)], {}
     while work:
         layer = work.pop()
-        content, firsts, ends = layer
-        if firsts is not None:
-            every.update((min(firsts[a:b]), max(ends[a:b]), kind) for a, b, kind in base_spans(content))
-        found = [*_unpacked(layer)]
-        if "%" in content:
-            found.append(_percent(layer))
-        if "\\" in content or "&#" in content:
-            found.append(_escaped(layer))
-        for inner in found:
-            if inner and inner[0] not in seen:
-                seen.add(inner[0])
+        if layer[1] is not None:
+            every.update((*_place(layer, a, b), kind) for a, b, kind in base_spans(layer[0]))
+        for a, b, content in _unpacked(layer[0]):
+            every.update((*_place(layer, a, b), kind) for kind in _held(content, scanned))
+        for inner in _recoded(layer):
+            mark = (inner[0], array("q", inner[1]).tobytes(), array("q", inner[2]).tobytes())
+            if mark not in seen:
+                seen.add(mark)
                 work.append(inner)
     return base, sorted(every, key=by_place)
 

@@ -74,6 +74,13 @@ def test_nothing_in_clean_text_and_cycles_end():
     assert secrets.spans_of(text) == ([], [])
 
 
+@pytest.mark.parametrize("other", [b64(SECRET), SECRET.encode().hex(), b64(b64(SECRET)), "".join(f"%{ord(c):02X}" for c in b64(SECRET))])
+def test_equal_content_counts_at_every_place(other):
+    text = f"é {b64(SECRET)} and {other}! or %41 {b64(SECRET)} end {other}"
+    clean = secrets.redacted(text, [s for s in secrets.spans_of(text)[1] if s[2] == "assign"])
+    assert clean == "é [secret] and [secret]! or %41 [secret] end [secret]"
+
+
 def test_rows(spark):
     ship(spark)
     long_text = "word " * 60_000 + KEY
