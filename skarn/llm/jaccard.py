@@ -12,7 +12,7 @@ as one. Each point belongs to the Voronoi cell of its nearest pivot. By the tria
 inequality a partner of a point in a cell lies no more than 2r further from that cell's pivot than from its own, so the
 boundary points inside this window are replicated into the cell, and points whose distance from the pivot differs by more
 than r from that of every open point of the cell are left out. A point is open in its cell unless it is linked to the
-pivot and no other pivot's cell could hold an unlinked partner. Cells are the regions of the next level; regions that have
+pivot and no other pivot's cell could hold an unlinked partner, nor its own an unlinked one that was closed before. Cells are the regions of the next level; regions that have
 become small are joined pair by pair, in tiles. Pivots are compared with all points of their region and leave it, so the recursion
 ends. Only distances of candidate pairs are computed, each once a level, and copies of a text add no pair. Between levels
 points that link with the same hub form groups: regions inside one group are settled, and of the others only points outside
@@ -347,10 +347,13 @@ def next_level(members: DataFrame, texts: DataFrame, level: int) -> tuple[DataFr
         F.expr(f"count_if(not linked and d <= {2 * RADIUS + SLACK})").alias("beyond"),
         F.expr("count_if(linked)").alias("links"),
     )
+    placed = rest.join(nearest, ["region", "point"]).where(F.col("d") - F.col("near.d") <= 2 * RADIUS + SLACK)
+    # what was closed before and links with no pivot here stays closed: a point that may link with it must not close
+    shut = placed.where(f"not open and links = 0 and d <= {2 * RADIUS + SLACK}").groupBy("region", "pivot").agg(F.min("d").alias("shut"))
+    apart = (F.col("links") == 0) | (F.col("beyond") > 0) | (F.col("shut") - F.col("d") <= RADIUS + SLACK)
     cells = (
-        rest.join(nearest, ["region", "point"])
-        .where(F.col("d") - F.col("near.d") <= 2 * RADIUS + SLACK)
-        .withColumn("open", F.col("open") & (F.col("pivot") == F.col("near.pivot")) & ((F.col("links") == 0) | (F.col("beyond") > 0)))
+        placed.join(shut, ["region", "pivot"], "left")
+        .withColumn("open", F.col("open") & (F.col("pivot") == F.col("near.pivot")) & F.coalesce(apart, F.lit(False)))
         # regions that share a pivot go on as one
         .groupBy("pivot", "point")
         .agg(F.max("open").alias("open"), F.max("degree").alias("degree"), F.min("d").alias("d"))

@@ -85,6 +85,30 @@ def test_matches_brute_force(spark, monkeypatch, seed, leaf, pivots):
     assert ours(spark, rows) == brute(rows)
 
 
+def template_variants(seed, family, n=60, depth=6):
+    """Variants that differ from one another at one place each and link sparsely; part of them is missing."""
+    rng = random.Random(seed)
+    for f in range(family + 1):
+        grown = [([f"f{f}w{j}" for j in range(60)], 0)]
+        while len(grown) < n:
+            own, at = rng.choice(grown[-n // 2 :])
+            if at < depth:
+                own = [*own]
+                own[4 + 6 * rng.randrange(9)] = f"f{f}e{rng.randrange(6)}"
+                grown.append((own, at + 1))
+        rows = [" ".join(w) for w, _ in grown if rng.random() < 0.7]
+    return [*enumerate(rows)]
+
+
+def test_an_open_point_stays_for_an_unlinked_closed_partner(spark, monkeypatch):
+    """The bridge between two groups of variants is a pair of which one side was closed a level before."""
+    monkeypatch.setattr(jaccard, "LEAF", 40)
+    monkeypatch.setattr(jaccard, "PIVOTS", 3)
+    monkeypatch.setattr(jaccard, "SHARE", 4)
+    rows = template_variants(2, 4)
+    assert ours(spark, rows) == brute(rows)
+
+
 def test_repeated_and_missing_ids(spark):
     text = "a b c d e f g h i j k l m n o p"
     rows = [(7, text), (7, text), (None, text), (9, text + " q"), (3, None), (5, "x"), (5, "y")]
