@@ -7,8 +7,8 @@ findings at any depth are given as spans of that text: character by character wh
 whole run. Of a run only the kinds that it holds at any depth matter, so equal content is scanned once and counts at every
 place where it stands; a content that comes back under itself is not entered again, which breaks cycles.
 
-Every text is scanned whole. Work grows with the text: a layer of a run is at most as long as the run unless it was
-compressed, and what a run inflates to is read up to `INFLATED` bytes for each level, far beyond any key.
+Every text is scanned whole, and so is what a run inflates to, all members of it: piece by piece, in windows of about
+`INFLATED` bytes that end where neither a finding nor an encoded run can stand. A window grows where there is no such place.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import pairwise
+from hashlib import blake2b
+from itertools import chain, pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 
 from skarn.llm._shared import text_slices, texts_of
 
-INFLATED = 1 << 24  # bytes of one decompressed run
+INFLATED = 1 << 24  # bytes of a window, about
+PIECE = 1 << 20  # bytes inflated at a time
+LEVELS = 64  # of compression in compression: data may inflate to itself
 KINDS = ("assign", "access", "hex")
 
 # The patterns of the kinds, and the least length of what each finds.
@@ -50,6 +53,8 @@ ESCAPE = re.compile(
 )
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 HEXED = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){16,}(?![0-9A-Fa-f])")
+# a window may end after these
+END = re.compile(rb"[,()<>!?|\[\]*@$^~`]|[A-Za-z0-9.,] (?=[A-Za-z0-9])")
 DULL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\x9f\ufffd]")
 
 Layer = tuple[str, list[int] | None, list[int] | None]  # text, and per character first and end in the original
@@ -125,26 +130,72 @@ def _escaped(layer: Layer) -> Layer | None:
     return _replaced(layer, runs) if runs else None
 
 
-def _inflated(raw: bytes) -> bytes | None:
-    """What gzip or zlib data holds, None for anything else."""
-    if raw[:2] != b"\x1f\x8b" and not (len(raw) > 2 and raw[0] & 0x0F == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
-        return None
-    try:
-        return zlib.decompressobj(zlib.MAX_WBITS | 32).decompress(raw, INFLATED) or None
-    except zlib.error:
-        return None
+def _packed(raw: bytes) -> bool:
+    return raw[:2] == b"\x1f\x8b" or len(raw) > 2 and raw[0] & 0x0F == 8 and (raw[0] << 8 | raw[1]) % 31 == 0
 
 
-def _readable(raw: bytes) -> str | None:
-    """Bytes as text when they are text: valid UTF-8 almost without control characters."""
-    seen = 0
-    while (more := _inflated(raw)) is not None and seen < 64:
-        raw, seen = more, seen + 1
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and 20 * len(DULL.findall(text)) <= len(text) else None
+def _members(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """What gzip or zlib data holds, member after member; bytes that are no member stay as they are."""
+    engine, fresh = zlib.decompressobj(zlib.MAX_WBITS | 32), b""
+    for piece in pieces:
+        while True:
+            try:
+                out = engine.decompress(piece, PIECE)
+            except zlib.error:
+                yield fresh + piece
+                yield from pieces
+                return
+            if out:
+                yield out
+            # as long as a member has given nothing, its bytes may turn out to be none
+            fresh = b"" if out or engine.eof else fresh + piece
+            if engine.eof:
+                piece = engine.unused_data.lstrip(b"\0")
+                engine = zlib.decompressobj(zlib.MAX_WBITS | 32)
+                if not piece:
+                    break
+            else:
+                piece = engine.unconsumed_tail
+                if not piece and len(out) < PIECE:
+                    break
+    if fresh:
+        yield fresh
+
+
+def _inflated(pieces: Iterator[bytes], levels: int = LEVELS) -> Iterator[bytes]:
+    head = b""
+    for piece in pieces:
+        head += piece
+        if len(head) > 2:
+            break
+    pieces = chain((head,), pieces)
+    return _inflated(_members(pieces), levels - 1) if levels and _packed(head) else pieces
+
+
+def _windows(raw: bytes) -> Iterator[bytes]:
+    """Decoded bytes, or what they inflate to, whole up to `INFLATED`, else in windows that cut nothing in two."""
+    buffer, looked = bytearray(), 0
+    for piece in _inflated(iter((raw,))):
+        buffer += piece
+        if len(buffer) >= INFLATED:
+            cut = 0
+            for m in END.finditer(buffer, looked):
+                cut = m.end()
+            looked = max(0, len(buffer) - 2)
+            if cut:
+                yield bytes(buffer[:cut])
+                del buffer[:cut]
+                looked = 0
+    if buffer:
+        yield bytes(buffer)
+
+
+def _readable(raw: bytes) -> Iterator[str]:
+    """Bytes as text when they are text: UTF-8 almost without other bytes and control characters."""
+    for window in _windows(raw):
+        text = window.decode(errors="replace")
+        if 20 * len(DULL.findall(text)) <= len(text):
+            yield text
 
 
 def _unpacked(text: str) -> Iterator[tuple[int, int, str]]:
@@ -158,10 +209,10 @@ def _unpacked(text: str) -> Iterator[tuple[int, int, str]]:
             raw = base64.b64decode(wide + "=" * (-len(wide) % 4), validate=True)
         except binascii.Error:
             continue
-        if content := _readable(raw):
+        for content in _readable(raw):
             yield m.start(), m.end(), content
     for m in HEXED.finditer(text):
-        if content := _readable(bytes.fromhex(m[0])):
+        for content in _readable(bytes.fromhex(m[0])):
             yield m.start(), m.end(), content
 
 
@@ -176,17 +227,41 @@ def _recoded(layer: Layer) -> Iterator[Layer]:
         yield inner
 
 
-def _held(content: str, scanned: dict[str, tuple[set[str], set[str]]]) -> set[str]:
-    """Kinds that the content of a run holds at any depth; `scanned` keeps the kinds and inner contents of each content."""
-    kinds, seen, work = set(), {content}, [content]
+def _inner(content: str) -> Iterator[str]:
+    for _, _, inner in _unpacked(content):
+        yield inner
+    for layer in _recoded((content, None, None)):
+        yield layer[0]
+
+
+def _held(content: str, scanned: dict[bytes, tuple[set[str], set[bytes]]]) -> set[str]:
+    """Kinds that the content of a run holds at any depth.
+
+    `scanned` keeps, by digest, the kinds and the inner contents of each content; a content itself is held while its own
+    inner ones are scanned, no longer.
+    """
+    stack: list[tuple[bytes, Iterator[str]]] = []
+
+    def enter(own: str) -> bytes:
+        name = blake2b(own.encode(errors="surrogatepass"), digest_size=16).digest()
+        if name not in scanned:
+            scanned[name] = {kind for _, _, kind in base_spans(own)}, set()
+            stack.append((name, _inner(own)))
+        return name
+
+    top = enter(content)
+    while stack:
+        name, inner = stack[-1]
+        if (own := next(inner, None)) is None:
+            stack.pop()
+        else:
+            scanned[name][1].add(enter(own))
+    kinds, seen, work = set(), {top}, [top]
     while work:
-        own = work.pop()
-        if own not in scanned:
-            inner = {c for _, _, c in _unpacked(own)} | {x[0] for x in _recoded((own, None, None))}
-            scanned[own] = {kind for _, _, kind in base_spans(own)}, inner
-        kinds |= scanned[own][0]
-        work += scanned[own][1] - seen
-        seen |= scanned[own][1]
+        own_kinds, below = scanned[work.pop()]
+        kinds |= own_kinds
+        work += below - seen
+        seen |= below
     return kinds
 
 

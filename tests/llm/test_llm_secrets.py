@@ -81,6 +81,14 @@ def test_equal_content_counts_at_every_place(other):
     assert clean == "é [secret] and [secret]! or %41 [secret] end [secret]"
 
 
+@pytest.mark.parametrize("cut", [0, 1, 2, 3])
+def test_inflated_runs_are_read_to_their_end(cut):
+    """Beyond the first window, in every member, with characters of several bytes at any cut, and compressed twice."""
+    long = ("x" * cut + "é, some words of a log " * 800_000).encode()
+    for raw in (gzip.compress(long + SECRET.encode()), gzip.compress(b"first one") + gzip.compress(SECRET.encode()), gzip.compress(zlib.compress(long + SECRET.encode()))):
+        assert "assign" in {kind for *_, kind in secrets.spans_of(b64(raw))[1]}
+
+
 def test_rows(spark):
     ship(spark)
     long_text = "word " * 60_000 + KEY
