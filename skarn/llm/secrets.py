@@ -13,7 +13,6 @@ Every text is scanned whole, and so is what a run inflates to, all members of it
 
 from __future__ import annotations
 
-import base64
 import binascii
 import re
 import zlib
@@ -52,10 +51,15 @@ ESCAPE = re.compile(
     r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});"
 )
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+# the same over several lines, the last of which may be short when nothing follows it (a lone word there goes with the run)
+WRAPPED = re.compile(
+    r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]{16,})*+(?:(?<=[A-Za-z0-9+/_-]{16})\r?\n[ \t]*[A-Za-z0-9+/_-]{1,15}(?=[=\r\n\"'<]|\Z))?={0,2}"
+)
+BLANK = re.compile(r"[\r\n \t]+")
+MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 HEXED = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){16,}(?![0-9A-Fa-f])")
 # a window may end after these
 END = re.compile(rb"[,()<>!?|\[\]*@$^~`]|[A-Za-z0-9.,] (?=[A-Za-z0-9])")
-DULL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\x9f\ufffd]")
 
 Layer = tuple[str, list[int] | None, list[int] | None]  # text, and per character first and end in the original
 
@@ -190,29 +194,50 @@ def _windows(raw: bytes) -> Iterator[bytes]:
         yield bytes(buffer)
 
 
-def _readable(raw: bytes) -> Iterator[str]:
-    """Bytes as text when they are text: UTF-8 almost without other bytes and control characters."""
-    for window in _windows(raw):
-        text = window.decode(errors="replace")
-        if 20 * len(DULL.findall(text)) <= len(text):
-            yield text
+def _texts(raw: bytes) -> Iterator[str]:
+    """Bytes as texts, whatever else stands among them: as UTF-8, as UTF-16 where every second byte is null."""
+    starts = {0} | {m.start() for m in MAGIC.finditer(raw)}
+    for start in sorted(starts):
+        # inside other bytes only what inflates counts, the rest is read from the first byte on
+        if start and not _begins(raw[start : start + PIECE]):
+            continue
+        for window in _windows(raw[start:]):
+            yield window.decode(errors="replace")
+            for first, code in ((0, "utf-16-be"), (1, "utf-16-le")):
+                if 2 * window[first::2].count(0) > len(window) // 2:
+                    yield window.decode(code, errors="replace")
+
+
+def _begins(raw: bytes) -> bool:
+    try:
+        return bool(zlib.decompressobj(zlib.MAX_WBITS | 32).decompress(raw, 1))
+    except zlib.error:
+        return False
+
+
+def _decoded(run: str) -> Iterator[bytes]:
+    """The bytes of a run of base64 from each of its first four characters on: what stands before it may touch it."""
+    wide = run.rstrip("=").translate(URL_SAFE)
+    for phase in range(4):
+        size = len(wide) - phase
+        size -= size % 4 == 1
+        yield binascii.a2b_base64(wide[phase : phase + size] + "=" * (-size % 4))
 
 
 def _unpacked(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, content) of the runs of base64 or hexadecimal digits whose bytes are text, or inflate to text."""
+    """(start, end, content) of the runs of base64 or hexadecimal digits, with all that their bytes hold as text."""
     for m in BASE64.finditer(text):
-        run = m[0].rstrip("=")
-        if len(run) % 4 == 1:
-            continue
-        wide = run.translate(URL_SAFE)
-        try:
-            raw = base64.b64decode(wide + "=" * (-len(wide) % 4), validate=True)
-        except binascii.Error:
-            continue
-        for content in _readable(raw):
-            yield m.start(), m.end(), content
+        for raw in _decoded(m[0]):
+            for content in _texts(raw):
+                yield m.start(), m.end(), content
+    if "\n" in text:
+        for m in WRAPPED.finditer(text):
+            if "\n" in m[0]:
+                for raw in _decoded(BLANK.sub("", m[0])):
+                    for content in _texts(raw):
+                        yield m.start(), m.end(), content
     for m in HEXED.finditer(text):
-        for content in _readable(bytes.fromhex(m[0])):
+        for content in _texts(bytes.fromhex(m[0])):
             yield m.start(), m.end(), content
 
 

@@ -89,6 +89,25 @@ def test_inflated_runs_are_read_to_their_end(cut):
         assert "assign" in {kind for *_, kind in secrets.spans_of(b64(raw))[1]}
 
 
+def wrapped_at(width, run, end="\n"):
+    return end.join(run[k : k + width] for k in range(0, len(run), width))
+
+
+@pytest.mark.parametrize(
+    "run",
+    [
+        wrapped_at(64, b64(gzip.compress(SECRET.encode()))), wrapped_at(76, b64("x" * 40 + SECRET), "\r\n"), wrapped_at(20, b64(SECRET), "\n  "),
+        "/" + b64(SECRET), "ab/" + b64(gzip.compress(SECRET.encode())), "key-" + b64(SECRET).rstrip("="), "_x" + b64("y" + SECRET),
+        b64(b"\xff" + SECRET.encode()), b64(b"\0\1\2" * 9 + SECRET.encode()), b64(SECRET.encode("utf-16")), b64(SECRET.encode("utf-16-be")),
+        (b"\xfe" + SECRET.encode()).hex(), b64(b"head" + zlib.compress(SECRET.encode())),
+    ],
+)
+def test_wrapped_shifted_and_mixed_runs(run):
+    text = f"é {run}\n the end"
+    found = [s for s in secrets.spans_of(text)[1] if s[2] == "assign"]
+    assert secrets.redacted(text, found).replace("=", "") == "é [secret]\n the end"
+
+
 def test_rows(spark):
     ship(spark)
     long_text = "word " * 60_000 + KEY
