@@ -4,24 +4,27 @@ The polarity job follows the published rule set of Hutto & Gilbert, "VADER: A Pa
 Rule-based Model for Sentiment Analysis of Social Media Text" (ICWSM 2014). The lexicon is a
 table supplied by the caller with one row per lower-case token.
 
-Plan: each text is cut into words inside its row and every word takes its neighbours along.
-The words are exploded and joined to the lexicon, which drops all words without a valence;
-one empty word per text, which the lexicon has an entry for, carries the measures of the text
-through. The rest is summed per text. All words of a text come from one input row, so the
-map-side half of the sum already leaves a single row per text: the only exchange moves one
-small row per text, never the words.
+Plan: everything happens inside the row of a text. The lexicon is a constant of the plan, an
+array of buckets by hash of the token, so a word is looked up at once; the words with a valence
+take their neighbours along, the rules change their valences one after the other, and a fold sums
+them up. Nothing is exploded, joined or shuffled, and it runs on a stream as it does on a table.
+
+A lexicon above `ROW_TOKENS` tokens stays a table. A Bloom filter of its tokens then is the
+constant; only words that pass it leave the row, are joined to the lexicon, and come back to
+their text by one aggregate.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import json
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skarn.functions.text import count_of, is_upper, sentiment_words, tokenize
-from skarn.sources.files import sql_literal
+from skarn.operators.joins import join_groups
 
 # Words and weights of the published method.
 NEGATIONS = (
@@ -90,14 +93,10 @@ class PolarityRules:
     question_most: float = 0.96
     alpha: float = 15.0
 
-    @property
-    def looks_around(self) -> bool:
-        return self.boosters or self.negation or self.idioms or self.least
-
-
-# Stands for the text itself among its words; no word of a text is empty.
-EMPTY = ""
 
+ROW_TOKENS = 50_000  # tokens of a lexicon that becomes a constant of the plan, some 2 MB
+FILTER_BITS = 1 << 23  # of the Bloom filter of a larger one: 1 MB; fuller filters only let more words through
+FILTER_HASHES = 3
 ROW = "_row"  # tells apart rows that repeat an id
 
 CORE = PolarityRules(
@@ -117,10 +116,16 @@ def first_tokens(df: DataFrame, n: int = 10, id_col: str = "Id", text_col: str =
 
 
 def lexicon_hits(df: DataFrame, lexicon: DataFrame, id_col: str = "Id", text_col: str = "Text") -> DataFrame:
-    """(id, pos, token, valence) of every word found in the lexicon."""
-    words = df.select(id_col, F.posexplode(sentiment_words(F.col(text_col))).alias("pos", "word"))
-    words = words.select(id_col, "pos", F.lower("word").alias("token"))
-    return words.join(lexicon, "token").select(id_col, "pos", "token", "valence")
+    """(id, pos, token, valence) of every word found in the lexicon; no other word leaves its row."""
+    known = _Lookup.of(lexicon)
+    words = F.transform(sentiment_words(F.col(text_col)), F.lower)
+    if known is not None:
+        found = F.transform(words, lambda w, i: _let(known.valence(w), lambda v: F.when(v.isNotNull(), F.struct(i.alias("pos"), w.alias("token"), v.alias("valence")))))
+        return df.select(id_col, F.inline(F.array_compact(found)))
+    likely = _likely(lexicon)
+    found = F.transform(words, lambda w, i: F.when(likely(w), F.struct(i.alias("pos"), w.alias("token"))))
+    hits = df.select(id_col, F.inline(F.array_compact(found)))
+    return join_groups(hits, _tokens(lexicon), ["token"]).select(id_col, "pos", "token", "valence")
 
 
 def polarity(
@@ -134,176 +139,327 @@ def polarity(
     """(id, *keep, neg, neu, pos, compound) for each text that is neither NULL nor blank.
 
     Each row is scored for itself, also where an id repeats (see `last_wins` for one row per
-    id). `keep` carries narrow columns along.
+    id). `keep` carries columns along. `lexicon` has one row per lower-case token; of a token
+    that repeats the largest valence counts, a NULL token or valence does not. `df` may be a
+    stream unless the lexicon has more than `ROW_TOKENS` tokens.
     """
-    df = df.withColumn(ROW, F.monotonically_increasing_id())
-    keep = [*keep, ROW]
-    words = _words_in_context(df, rules, id_col, text_col, keep)
-    looked_up = _look_up(words, lexicon, rules)
-    return _shares(looked_up, rules, id_col, keep).drop(ROW)
+    known = _Lookup.of(lexicon)
+    texts = df.where(F.col(text_col).rlike(r"\S"))
+    if known is None:
+        return _polarity_by_join(texts, lexicon, rules, id_col, text_col, keep)
+    words = _let(_measures(F.col(text_col), rules), lambda t: _let(_with_valences(t, known), lambda u: _score(t, _hits(t, u), rules)))
+    scored = texts.select(id_col, *keep, words.alias("_scores"))
+    return scored.select(id_col, *keep, "_scores.*")
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _tokens(lexicon: DataFrame) -> DataFrame:
+    rows = lexicon.select("token", F.col("valence").cast("double").alias("valence")).where("token is not null and valence is not null")
+    return rows.groupBy("token").agg(F.max("valence").alias("valence"))
+
+
+class _Lookup:
+    """A lexicon as a constant: an array of as many small maps as it has tokens, at least."""
+
+    def __init__(self, valences: Mapping[str, float], places: Mapping[str, int], size: int):
+        self.size = size
+        buckets: list[dict[str, float]] = [{} for _ in range(size)]
+        for token, valence in valences.items():
+            buckets[places[token]][token] = valence
+        # parsed once, when the plan is made: the optimizer folds it
+        self.table = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,double>>")
+
+    @staticmethod
+    def _place(token: Column, size: int) -> Column:
+        return F.pmod(F.xxhash64(token), F.lit(size)).cast("int")
+
+    @classmethod
+    def of(cls, lexicon: DataFrame) -> _Lookup | None:
+        """None where the lexicon is too large; no more rows than the bound reach the driver."""
+        size = 1 << (ROW_TOKENS - 1).bit_length()
+        rows = lexicon.select("token", F.col("valence").cast("double").alias("valence"), cls._place(F.col("token"), size).alias("at"))
+        held = rows.where("token is not null and valence is not null").limit(ROW_TOKENS + 1).collect()
+        if len(held) > ROW_TOKENS:
+            return None
+        fewer = 1 << max(0, len(held) - 1).bit_length()
+        valences: dict[str, float] = {}
+        for r in held:
+            valences[r["token"]] = max(r["valence"], valences.get(r["token"], r["valence"]))
+        return cls(valences, {r["token"]: r["at"] % fewer for r in held}, fewer)
+
+    def valence(self, token: Column) -> Column:
+        return F.element_at(F.get(self.table, self._place(token, self.size)), token)
+
+
+def _bits(token: Column, size: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(token, F.lit(k)), F.lit(size)) for k in range(FILTER_HASHES)]
+
+
+def _likely(lexicon: DataFrame) -> Callable[[Column], Column]:
+    """A test that every token of the lexicon passes, and few other words."""
+    n = lexicon.count()
+    size = min(FILTER_BITS, max(64, 1 << (16 * n - 1).bit_length()))
+    places = lexicon.where("token is not null").select(F.explode(F.array(*_bits(F.col("token"), size))).alias("bit"))
+    cells = places.groupBy((F.col("bit") / 64).cast("int").alias("cell")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))).alias("bits")
+    )
+    held = [0] * (size // 64)
+    for r in cells.collect():  # at most FILTER_BITS / 64 rows
+        held[r["cell"]] = r["bits"]
+    table = F.from_json(F.lit(json.dumps(held)), "array<bigint>")
+
+    def test(token: Column) -> Column:
+        passed = F.lit(True)
+        for bit in _bits(token, size):
+            passed = passed & (F.getbit(F.get(table, (bit / 64).cast("int")), (bit % 64).cast("int")) == 1)
+        return passed
+
+    return test
+
+
+def _measures(text: Column, rules: PolarityRules) -> Column:
+    """Words of a text, and what its rules need to know of the text."""
+
+    def more(w: Column) -> Column:
+        n_upper = F.size(F.filter(w, is_upper)) if rules.capitals else F.lit(0)
+        return F.struct(
+            w.alias("words"),
+            F.transform(w, F.lower).alias("lower"),
+            F.size(w).alias("n_words"),
+            ((n_upper > 0) & (n_upper < F.size(w))).alias("mixed"),
+            count_of(text, "!").alias("n_bang"),
+            count_of(text, "?").alias("n_ask"),
+        )
 
+    return _let(sentiment_words(text), more)
 
-def _words_in_context(
-    df: DataFrame, rules: PolarityRules, id_col: str, text_col: str, keep: Sequence[str]
-) -> DataFrame:
-    """One row per word with its neighbours, and one for the empty word of each text (at -1)."""
-    text = F.col(text_col)
-    rows = df.where(text.rlike(r"\S")).select(
-        id_col,
-        *keep,
-        sentiment_words(text).alias("word"),
-        count_of(text, "!").alias("n_bang"),
-        count_of(text, "?").alias("n_ask"),
-    )
-    size = F.size("word")
-    rows = rows.withColumn("n_words", size)
-    if rules.capitals:
-        n_upper = F.size(F.filter("word", is_upper))
-        rows = rows.withColumn("mixed_case", (n_upper > 0) & (n_upper < size))
-    if rules.contrast:
-        lower = F.transform("word", F.lower)
-        rows = rows.withColumn("turn", F.array_position(lower, rules.contrast_word) - 1)
-    shifts = {}
-    if rules.looks_around:
-        # Element i + 1 of each array belongs to word i; element 0 to the empty word.
-        for k in (1, 2, 3):
-            gap = F.array_repeat(F.lit(None).cast("string"), k + 1)
-            shifts[f"back{k}"] = F.slice(F.concat(gap, "word"), F.lit(1), size + 1)
-        for k in (1, 2):
-            gap = F.array_repeat(F.lit(None).cast("string"), k)
-            ahead = F.slice(F.concat("word", gap), F.lit(k), size + 1)
-            shifts[f"next{k}"] = ahead
-    rows = rows.withColumns({**shifts, "word": F.concat(F.array(F.lit(EMPTY)), "word")})
-    zipped = F.arrays_zip("word", *shifts)
-    others = [c for c in rows.columns if c != "word" and c not in shifts]
-    exploded = rows.select(*others, F.posexplode(zipped).alias("place", "w"))
-    return exploded.select(
-        *others, (F.col("place") - 1).alias("at"), *[F.col(f"w.{c}").alias(c) for c in ("word", *shifts)]
-    )
 
+def _with_valences(t: Column, known: _Lookup) -> Column:
+    return F.transform(t["lower"], known.valence)
 
-def _look_up(words: DataFrame, lexicon: DataFrame, rules: PolarityRules) -> DataFrame:
-    """The words that have a valence, and which of their neighbours are lexicon words."""
-    table = lexicon.select(F.col("token").alias("_token"), F.col("valence").cast("double").alias("valence"))
-    empty = lexicon.sparkSession.sql(f"SELECT * FROM VALUES ('{EMPTY}', 0D) AS t(_token, valence)")
-    found = words.join(table.unionAll(empty), F.lower("word") == F.col("_token")).drop("_token")
-    if not rules.looks_around:
-        return found
-    for k in (1, 2, 3):
-        known = lexicon.select(F.col("token").alias("_token"))
-        found = found.join(known, F.lower(f"back{k}") == F.col("_token"), "left")
-        found = found.withColumn(f"free{k}", F.col(f"back{k}").isNotNull() & F.col("_token").isNull()).drop("_token")
-    return found
 
+def _around(t: Column, i: Column) -> dict[str, Column]:
+    """The word at `i` and its neighbours; NULL beyond either end."""
+    steps = {"word": 0, "back1": -1, "back2": -2, "back3": -3, "next1": 1, "next2": 2}
+    return {name: F.get(t["words"], i + k) for name, k in steps.items()}
+
+
+def _hits(t: Column, valences: Column) -> Column:
+    """(c, v) of each word with a valence: its surroundings, among them which words before it have none, and its valence."""
+    places = F.array_compact(F.transform(valences, lambda v, i: F.when(v.isNotNull(), i)))
+
+    def hit(i: Column) -> Column:
+        around = _around(t, i)
+        free = {f"free{k}": around[f"back{k}"].isNotNull() & F.get(valences, i - k).isNull() for k in (1, 2, 3)}
+        context = [c.alias(name) for name, c in {**around, **free, "at": i, "mixed": t["mixed"]}.items()]
+        return F.struct(F.struct(*context).alias("c"), F.get(valences, i).alias("v"))
+
+    return F.transform(places, hit)
 
-def _in(words: Sequence[str]) -> str:
-    return "IN (" + ", ".join(sql_literal(w) for w in words) + ")"
 
+Step = Callable[[Column, Column], Column]  # (surroundings, valence) -> valence
 
-def _loud(word: str) -> str:
-    return f"({word} = upper({word}) AND {word} <> lower({word}) AND mixed_case)"
 
+def _changed(hits: Column, step: Step) -> Column:
+    return F.transform(hits, lambda h: F.struct(h["c"].alias("c"), step(h["c"], h["v"]).alias("v")))
+
+
+def _one_of(word: Column, words: Sequence[str]) -> Column:
+    return word.isin(list(words)) if len(words) else F.lit(False)
+
+
+def _of(word: Column, values: Mapping[str, float]) -> Column:
+    """The value of a word; NULL where it has none."""
+    if not values:
+        return F.lit(None).cast("double")
+    return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in (pair[0], float(pair[1]))]), word)
+
+
+def _steps(rules: PolarityRules, turn: Column) -> list[Step]:
+    """What changes a valence, one after the other, in the published order."""
+
+    def loud(c: Column, name: str) -> Column:
+        return is_upper(c[name]) & c["mixed"]
+
+    def capital(v: Column) -> Column:
+        return F.when(v > 0, rules.capital_weight).otherwise(-rules.capital_weight)
+
+    def boost(k: int) -> Step:
+        def step(c: Column, v: Column) -> Column:
+            back = F.lower(c[f"back{k}"])
+            weight = F.when(v < 0, -1.0).otherwise(1.0) * F.coalesce(_of(back, rules.booster_words), F.lit(0.0))
+            if rules.capitals:
+                weight = weight + F.when(loud(c, f"back{k}") & _one_of(back, list(rules.booster_words)), capital(v)).otherwise(0.0)
+            return F.when(c[f"free{k}"], v + weight * rules.distance_factors[k - 1]).otherwise(v)
+
+        return step
+
+    def negate(k: int) -> Step:
+        def step(c: Column, v: Column) -> Column:
+            back = F.lower(c[f"back{k}"])
+            denied = _one_of(back, rules.negation_words) | F.contains(back, F.lit("n't"))
+            factor = F.when(denied, rules.negation_factor).otherwise(1.0)
+            if k == 2:
+                never = (c["back2"] == rules.never_word) & _one_of(c["back1"], rules.never_followers)
+                factor = F.when(never, rules.never_factors[0]).otherwise(factor)
+            if k == 3:
+                never = (c["back3"] == rules.never_word) & _one_of(c["back2"], rules.never_followers) | _one_of(c["back1"], rules.never_followers)
+                factor = F.when(never, rules.never_factors[1]).otherwise(factor)
+            return F.when(c[f"free{k}"], v * factor).otherwise(v)
+
+        return step
 
-def _phrase(words: str) -> str:
-    """NULL where one of the words is missing."""
-    return "concat(" + ", ' ', ".join(words.split()) + ")"
+    def phrase(c: Column, *names: str) -> Column:
+        """NULL where one of the words is missing."""
+        parts = [x for name in names for x in (F.lit(" "), c[name])]
+        return F.concat(*parts[1:])
 
+    def idiom(c: Column, v: Column) -> Column:
+        # A phrase that goes on after the word outranks one that ends at it.
+        ranked = [
+            ("word", "next1", "next2"), ("word", "next1"), ("back1", "word"), ("back2", "back1", "word"),
+            ("back2", "back1"), ("back3", "back2", "back1"), ("back3", "back2"),
+        ]
+        found = F.coalesce(*[_of(phrase(c, *names), rules.idiom_values) for names in ranked], v)
+        damped = F.lit(False)
+        for names in (("back3", "back2"), ("back2", "back1")):
+            damped = damped | F.coalesce(_one_of(phrase(c, *names), rules.booster_phrases), F.lit(False))
+        return F.when(c["free3"], found + F.when(damped, rules.phrase_weight).otherwise(0.0)).otherwise(v)
+
+    def least(c: Column, v: Column) -> Column:
+        exempt = F.coalesce(_one_of(F.lower(c["back2"]), rules.least_exempt), F.lit(False))
+        return F.when(c["free1"] & (F.lower(c["back1"]) == rules.least_word) & ~exempt, v * rules.negation_factor).otherwise(v)
+
+    def silent(c: Column, v: Column) -> Column:
+        word = F.lower(c["word"])
+        return F.when(_one_of(word, list(rules.booster_words)) | (word == "kind") & (F.lower(c["next1"]) == "of"), 0.0).otherwise(v)
+
+    def contrast(c: Column, v: Column) -> Column:
+        early, late = rules.contrast_factors
+        return v * F.when(c["at"] < turn, early).when(c["at"] > turn, late).otherwise(1.0)
 
-def _steps(rules: PolarityRules) -> list[str]:
-    """SQL expressions that replace `valence` one after the other, in the published order."""
-    capital = f"IF(valence > 0, {rules.capital_weight}D, -{rules.capital_weight}D)"
-    steps = []
+    steps: list[Step] = []
     if rules.capitals:
-        steps.append(f"IF({_loud('word')}, valence + {capital}, valence)")
+        steps.append(lambda c, v: F.when(loud(c, "word"), v + capital(v)).otherwise(v))
     for k in (1, 2, 3):
         if rules.boosters:
-            cases = " ".join(f"WHEN {sql_literal(w)} THEN {x}D" for w, x in rules.booster_words.items())
-            weight = f"IF(valence < 0, -1, 1) * CASE lower(back{k}) {cases} ELSE 0D END"
-            if rules.capitals:
-                both = f"{_loud(f'back{k}')} AND lower(back{k}) {_in(list(rules.booster_words))}"
-                weight += f" + IF({both}, {capital}, 0D)"
-            steps.append(f"IF(free{k}, valence + ({weight}) * {rules.distance_factors[k - 1]}D, valence)")
+            steps.append(boost(k))
         if rules.negation:
-            cases = ""
-            if k == 2:
-                cases = f"WHEN back2 = {sql_literal(rules.never_word)} AND back1 {_in(rules.never_followers)} THEN {rules.never_factors[0]}D"
-            if k == 3:
-                cases = (
-                    f"WHEN back3 = {sql_literal(rules.never_word)} AND back2 {_in(rules.never_followers)} "
-                    f"OR back1 {_in(rules.never_followers)} THEN {rules.never_factors[1]}D"
-                )
-            cases += f" WHEN lower(back{k}) {_in(rules.negation_words)} OR contains(lower(back{k}), \"n't\") THEN {rules.negation_factor}D"
-            steps.append(f"IF(free{k}, valence * CASE {cases} ELSE 1D END, valence)")
+            steps.append(negate(k))
     if rules.idioms:
-        phrases = ["back1 word", "back2 back1 word", "back2 back1", "back3 back2 back1", "back3 back2"]
-        cases = " ".join(f"WHEN {sql_literal(p)} THEN {float(x)}D" for p, x in rules.idiom_values.items())
-        # A phrase that goes on after the word outranks one that ends at it.
-        ranked = ["word next1 next2", "word next1", *phrases]
-        found = ", ".join(f"CASE {_phrase(p)} {cases} END" for p in ranked)
-        damped = " OR ".join(f"{_phrase(p)} {_in(rules.booster_phrases)}" for p in ("back3 back2", "back2 back1"))
-        steps.append(f"IF(free3, coalesce({found}, valence) + IF({damped}, {rules.phrase_weight}D, 0D), valence)")
+        steps.append(idiom)
     if rules.least:
-        exempt = f"coalesce(lower(back2) {_in(rules.least_exempt)}, false)"
-        least = f"free1 AND lower(back1) = {sql_literal(rules.least_word)} AND NOT {exempt}"
-        steps.append(f"IF({least}, valence * {rules.negation_factor}D, valence)")
+        steps.append(least)
     if rules.boosters:
-        silent = f"lower(word) {_in(list(rules.booster_words))} OR (lower(word) = 'kind' AND lower(next1) = 'of')"
-        steps.append(f"IF({silent}, 0D, valence)")
+        steps.append(silent)
     if rules.contrast:
-        early, late = rules.contrast_factors
-        steps.append(
-            f"valence * CASE WHEN turn >= 0 AND at < turn THEN {early}D WHEN turn >= 0 AND at > turn THEN {late}D ELSE 1D END"
-        )
+        steps.append(contrast)
     return steps
 
 
-def _adjusted(found: DataFrame, rules: PolarityRules) -> DataFrame:
-    for step in _steps(rules):
-        found = found.withColumn("valence", F.expr(step))
-    return found
-
-
-def _shares(found: DataFrame, rules: PolarityRules, id_col: str, keep: Sequence[str]) -> DataFrame:
-    v = F.col("valence")
-    sums = (
-        _adjusted(found, rules)
-        .groupBy(id_col, *keep)
-        .agg(
-            F.sum(v).alias("total"),
-            F.sum(F.when(v > 0, v + 1).otherwise(0.0)).alias("up"),
-            F.sum(F.when(v < 0, v - 1).otherwise(0.0)).alias("down"),
-            F.max("n_words").alias("n_words"),
-            (F.max("n_words") - F.count_if(v != 0)).alias("flat"),
-            F.max("n_bang").alias("n_bang"),
-            F.max("n_ask").alias("n_ask"),
+def _score(t: Column, hits: Column, rules: PolarityRules) -> Column:
+    """(neg, neu, pos, compound) of a text from its measures and its words with a valence."""
+
+    def adjusted(turn: Column) -> Column:
+        found = hits
+        for step in _steps(rules, turn):
+            found = _changed(found, step)
+        return _shares(t, _sums(found), rules)
+
+    # NULL where no word turns the text, so that neither side of it is found
+    return _let(F.nullif(F.array_position(t["lower"], F.lit(rules.contrast_word)).cast("int"), F.lit(0)) - 1, adjusted)
+
+
+def _sums(found: Column) -> Column:
+    zero = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("up"), F.lit(0.0).alias("down"), F.lit(0).alias("n"))
+
+    def add(acc: Column, h: Column) -> Column:
+        v = h["v"]
+        return F.struct(
+            (acc["total"] + v).alias("total"),
+            (acc["up"] + F.when(v > 0, v + 1).otherwise(0.0)).alias("up"),
+            (acc["down"] + F.when(v < 0, v - 1).otherwise(0.0)).alias("down"),
+            (acc["n"] + F.when(v != 0, 1).otherwise(0)).alias("n"),
         )
-    )
-    stress = "0D"
+
+    return F.aggregate(found, zero, add)
+
+
+def _shares(t: Column, sums: Column, rules: PolarityRules) -> Column:
+    stress = F.lit(0.0)
     if rules.emphasis:
-        stress = (
-            f"least(n_bang, {rules.exclamation_most}) * {rules.exclamation_weight}D + CASE WHEN n_ask <= 1 THEN 0D "
-            f"WHEN n_ask <= 3 THEN n_ask * {rules.question_weight}D ELSE {rules.question_most}D END"
+        asked = F.when(t["n_ask"] <= 1, 0.0).when(t["n_ask"] <= 3, t["n_ask"] * rules.question_weight).otherwise(rules.question_most)
+        stress = F.least(t["n_bang"], F.lit(rules.exclamation_most)) * rules.exclamation_weight + asked
+
+    def stressed(s: Column) -> Column:
+        return F.struct(
+            (s["total"] + F.signum(s["total"]) * stress).alias("total"),
+            (s["up"] + F.when(s["up"] > -s["down"], stress).otherwise(0.0)).alias("up"),
+            (-s["down"] + F.when(s["up"] < -s["down"], stress).otherwise(0.0)).alias("down"),
+            (t["n_words"] - s["n"]).alias("flat"),
         )
-    columns = [id_col, *keep]
-    stressed = sums.withColumn("stress", F.expr(stress)).selectExpr(
-        *[f"`{c}`" for c in columns],
-        "n_words",
-        "flat",
-        "total + sign(total) * stress AS total",
-        "up + IF(up > -down, stress, 0D) AS up",
-        "-down + IF(up < -down, stress, 0D) AS down",
-    )
 
-    def share(part: str, name: str) -> str:
-        return f"IF(n_words > 0, round({part} / nullif(up + down + flat, 0D), 3), 0D) AS {name}"
+    def shares(s: Column) -> Column:
+        whole = F.nullif(s["up"] + s["down"] + s["flat"], F.lit(0.0))
+
+        def share(part: str) -> Column:
+            return F.when(t["n_words"] > 0, F.round(s[part] / whole, 3)).otherwise(0.0)
+
+        return F.struct(
+            share("down").alias("neg"),
+            share("flat").alias("neu"),
+            share("up").alias("pos"),
+            F.round(s["total"] / F.sqrt(s["total"] * s["total"] + rules.alpha), 4).alias("compound"),
+        )
+
+    return _let(_let(sums, stressed), shares)
 
-    return stressed.selectExpr(
-        *[f"`{c}`" for c in columns],
-        share("down", "neg"),
-        share("flat", "neu"),
-        share("up", "pos"),
-        f"round(total / sqrt(total * total + {rules.alpha}D), 4) AS compound",
+
+def _polarity_by_join(
+    texts: DataFrame, lexicon: DataFrame, rules: PolarityRules, id_col: str, text_col: str, keep: Sequence[str]
+) -> DataFrame:
+    """For a lexicon that stays a table: words likely to be in it leave the row with their surroundings."""
+    likely = _likely(lexicon)
+    group = [id_col, *keep, ROW]
+    rows = texts.withColumn(ROW, F.monotonically_increasing_id()).select(*group, _measures(F.col(text_col), rules).alias("_t"))
+    t = F.col("_t")
+    places = F.array_compact(F.transform(t["lower"], lambda w, i: F.when(likely(w), i)))
+
+    def candidate(i: Column) -> Column:
+        around = [c.alias(name) for name, c in _around(t, i).items()]
+        return F.struct(F.get(t["lower"], i).alias("token"), F.struct(*around, i.alias("at"), t["mixed"].alias("mixed")).alias("c"))
+
+    turn = F.nullif(F.array_position(t["lower"], F.lit(rules.contrast_word)).cast("int"), F.lit(0)) - 1
+    narrow = [t[c].alias(c) for c in ("n_words", "n_bang", "n_ask")]
+    rows = rows.select(*group, F.struct(*narrow, turn.alias("turn")).alias("_n"), F.transform(places, candidate).alias("_likely"))
+    out = rows.select(*group, "_n", F.explode_outer("_likely").alias("_w"))
+    # A text without such words looks for a token of its own that no lexicon has, not for the same as all others.
+    own = F.concat(F.lit(" "), F.col(ROW).cast("string"))
+    out = out.select(*group, "_n", F.coalesce("_w.token", own).alias("token"), F.col("_w.c").alias("c"))
+    found = join_groups(out, _tokens(lexicon), ["token"], "left")
+    back = found.groupBy(*group).agg(
+        F.first("_n").alias("_n"),
+        F.array_sort(F.collect_list(F.when(F.col("valence").isNotNull(), F.struct(F.col("c.at").alias("at"), "c", F.col("valence").alias("v"))))).alias("_hits"),
     )
+    hits = F.col("_hits")
+
+    def placed(h: Column) -> Column:
+        def free(k: int) -> Column:
+            known = F.exists(hits, lambda o: o["at"] == h["at"] - k)
+            return (h["c"][f"back{k}"].isNotNull() & ~known).alias(f"free{k}")
+
+        names = ("word", "back1", "back2", "back3", "next1", "next2", "at", "mixed")
+        return F.struct(F.struct(*[h["c"][n].alias(n) for n in names], *[free(k) for k in (1, 2, 3)]).alias("c"), h["v"].alias("v"))
+
+    changed = F.transform(hits, placed)
+    for step in _steps(rules, F.col("_n.turn")):
+        changed = _changed(changed, step)
+    scored = back.select(id_col, *keep, _shares(F.col("_n"), _sums(changed), rules).alias("_scores"))
+    return scored.select(id_col, *keep, "_scores.*")
 
 
 def unigram_tagger(tagged: DataFrame) -> DataFrame:

@@ -104,24 +104,64 @@ def test_keep_carries_columns(spark, lexicon):
     assert got == {1: "x", 2: None}
 
 
-def test_polarity_moves_one_row_per_text_and_never_a_word(spark, lexicon):
-    df = spark.createDataFrame([(1, "good"), (2, "bad")], "Id int, Text string")
-    plan = text.polarity(df, lexicon)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
-    assert plan.index("partial_sum") > plan.index("Exchange hashpartitioning")  # printed top down
-    assert plan.index("Generate") > plan.index("partial_sum")
-    assert "SortMergeJoin" not in plan and "Python" not in plan
+SENTENCES = [
+    "it was GOOD", "it was VERY good but bad!!", "never so good", "he is only just enough good??", "hand to mouth bad", "at least good",
+    "kind of good", "some kind of good", "there is no good", "no words here", "", "   ", "a", None, "happy", "good bad good GOOD", "the least good",
+]
 
 
-def test_same_scores_with_a_lexicon_too_big_to_broadcast(spark, score):
-    before = score("it was not VERY good but bad!!", "happy", "")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+def test_polarity_stays_in_the_row(spark, lexicon):
+    df = spark.createDataFrame([(1, "good"), (2, "bad")], "Id int, Text string")
+    plan = text.polarity(df, lexicon)._jdf.queryExecution().executedPlan().toString()
+    assert not any(node in plan for node in ("Exchange", "Generate", "Join", "Aggregate", "Python", "from_json"))
+    assert "Exchange" not in text.lexicon_hits(df, lexicon)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_polarity_on_a_stream(spark, lexicon, tmp_path):
+    rows = spark.createDataFrame(list(enumerate(SENTENCES)), "Id int, Text string")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    query = (
+        text.polarity(stream, lexicon)
+        .writeStream.format("parquet")
+        .option("checkpointLocation", str(tmp_path / "at"))
+        .trigger(availableNow=True)
+        .start(str(tmp_path / "out"))
+    )
+    query.awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, text.polarity(rows, lexicon).collect()))
+
+
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+@pytest.mark.parametrize("bits", [1 << 23, 64])
+def test_a_lexicon_that_stays_a_table_gives_the_same(spark, lexicon, monkeypatch, broadcast, bits):
+    """Through the Bloom filter, also one so full that it lets words pass that are in no lexicon."""
+    rows = spark.createDataFrame([(i % 5, "x", t) for i, t in enumerate(SENTENCES)], "Id int, lang string, Text string")
+    expected = sorted(map(tuple, text.polarity(rows, lexicon, keep=["lang"]).collect()))
+    hits = sorted(map(tuple, text.lexicon_hits(rows, lexicon).collect()))
+    monkeypatch.setattr(text, "ROW_TOKENS", 3)
+    monkeypatch.setattr(text, "FILTER_BITS", bits)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     try:
-        assert score("it was not VERY good but bad!!", "happy", "") == before
+        df = text.polarity(rows, lexicon, keep=["lang"])
+        assert sorted(map(tuple, df.collect())) == expected
+        assert sorted(map(tuple, text.lexicon_hits(rows, lexicon).collect())) == hits
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Generate explode(_likely" in plan  # likely words only
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_repeated_and_missing_lexicon_rows(spark):
+    odd = spark.createDataFrame([("good", 1.0), ("good", 1.9), (None, 3.0), ("bad", None)], "token string, valence double")
+    df = spark.createDataFrame([(1, "good bad day")], "Id int, Text string")
+    assert text.polarity(df, odd, CORE).first()["compound"] == squash(1.9)
+    assert [r["valence"] for r in text.lexicon_hits(df, odd).collect()] == [1.9]
+    empty = text.polarity(df, odd.limit(0)).first()
+    assert (empty["neu"], empty["compound"]) == (1.0, 0.0)
+
+
 @pytest.mark.parametrize(
     ("sentence", "tokens"),
     [
