@@ -1,12 +1,12 @@
 """Ordered operators on many series at once.
 
-Two physical layouts stand behind the same operators, chosen by `Layout.span`:
+Two physical layouts stand behind the same operators, chosen by `Layout.long`:
 
-* `span=None`: the rows of a series are bounded by construction (daily bars: one row per
-  day, whatever the number of trades). One exchange on the series key serves the index, the
-  lags, the splits and the scaling together.
-* `span="day"` and so on: a series may hold any share of all rows. Rows are numbered inside
-  (series, time span) pieces, and each piece starts at the count of the pieces before it,
+* short: the rows of a series are bounded by construction (daily bars: one row per day,
+  whatever the number of trades). One exchange on the series key serves the index, the lags,
+  the splits and the scaling together.
+* long: a series may hold any share of all rows, and so may any hour of it. Rows are stored in
+  range cuts of (series, time, tie), and each cut starts at the count of the cuts before it,
   taken from a small aggregate. Neighbour operators then run on blocks of consecutive rows,
   each of which also gets copies of the few rows it must look back (or ahead) to. No task
   ever holds a whole series, and no row is left out.
@@ -22,8 +22,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from skarn.operators.joins import join_groups
+from skarn.operators.joins import join_groups, natural_left_join
 from skarn.operators.quantiles import exact_quantiles, one_row_per_group
+from skarn.operators.ranges import AT, CUT, carried, ranged
 
 
 @dataclass(frozen=True)
@@ -31,28 +32,21 @@ class Layout:
     """How the rows of a frame make up series.
 
     key: columns that name the series. time, tie: the order inside a series.
-    span: `date_trunc` unit that cuts long series into pieces, or an integer width when the
-    order column is a number; choose it so that a piece fits a task. None: see above.
-    block: rows per block of the neighbour operators.
+    long: see above. block: rows per block of the neighbour operators.
     """
 
     key: tuple[str, ...] = ("series_id",)
     time: str = "dt"
     tie: tuple[str, ...] = ()
-    span: str | int | None = "month"
+    long: bool = True
     block: int = 20_000
 
     @property
     def order(self) -> list[str]:
         return [self.time, *self.tie]
 
-    def piece(self) -> Column:
-        if isinstance(self.span, int):
-            return F.floor(F.col(self.time) / self.span).cast("long")
-        return F.date_trunc(self.span, F.col(self.time))
 
-
-BARS = Layout(span=None)
+BARS = Layout(long=False)
 
 
 def row_index(df: DataFrame, layout: Layout) -> DataFrame:
@@ -60,29 +54,24 @@ def row_index(df: DataFrame, layout: Layout) -> DataFrame:
     if "row_idx" in df.columns:
         return df
     key = list(layout.key)
-    if layout.span is None:
+    if not layout.long:
         whole = Window.partitionBy(*key)
         position = F.row_number().over(whole.orderBy(*layout.order)) - 1
         return df.withColumns(
             {"row_idx": position.cast("long"), "n_rows": F.count(F.lit(1)).over(whole)}
         )
-    cut = df.withColumn("_piece", layout.piece())
-    sizes = cut.groupBy(*key, "_piece").agg(F.count(F.lit(1)).alias("_size"))
-    pieces = Window.partitionBy(*key)
-    before = pieces.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    rows = ranged(df, [*key, *layout.order])
+    sizes = rows.groupBy(*key, CUT).agg(F.count(F.lit(1)).alias("_size"), F.min(AT).alias("_first"))
+    cuts = Window.partitionBy(*key)
+    before = cuts.orderBy(CUT).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(
         *key,
-        "_piece",
-        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"),
-        F.sum("_size").over(pieces).alias("n_rows"),
-    )
-    inside = Window.partitionBy(*key, "_piece").orderBy(*layout.order)
-    position = F.row_number().over(inside) - 1 + F.col("_start")
-    return (
-        cut.join(starts, [*key, "_piece"], "left")
-        .withColumn("row_idx", position.cast("long"))
-        .drop("_piece", "_start")
+        CUT,
+        (F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_first")).alias("_start"),
+        F.sum("_size").over(cuts).alias("n_rows"),
     )
+    placed = natural_left_join(rows, starts, null_safe=True)
+    return placed.withColumn("row_idx", (F.col(AT) + F.col("_start")).cast("long")).select(*df.columns, "row_idx", "n_rows")
 
 
 def _blocks(df: DataFrame, layout: Layout, back: int, ahead: int) -> tuple[DataFrame, WindowSpec, Column]:
@@ -90,7 +79,7 @@ def _blocks(df: DataFrame, layout: Layout, back: int, ahead: int) -> tuple[DataF
 
     Each row goes to its own block and to every block that has to see it.
     """
-    if layout.span is None:
+    if not layout.long:
         return df, Window.partitionBy(*layout.key).orderBy("row_idx"), F.lit(True)
     size = max(layout.block, back + ahead, 1)
     own = F.floor(F.col("row_idx") / size)
@@ -146,7 +135,7 @@ def lag_table(
         if first is not None:
             in_run = in_run & (F.col("prev_time") >= F.lit(first))
         first_break = F.min(F.when(in_run & (F.col("gap_days") > max_gap_days), F.col(layout.time)))
-        if layout.span is None:
+        if not layout.long:
             wanted = wanted.withColumn("_break", first_break.over(Window.partitionBy(*layout.key)))
         else:
             breaks = wanted.groupBy(*layout.key).agg(first_break.alias("_break"))
@@ -209,9 +198,9 @@ def next_observation(df: DataFrame, layout: Layout, days: int = 7) -> DataFrame:
 def asof(probes: DataFrame, facts: DataFrame, layout: Layout, values: Sequence[str]) -> DataFrame:
     """For each probe (key, time, ...) the last fact at or before it, as fact_time and `values`.
 
-    Probes and facts are stacked and the last fact is carried forward, so the work is one
-    sort. With a span, each piece is carried on its own and starts from the last fact of the
-    pieces before it, found by a small aggregate.
+    Probes and facts are stacked and the last fact is carried forward, so the work is one sort.
+    Long series are carried inside range cuts, each of which starts from the last fact of the
+    cuts before it.
     """
     key = list(layout.key)
     extra = [c for c in probes.columns if c not in key and c != layout.time]
@@ -231,21 +220,12 @@ def asof(probes: DataFrame, facts: DataFrame, layout: Layout, values: Sequence[s
         )
     )
     order = [layout.time, "_probe", "_tie"]
-    if layout.span is None:
-        upto = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        carried = stacked.withColumn("_last", F.last("_fact", ignorenulls=True).over(upto))
+    if layout.long:
+        asked = carried(stacked, [*key, *order], key, "_fact", [layout.time, "_extra"])
     else:
-        cut = stacked.withColumn("_piece", layout.piece())
-        last_of_piece = cut.groupBy(*key, "_piece").agg(
-            F.max_by("_fact", F.when(F.col("_probe") == 0, F.struct(layout.time, "_tie"))).alias("_end")
-        )
-        before = Window.partitionBy(*key).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-        starts = last_of_piece.select(*key, "_piece", F.last("_end", ignorenulls=True).over(before).alias("_start"))
-        upto = Window.partitionBy(*key, "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        carried = cut.join(starts, [*key, "_piece"], "left").withColumn(
-            "_last", F.coalesce(F.last("_fact", ignorenulls=True).over(upto), F.col("_start"))
-        )
-    return carried.where(F.col("_probe") == 1).select(
+        upto = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        asked = stacked.withColumn("_last", F.last("_fact", ignorenulls=True).over(upto)).where(F.col("_probe") == 1)
+    return asked.select(
         *key,
         layout.time,
         *[F.col(f"_extra.{c}").alias(c) for c in extra],
@@ -254,6 +234,14 @@ def asof(probes: DataFrame, facts: DataFrame, layout: Layout, values: Sequence[s
     )
 
 
+def series_names(df: DataFrame, column: str = "series_id", most: int = 10_000) -> list[str]:
+    """The names of the series that `df` holds, in order; more than `most` of them are refused."""
+    names = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} series")
+    return sorted(names)
+
+
 def last_k(df: DataFrame, layout: Layout, k: int) -> DataFrame:
     """Last k rows of each series. Each map task keeps k rows per series before the exchange."""
     newest = Window.partitionBy(*layout.key).orderBy(*[F.col(c).desc() for c in layout.order])
@@ -298,7 +286,7 @@ def with_scaler(df: DataFrame, layout: Layout, value: str, where: Column | None
     Bounded series use the exchange that their index and splits already need; others get
     the statistics from an aggregate that combines on the map side.
     """
-    if layout.span is not None:
+    if layout.long:
         return join_groups(df, fit_scaler(df, layout.key, value, where), layout.key, "left")
     whole = Window.partitionBy(*layout.key)
     used = F.col(value) if where is None else F.when(where, F.col(value))

@@ -1,7 +1,7 @@
 """Price-series queries.
 
 Bars are laid out by series (at most one row per series and day, or hour); single events, of
-which one series may hold any share, are laid out by (series, day). A query that needs its bars
+which one series may hold any share, are laid out in range cuts. A query that needs its bars
 more than once stores them: a few rows per day, against a second pass over all orders.
 """
 
@@ -18,8 +18,8 @@ from skarn.operators.series import BARS, Layout
 from skarn.sources import views
 from skarn.sources.files import stored
 
-HOURS = Layout(time="dt", tie=("hr",), span=None)
-TICKS = Layout(time="ts", tie=("event_id",), span="day", block=5_000)
+HOURS = Layout(time="dt", tie=("hr",), long=False)
+TICKS = Layout(time="ts", tie=("event_id",), block=5_000)
 KEY = ["series_id"]
 FIRST, LAST = dt.date(1996, 3, 25), dt.date(1997, 3, 23)
 
@@ -119,16 +119,12 @@ def asof_price(spark, sf_dir):
     return out.select("series_id", "dt", F.col("fact_time").alias("fact_dt"), "close")
 
 
-OTHERS = ("click", "purchase", "signup", "view")  # the series beside the errors
-
-
 def asof_ticks(spark, sf_dir):
     """For each error event the last value seen in each other series before it."""
     ticks = views.ticks(spark, sf_dir)
-    probes = ticks.where(F.col("series_id") == "error").select(
-        F.explode(F.array(*[F.lit(s) for s in OTHERS])).alias("series_id"), "ts", F.col("event_id").alias("probe_id")
-    )
     facts = ticks.where(F.col("series_id") != "error")
+    others = F.array(*[F.lit(s) for s in series.series_names(facts)]).cast("array<string>")
+    probes = ticks.where(F.col("series_id") == "error").select(F.explode(others).alias("series_id"), "ts", F.col("event_id").alias("probe_id"))
     out = series.asof(probes, facts, TICKS, ["event_id", "value"])
     return out.select("series_id", "probe_id", "event_id", "value")
 

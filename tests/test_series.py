@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from skarn.operators import forecast, series
+from skarn.operators import forecast, ranges, series
 from skarn.operators.series import BARS, Layout
 
 DAY0 = dt.date(2020, 1, 1)
@@ -54,7 +54,7 @@ def test_gap_cut(spark):
     assert [r["gap_days"] for r in whole.orderBy("dt").collect()] == [1, 1, 7, 1, 8, 1]
     cut = series.lag_table(df, BARS, "close", 1, max_gap_days=7)
     assert [r["dt"] for r in cut.orderBy("dt").collect()] == [DAY0 + dt.timedelta(d) for d in (1, 2, 9, 10)]
-    pieces = series.lag_table(df, Layout(span="month", block=3), "close", 1, max_gap_days=7)
+    pieces = series.lag_table(df, Layout(block=3), "close", 1, max_gap_days=7)
     assert rows(pieces) == rows(cut)
     # The gap before the first wanted row does not end the run.
     late = series.lag_table(df, BARS, "close", 1, first=DAY0 + dt.timedelta(18), max_gap_days=7)
@@ -95,7 +95,7 @@ def test_splits_cut_where_python_does(spark, n):
 def test_asof_reads_the_row_at_or_before(spark):
     facts = bars(spark, [1, 3, 5])
     probes = spark.createDataFrame([("s", DAY0 + dt.timedelta(d), d) for d in (0, 1, 2, 5, 90)] + [("u", DAY0, 0)], "series_id string, dt date, tag int")
-    for layout in (BARS, Layout(span="month"), Layout(span="day")):
+    for layout in (BARS, Layout()):
         got = rows(series.asof(probes, facts, layout, ["close"]).select("series_id", "tag", "close"), "series_id", "tag")
         assert got == [("s", 0, None), ("s", 1, 10.0), ("s", 2, 10.0), ("s", 5, 12.0), ("s", 90, 12.0), ("u", 0, None)]
 
@@ -112,12 +112,12 @@ LONG = st.integers(min_value=1, max_value=120)
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(n=LONG, back=st.integers(1, 7), block=st.integers(1, 40), span=st.sampled_from(["day", "month", "year"]), seed=st.integers(0, 99))
-def test_pieces_and_blocks_equal_one_window_per_series(spark, n, back, block, span, seed):
+@given(n=LONG, back=st.integers(1, 7), block=st.integers(1, 40), seed=st.integers(0, 99))
+def test_cuts_and_blocks_equal_one_window_per_series(spark, n, back, block, seed):
     rng = np.random.default_rng(seed)
     days = sorted(rng.choice(400, size=n, replace=False).tolist())
     df = bars(spark, days, "a", rng.normal(size=n).tolist()).unionByName(bars(spark, days[: n // 2 + 1], "b"))
-    split = Layout(span=span, block=block)
+    split = Layout(block=block)
     names = ["series_id", "dt", "row_idx", "n_rows"]
     assert rows(series.row_index(df, split).select(names)) == rows(series.row_index(df, BARS).select(names))
     names = ["series_id", "dt", *[f"lag_{k}" for k in range(back, 0, -1)], "prev_time"]
@@ -131,15 +131,81 @@ def test_pieces_and_blocks_equal_one_window_per_series(spark, n, back, block, sp
 def test_ties_in_time_keep_a_total_order(spark):
     data = [("s", DAY0, i, float(i)) for i in range(50)]
     df = spark.createDataFrame(data, "series_id string, dt date, id long, close double")
-    layout = Layout(tie=("id",), span="day", block=7)
+    layout = Layout(tie=("id",), block=7)
     got = series.lags(df, layout, "close", 2).orderBy("id").collect()
     assert [r["row_idx"] for r in got] == list(range(50))
     assert [r["lag_2"] for r in got] == [None, None, *map(float, range(48))]
 
 
+@pytest.fixture
+def many_cuts(spark):
+    """Cuts stay as many as shuffle partitions: small ones are not put together."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def hot_day(spark, n, seed, names=("s",)):
+    """All rows in one day, most at one instant, in no order."""
+    rng = np.random.default_rng(seed)
+    at = dt.datetime(2020, 1, 1, 12)
+    rows = [(str(rng.choice(names)), at + dt.timedelta(seconds=int(rng.choice([0, 0, 0, rng.integers(60)]))), i, float(rng.normal())) for i in range(n)]
+    return spark.createDataFrame([rows[i] for i in rng.permutation(n)], "series_id string, ts timestamp_ntz, event_id long, value double")
+
+
+EVENTS = Layout(time="ts", tie=("event_id",), block=50)
+
+
+def test_one_day_of_one_series_spreads_over_all_cuts(spark, many_cuts):
+    df = hot_day(spark, 4000, 1)
+    sizes = [r["count"] for r in ranges.ranged(df, ["series_id", *EVENTS.order]).groupBy("_cut").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * sum(sizes) / len(sizes)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(n=st.integers(1, 400), back=st.integers(1, 5), seed=st.integers(0, 99), names=st.sampled_from([("s",), ("s", "t", "u")]))
+def test_cuts_inside_a_day_equal_one_window_per_series(spark, many_cuts, n, back, seed, names):
+    df = hot_day(spark, n, seed, names)
+    short = Layout(time="ts", tie=("event_id",), long=False)
+    for run in (
+        lambda layout: series.row_index(df, layout).select("series_id", "event_id", "row_idx", "n_rows"),
+        lambda layout: series.lags(df, layout, "value", back).select("event_id", "lag_1", f"lag_{back}", "prev_time"),
+        lambda layout: series.history(df, layout, "value", back).select("event_id", "window"),
+    ):
+        assert rows(run(EVENTS), "event_id") == rows(run(short), "event_id")
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(n=st.integers(0, 300), seed=st.integers(0, 99), names=st.sampled_from([("s",), ("s", "t", "u")]))
+def test_asof_over_cuts_of_a_hot_day(spark, many_cuts, n, seed, names):
+    """Facts may lie cuts away from their probe, in front of it or nowhere; keys may be null on either side."""
+    df = hot_day(spark, n + 200, seed, names).withColumn("series_id", F.when(F.col("event_id") % 17 > 0, F.col("series_id")))
+    few = 3 + 40 * (seed % 3)
+    facts, probes = df.where(F.col("event_id") % few == 0), df.where(F.col("event_id") % few > 0).withColumnRenamed("event_id", "probe")
+    probes = probes.select("series_id", "ts", "probe").unionByName(spark.createDataFrame([("none", dt.datetime(2020, 1, 1), -1)], "series_id string, ts timestamp_ntz, probe long"))
+    short = Layout(time="ts", tie=("event_id",), long=False)
+    got = [rows(series.asof(probes, facts, layout, ["event_id", "value"]), "probe") for layout in (EVENTS, short)]
+    assert got[0] == got[1] and len(got[0]) == probes.count()
+
+
+def test_asof_of_empty_tables(spark):
+    facts = hot_day(spark, 3, 0)
+    probes = facts.select("series_id", "ts", F.col("event_id").alias("probe"))
+    assert series.asof(probes.limit(0), facts, EVENTS, ["value"]).count() == 0
+    assert [r["value"] for r in series.asof(probes, facts.limit(0), EVENTS, ["value"]).collect()] == [None] * 3
+    assert series.row_index(facts.limit(0), EVENTS).count() == 0
+
+
+def test_series_names_come_from_the_data(spark):
+    df = spark.createDataFrame([("b",), (None,), ("a",), ("b",)], "series_id string")
+    assert series.series_names(df) == ["a", "b"]
+    with pytest.raises(ValueError):
+        series.series_names(df, most=1)
+
+
 def test_numbers_as_order(spark):
     df = spark.range(100).select(F.lit("s").alias("series_id"), "id", F.col("id").cast("double").alias("close"))
-    got = series.row_index(df, Layout(time="id", span=9)).orderBy("id").collect()
+    got = series.row_index(df, Layout(time="id")).orderBy("id").collect()
     assert [r["row_idx"] for r in got] == list(range(100)) and got[0]["n_rows"] == 100
 
 
