@@ -82,6 +82,38 @@ def test_exact_quantiles_on_one_hot_group(spark):
         assert r["quantile"] == pytest.approx(np.quantile(values, r["prob"]))
 
 
+VALUES = {
+    "spread": lambda rng, n: rng.normal(size=n),
+    "tails": lambda rng, n: np.exp(rng.normal(size=n) * 60),
+    "constant": lambda rng, n: np.full(n, 7.0),
+    "two": lambda rng, n: rng.choice([1.0, 2.0], n),
+    "lumps": lambda rng, n: np.where(rng.random(n) < 0.97, rng.choice([0.0, 5.0], n), rng.random(n) * 5),
+    "signs": lambda rng, n: rng.choice([-np.inf, np.inf, 0.0, 1e-300], n) + rng.normal(size=n),
+}
+
+
+def test_narrowed_slices_hold_the_rank_and_stay_small(spark, monkeypatch):
+    """Slices of 16 values where the first sketch leaves thousands; the bound holds for every group and probability."""
+    rng = np.random.default_rng(11)
+    n, most, probs = 6000, 16, [0.0, 0.1, 0.25, 0.5, 0.9, 0.999, 1.0]
+    data = {name: make(rng, n) for name, make in VALUES.items()}
+    rows = [(g, float(v)) for g, values in data.items() for v in values] + [(None, 1.0), ("two", math.nan)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    kept = []
+    keep = quantiles.stored
+    monkeypatch.setattr(quantiles, "stored", lambda frame: kept.append(keep(frame)) or kept[-1])
+    for r in quantiles.exact_quantiles(df, ["g"], "v", probs, accuracy=20, most=most).collect():
+        want = np.sort(data[r["g"]])
+        low, high = want[int(np.floor(r["prob"] * (n - 1)))], want[int(np.ceil(r["prob"] * (n - 1)))]
+        assert low == high == r["quantile"] or r["quantile"] == pytest.approx(np.quantile(want, r["prob"])), r
+    assert len(kept) > 2  # narrowed more than once
+    for r in kept[-1].collect():
+        for lo, hi in zip(r["lo"], r["hi"]):
+            assert ((data[r["g"]] > lo) & (data[r["g"]] < hi)).sum() <= most
+    plan = quantiles.exact_quantiles(df, ["g"], "v", probs)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
 def test_value_counts_leave_null_out(spark):
     df = spark.createDataFrame([(5,), (1,), (None,), (5,)], "s int")
     assert [tuple(r) for r in columns.value_counts(df, "s").collect()] == [(1, 1), (5, 2)]
