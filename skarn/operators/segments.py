@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 Centroids = Sequence[Sequence[float]]
+SAMPLE = 1024  # rows drawn by hash among which a fit finds its start
+CHUNK = 8192  # rows measured against all centroids at once
 
 
 def _squared_distance(features: Sequence[str], centroid: Sequence[float]) -> Column:
@@ -99,37 +101,114 @@ def lloyd(df: DataFrame, features: Sequence[str], centroids: Centroids, steps: i
     return current
 
 
-def _vectors(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-    return assembler.transform(df.select(*dict.fromkeys([*keep, *features]))).select(*keep, "features")
-
-
-def _fit(vectors: DataFrame, k: int, seed: int, max_iter: int, tol: float):
-    estimator = KMeans(k=k, seed=seed, initMode="k-means||", maxIter=max_iter, tol=tol, featuresCol="features")
-    return estimator.fit(vectors)
-
-
 def _step_limit(df: DataFrame, features: Sequence[str], tol: float) -> float:
     """Centroid step below which a fit has settled: `tol` is relative to the spread of the features."""
     spread = df.agg(*[F.var_pop(f).alias(f) for f in features]).first()
     return math.sqrt(tol * sum((v or 0.0) for v in spread) / len(features))
 
 
-def fit_segments(
-    df: DataFrame, features: Sequence[str], k: int = 5, seed: int = 0, max_iter: int = 300, tol: float = 1e-4
-) -> list[list[float]]:
-    """Fitted centroids in ascending order, so that cluster numbers do not depend on the seed's order."""
-    vectors = _vectors(df, features, keep=features).persist(StorageLevel.MEMORY_AND_DISK)
+def _moved(features: Sequence[str], sweeps: Mapping[int, np.ndarray]):
+    """Per k and cluster of a batch: rows, sums of the features and cost, from whole arrays at once."""
+    names = ["k", "cluster", "n", *features, "cost"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.stack([batch.column(f).to_numpy(zero_copy_only=False) for f in features], axis=1)
+            for at in range(0, len(x), CHUNK):
+                part = x[at : at + CHUNK]
+                rows = []
+                for k, centres in sweeps.items():
+                    apart = ((part[:, None, :] - centres[None]) ** 2).sum(axis=2)
+                    nearest = apart.argmin(axis=1)  # of equals the first
+                    cost = np.bincount(nearest, apart[np.arange(len(part)), nearest], k)
+                    n = np.bincount(nearest, minlength=k)
+                    sums = [np.bincount(nearest, part[:, f], k) for f in range(len(features))]
+                    rows += [(k, c, int(n[c]), *(float(v[c]) for v in sums), float(cost[c])) for c in np.flatnonzero(n).tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in zip(*rows, strict=True)], names)
+
+    return run
+
+
+def _totals(points: DataFrame, features: Sequence[str], sweeps: Mapping[int, np.ndarray]) -> list[Row]:
+    """One row per k and cluster that has members: the only thing that reaches the driver."""
+    schema = "k long, cluster long, n long, " + ", ".join(f"`{f}` double" for f in features) + ", cost double"
+    parts = points.mapInArrow(_moved(features, sweeps), schema)
+    return parts.groupBy("k", "cluster").agg(*[F.sum(c).alias(c) for c in ("n", *features, "cost")]).collect()
+
+
+def _starts(points: DataFrame, features: Sequence[str], k_max: int) -> np.ndarray:
+    """Centroids to set off with, those of a smaller k first: of `SAMPLE` rows drawn by hash, each the farthest from all before it."""
+    drawn = points.orderBy("_hash", *features).limit(SAMPLE).select(*features).collect()
+    x = np.array(drawn, dtype=float).reshape(-1, len(features))
+    if not len(x):
+        raise ValueError("no row has all features")
+    chosen = [0]
+    apart = ((x - x[0]) ** 2).sum(axis=1)
+    while len(chosen) < k_max:
+        chosen.append(int(apart.argmax()))
+        apart = np.minimum(apart, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+    return x[chosen]
+
+
+def sweep(
+    df: DataFrame,
+    features: Sequence[str],
+    ks: Sequence[int],
+    seed: int = 0,
+    max_iter: int = 300,
+    tol: float = 1e-4,
+    key: Column | None = None,
+) -> dict[int, tuple[list[list[float]], float]]:
+    """{k: (centroids, cost)}: k-means for several k at once, one job per iteration for all of them.
+
+    Rows in which a feature is NULL or NaN are left out. The start is drawn by a hash of `key`
+    (the features themselves unless given) and the seed, so a fit repeats exactly. A k rests as
+    soon as none of its centroids moved further than the step limit; an empty cluster keeps its
+    place. The cost belongs to the centroids returned.
+    """
+    parts = [F.lit(str(seed)), *([key] if key is not None else [F.col(f) for f in features])]
+    values = [F.col(f).cast("double").alias(f) for f in features]
+    points = df.select(*values, F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])).alias("_hash"))
+    for f in features:
+        points = points.where(F.col(f).isNotNull() & ~F.isnan(f))
+    points = points.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = _fit(vectors, k, seed, max_iter, _step_limit(vectors, features, tol))
+        limit = _step_limit(points, features, tol)
+        first = _starts(points, features, max(ks))
+        centres = {k: first[:k].copy() for k in ks}
+        moving = set(ks)
+        plain = points.select(*features)
+        for _ in range(max_iter):
+            before = {k: centres[k].copy() for k in moving}
+            for r in _totals(plain, features, before):
+                centres[r["k"]][r["cluster"]] = [r[f] / r["n"] for f in features]
+            moving = {k for k in moving if np.sqrt(((centres[k] - before[k]) ** 2).sum(axis=1)).max() > limit}
+            if not moving:
+                break
+        costs = dict.fromkeys(ks, 0.0)
+        for r in _totals(plain, features, centres):
+            costs[r["k"]] += r["cost"]
     finally:
-        vectors.unpersist()
-    return sorted([float(v) for v in c] for c in model.clusterCenters())
+        points.unpersist()
+    return {k: (centres[k].tolist(), costs[k]) for k in ks}
 
 
-def segments(df: DataFrame, features: Sequence[str], k: int = 5, seed: int = 0) -> DataFrame:
+def fit_segments(
+    df: DataFrame,
+    features: Sequence[str],
+    k: int = 5,
+    seed: int = 0,
+    max_iter: int = 300,
+    tol: float = 1e-4,
+    key: Column | None = None,
+) -> list[list[float]]:
+    """Fitted centroids in ascending order, so that cluster numbers do not depend on the start's order."""
+    return sorted(sweep(df, features, [k], seed, max_iter, tol, key)[k][0])
+
+
+def segments(df: DataFrame, features: Sequence[str], k: int = 5, seed: int = 0, key: Column | None = None) -> DataFrame:
     """Fit, then every row with its cluster."""
-    return assign_clusters(df, features, fit_segments(df, features, k, seed))
+    return assign_clusters(df, features, fit_segments(df, features, k, seed, key=key))
 
 
 def elbow(
@@ -139,23 +218,11 @@ def elbow(
     seed: int = 42,
     max_iter: int = 300,
     tol: float = 1e-4,
-    parallel: int = 4,
+    key: Column | None = None,
 ) -> DataFrame:
-    """(k, wcss) for k = 1 .. k_max on one stored feature frame.
-
-    The fits do not depend on each other; `parallel` of them are submitted at a time, so that
-    one fit's last tasks do not leave the cluster idle.
-    """
-    vectors = _vectors(df, features, keep=features).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        limit = _step_limit(vectors, features, tol)
-        one = single_cluster_cost(vectors, features).first()
-        with ThreadPoolExecutor(parallel) as pool:
-            fits = list(pool.map(lambda k: _fit(vectors, k, seed, max_iter, limit), range(2, k_max + 1)))
-        costs = [(k, float(fit.summary.trainingCost)) for k, fit in enumerate(fits, 2)]
-    finally:
-        vectors.unpersist()
-    return df.sparkSession.createDataFrame([(1, one["wcss"]), *costs], "k int, wcss double")
+    """(k, wcss) for k = 1 .. k_max, all fitted by one `sweep`."""
+    fits = sweep(df, features, range(1, k_max + 1), seed, max_iter, tol, key)
+    return df.sparkSession.createDataFrame([(k, cost) for k, (_, cost) in sorted(fits.items())], "k int, wcss double")
 
 
 def fit_vector_segments(df: DataFrame, array_column: str, k: int, seed: int = 0, max_iter: int = 100):
@@ -165,6 +232,6 @@ def fit_vector_segments(df: DataFrame, array_column: str, k: int, seed: int = 0,
     vectors = df.select(array_to_vector(F.col(array_column).cast("array<double>")).alias("features"))
     vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _fit(vectors, k, seed, max_iter, 1e-4)
+        return KMeans(k=k, seed=seed, initMode="k-means||", maxIter=max_iter, tol=1e-4).fit(vectors)
     finally:
         vectors.unpersist()

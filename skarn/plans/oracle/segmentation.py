@@ -34,7 +34,51 @@ def _sql(body: str, extra: dict[str, str] = _BASE) -> str:
     return with_views(["v_customers"], body, extra=extra)
 
 
+
+
+def _fit(seed: int, ks: range) -> dict[str, str]:
+    """Starts drawn by hash, each the farthest from those before it; then steps until no centroid of a k moves far."""
+    parts = {
+        "drawn": f"""SELECT income, spend, row_number() OVER (ORDER BY h, income, spend) AS place
+            FROM (SELECT *, md5('{seed}:' || id::VARCHAR) AS h FROM v_customers ORDER BY h, income, spend LIMIT 1024)""",
+        "s0": "SELECT income AS cx, spend AS cy FROM drawn WHERE place = 1",
+        "far": "SELECT tol FROM (SELECT sqrt(1e-4 * (var_pop(income) + var_pop(spend)) / 2) AS tol FROM v_customers)",
+    }
+    for j in range(1, max(ks)):
+        near = ", ".join(f"pow(income - s{i}.cx, 2) + pow(spend - s{i}.cy, 2)" for i in range(j))
+        before = ", ".join(f"s{i}" for i in range(j))
+        parts[f"s{j}"] = f"SELECT income AS cx, spend AS cy FROM drawn, {before} ORDER BY least({near}) DESC, place LIMIT 1"
+    every = " UNION ALL ".join(f"SELECT {j} AS cluster, cx, cy FROM s{j}" for j in range(max(ks)))
+    wanted = ", ".join(f"({k})" for k in ks)
+    parts["walk"] = f"""
+        SELECT 0 AS step, k, cluster, cx, cy, true AS moving FROM (VALUES {wanted}) AS t(k), ({every}) WHERE cluster < k
+        UNION ALL
+        SELECT step + 1, k, cluster, nx, ny, max(sqrt(pow(nx - cx, 2) + pow(ny - cy, 2))) OVER (PARTITION BY k) > tol
+        FROM (
+          SELECT w.*, coalesce(m.mx, w.cx) AS nx, coalesce(m.my, w.cy) AS ny FROM walk w LEFT JOIN (
+            SELECT k, cluster, avg(income) AS mx, avg(spend) AS my FROM (
+              SELECT c.k, income, spend, arg_min(c.cluster, (pow(income - cx, 2) + pow(spend - cy, 2), c.cluster)) AS cluster
+              FROM v_customers p, walk c GROUP BY c.k, p.id, income, spend) GROUP BY ALL) m
+          ON m.k = w.k AND m.cluster = w.cluster WHERE w.moving AND w.step < 300), far"""
+    parts["fitted"] = "SELECT k, cluster, cx, cy FROM (SELECT *, max(step) OVER (PARTITION BY k) AS last FROM walk) WHERE step = last"
+    return parts
+
+
+def _recursive(body: str, parts: dict[str, str]) -> str:
+    return with_views(["v_customers"], body, recursive=True, extra=parts)
+
+
 SQL = {
+    "kmeans_elbow": _recursive(
+        """SELECT k::INTEGER AS k, round(sum(d), -2) AS wcss FROM (
+          SELECT k, p.id, min(pow(income - cx, 2) + pow(spend - cy, 2)) AS d FROM v_customers p, fitted GROUP BY ALL) GROUP BY 1""",
+        _fit(42, range(1, 11)),
+    ),
+    "kmeans_segments": _recursive(
+        """SELECT id, income, spend, arg_min(c, (pow(income - cx, 2) + pow(spend - cy, 2), c))::INTEGER AS cluster
+        FROM v_customers, (SELECT cx, cy, row_number() OVER (ORDER BY cx, cy) - 1 AS c FROM fitted) GROUP BY ALL""",
+        _fit(0, range(5, 6)),
+    ),
     "assign_fixed_centroids": _sql("SELECT id, cluster, round(d, 3) AS sq_dist FROM assigned"),
     "wcss_fixed_centroids": _sql("SELECT round(sum(d), 1) AS wcss, count(*) AS n FROM assigned"),
     "centroid_means": _sql(

@@ -61,11 +61,13 @@ def kmeans_lloyd_3(spark, sf_dir):
 
 
 def kmeans_segments(spark, sf_dir):
-    return segments.segments(views.customers(spark, sf_dir), FEATURES, k=5, seed=0).select("id", *FEATURES, "cluster")
+    people = views.customers(spark, sf_dir)
+    return segments.segments(people, FEATURES, k=5, seed=0, key=F.col("id")).select("id", *FEATURES, "cluster")
 
 
 def kmeans_elbow(spark, sf_dir):
-    return segments.elbow(views.customers(spark, sf_dir), FEATURES, k_max=10, seed=42)
+    out = segments.elbow(views.customers(spark, sf_dir), FEATURES, k_max=10, seed=42, key=F.col("id"))
+    return out.withColumn("wcss", F.round("wcss", -2))
 
 
 QUERIES = {

@@ -77,3 +77,33 @@ def test_array_features(spark):
     df = spark.createDataFrame(rows, "id int, embedding array<float>")
     model = segments.fit_vector_segments(df, "embedding", 3)
     assert sorted(model.summary.clusterSizes) == [20, 20, 20]
+
+
+def test_sweep_equals_separate_fits_in_numpy_and_repeats(spark, blobs):
+    """All k at once, from starts that do not depend on how rows are dealt; rows with a missing feature are left out."""
+    odd = spark.createDataFrame([(900, None, 1.0), (901, float("nan"), 2.0)], "id int, x double, y double")
+    df = blobs.unionByName(odd)
+    got = segments.sweep(df, XY, [1, 2, 4, 7], seed=3, key=F.col("id"))
+    again = segments.sweep(df.repartition(7), XY, [7, 4], seed=3, key=F.col("id"))
+    assert all(np.allclose(again[k][0], got[k][0]) for k in again)
+    data = np.array([(r["x"], r["y"]) for r in blobs.collect()])
+    limit = np.sqrt(1e-4 * data.var(axis=0).mean())
+    starts = segments._starts(blobs.withColumn("_hash", F.md5(F.concat_ws(":", F.lit("3"), F.col("id")))), XY, 7)
+    for k, (centres, cost) in got.items():
+        want = starts[:k].copy()
+        for _ in range(300):
+            label = ((data[:, None, :] - want[None]) ** 2).sum(-1).argmin(1)
+            moved = np.array([data[label == i].mean(0) if (label == i).any() else want[i] for i in range(k)])
+            step, want = np.sqrt(((moved - want) ** 2).sum(1)).max(), moved
+            if step <= limit:
+                break
+        assert np.allclose(centres, want)
+        assert cost == pytest.approx(((data[:, None, :] - want[None]) ** 2).sum(-1).min(1).sum())
+
+
+def test_sweep_of_more_clusters_than_rows_and_of_none(spark):
+    df = spark.createDataFrame([(0.0, 1.0), (0.0, 1.0)], "x double, y double")
+    centres, cost = segments.sweep(df, XY, [3])[3]
+    assert centres == [[0.0, 1.0]] * 3 and cost == 0
+    with pytest.raises(ValueError):
+        segments.sweep(df.limit(0), XY, [2])
