@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from skarn.operators.joins import join_groups
 from skarn.operators.series import Layout, row_index
 
 
@@ -116,24 +119,149 @@ def start_windows(
     ).where((F.col("horizon") > 0) & ~F.exists("window", F.isnull))
 
 
-def roll_forward(starts: DataFrame, models: DataFrame, key: Sequence[str]) -> DataFrame:
-    """(key, row_idx, prediction): each forecast enters the window of the next one.
+Predict = Callable[[np.ndarray, Mapping[str, np.ndarray]], np.ndarray]
+ROLLED = 100_000  # forecasts passed on at a time
+
+
+def linear_step(windows: np.ndarray, model: Mapping[str, np.ndarray]) -> np.ndarray:
+    return model["intercept"] + (windows * model["coefs"]).sum(axis=1)
 
-    The fold runs inside the row of a series and keeps one window and the path so far.
-    """
-    joined = starts.join(models.select(*key, "intercept", "coefs"), list(key))
-    empty = F.struct(F.col("window").alias("w"), F.array().cast("array<double>").alias("path"))
 
-    def step(acc: Column, _: Column) -> Column:
-        value = linear_value(acc["w"], F.col("intercept"), F.col("coefs"))
-        moved = F.concat(F.slice(acc["w"], F.lit(2), F.size(acc["w"]) - 1), F.array(value))
-        return F.struct(moved.alias("w"), F.concat(acc["path"], F.array(value)).alias("path"))
+def threshold_step(windows: np.ndarray, model: Mapping[str, np.ndarray]) -> np.ndarray:
+    """One line from the level of the series upwards, another below it."""
+    last = windows[:, -1]
+    high = model["high_intercept"] + model["high_slope"] * last
+    return np.where(last >= model["level"], high, model["low_intercept"] + model["low_slope"] * last)
 
-    steps = F.sequence(F.lit(1).cast("long"), F.col("horizon"))
-    path = F.aggregate(steps, empty, step, lambda acc: acc["path"])
-    return joined.select(*key, "first_idx", F.posexplode(path).alias("step", "prediction")).select(
-        *key, (F.col("first_idx") + F.col("step")).alias("row_idx"), "prediction"
+
+def roll_forward(starts: DataFrame, models: DataFrame | None, key: Sequence[str], predict: Predict = linear_step) -> DataFrame:
+    """(key, row_idx, prediction): each forecast enters the window of the next one.
+
+    `predict` takes the windows of many series (a row each, oldest value first) and the columns of
+    `models` for them, and gives their next values; `models` is None where one model serves all
+    series (see `window_predictor`). Series step side by side: a task holds one window per series
+    and the forecasts it has not passed on yet, so the work grows with the horizon, not its square.
+    Series without a model have no rows.
+    """
+    key = list(key)
+    joined = starts if models is None else starts.join(models, key)
+    schema = joined.select(*key, F.lit(0).cast("long").alias("row_idx"), F.lit(0.0).alias("prediction")).schema
+    return joined.mapInArrow(_rolled(key, predict), schema)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    if pa.types.is_list(column.type):
+        return np.array(column.to_pylist(), dtype=float).reshape(len(column), -1)
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _rolled(key: list[str], predict: Predict):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column("window")).to_numpy()
+            for size in np.unique(sizes):  # windows of one length make one matrix
+                yield from rolled(batch.take(pa.array(np.flatnonzero(sizes == size))))
+
+    def rolled(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ahead = batch.column("horizon").to_numpy()
+        batch = batch.take(pa.array(np.argsort(-ahead, kind="stable")))  # those that go on longest come first
+        ahead, first = batch.column("horizon").to_numpy(), batch.column("first_idx").to_numpy()
+        windows = _matrix(batch.column("window"))
+        own = {c: _matrix(batch.column(c)) for c in batch.schema.names if c not in (*key, "window", "horizon", "first_idx")}
+        who, place, value, held = [], [], [], 0
+
+        def out() -> pa.RecordBatch:
+            rows = pa.array(np.concatenate(who))
+            columns = [*[batch.column(c).take(rows) for c in key], pa.array(np.concatenate(place)), pa.array(np.concatenate(value))]
+            return pa.RecordBatch.from_arrays(columns, [*key, "row_idx", "prediction"])
+
+        for step in range(int(ahead.max(initial=0))):
+            n = int(np.searchsorted(-ahead, -step, side="left"))  # horizons longer than this step
+            if len(windows) > n:
+                windows, own = windows[:n], {c: v[:n] for c, v in own.items()}
+            following = np.asarray(predict(windows, own), dtype=float)
+            windows = np.concatenate([windows[:, 1:], following[:, None]], axis=1)
+            who.append(np.arange(n))
+            place.append(first[:n] + step)
+            value.append(following)
+            held += n
+            if held >= ROLLED:
+                yield out()
+                who, place, value, held = [], [], [], 0
+        if held:
+            yield out()
+
+    return run
+
+
+def fit_threshold(train: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(key, level, high_intercept, high_slope, low_intercept, low_slope): least squares on lag_1 above and below its mean.
+
+    A side of fewer than two different values takes the other side's line.
+    """
+    levels = train.groupBy(*key).agg(F.avg("lag_1").alias("level"))
+    sided = join_groups(train.select(*key, "lag_1", "target"), levels, key)
+    high = F.col("lag_1") >= F.col("level")
+    lines = sided.groupBy(*key, "level").agg(
+        *[
+            line(F.when(where, F.col("target")), F.when(where, F.col("lag_1"))).alias(f"{side}_{name}")
+            for side, where in (("high", high), ("low", ~high))
+            for name, line in (("intercept", F.regr_intercept), ("slope", F.regr_slope))
+        ]
     )
+    sides = {"high": "low", "low": "high"}
+    whole = {
+        f"{side}_{name}": F.when(F.col(f"{side}_slope").isNull(), F.col(f"{other}_{name}")).otherwise(F.col(f"{side}_{name}"))
+        for side, other in sides.items()
+        for name in ("intercept", "slope")
+    }
+    return lines.select(*key, "level", *[c.alias(name) for name, c in whole.items()])
+
+
+def predict_threshold(table: DataFrame, models: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Add `prediction` to a lag table."""
+    joined = table.join(models, list(key), "left")
+    high = F.col("high_intercept") + F.col("high_slope") * F.col("lag_1")
+    low = F.col("low_intercept") + F.col("low_slope") * F.col("lag_1")
+    prediction = F.when(F.col("lag_1") >= F.col("level"), high).otherwise(low)
+    return joined.withColumn("prediction", prediction).drop(*[c for c in models.columns if c not in key])
+
+
+def window_predictor(model) -> Predict:
+    """A fitted model of `fit_window_model` as arrays, for `roll_forward`: it needs neither the JVM nor a job per step."""
+    if not hasattr(model, "treeWeights"):
+        coefs, intercept = np.array(model.coefficients), float(model.intercept)
+        return lambda windows, _: intercept + windows @ coefs
+    trees = [_flat_tree(tree._java_obj.rootNode()) for tree in model.trees]
+    weights = list(model.treeWeights)
+
+    def predict(windows: np.ndarray, _: Mapping[str, np.ndarray]) -> np.ndarray:
+        total = np.zeros(len(windows))
+        rows = np.arange(len(windows))
+        for weight, (feature, threshold, left, right, value) in zip(weights, trees, strict=True):
+            node = np.zeros(len(windows), int)
+            while (left[node] >= 0).any():
+                below = windows[rows, feature[node]] <= threshold[node]
+                node = np.where(left[node] < 0, node, np.where(below, left[node], right[node]))
+            total += weight * value[node]
+        return total
+
+    return predict
+
+
+def _flat_tree(root) -> tuple[np.ndarray, ...]:
+    """(feature, threshold, left, right, value) of every node; no left child at a leaf."""
+    nodes, todo = [], [root]
+    while len(nodes) < len(todo):
+        node = todo[len(nodes)]
+        if node.getClass().getSimpleName() == "LeafNode":
+            nodes.append((0, 0.0, -1, -1, node.prediction()))
+        else:
+            split = node.split()
+            nodes.append((split.featureIndex(), split.threshold(), len(todo), len(todo) + 1, node.prediction()))
+            todo += [node.leftChild(), node.rightChild()]
+    kinds = (int, float, int, int, float)
+    return tuple(np.array(column, dtype=kind) for column, kind in zip(zip(*nodes, strict=True), kinds, strict=True))
 
 
 def frozen_forecast(starts: DataFrame, models: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from skarn.plans.oracle.views import with_views
-from skarn.plans.prices import FIRST, FIXED_COEFS, FIXED_INTERCEPT, LAST
+from skarn.plans.prices import FIRST, FIXED_COEFS, FIXED_INTERCEPT, LAST, MEMORY, SCALE, WEIGHT
 
 _BY_DT = "OVER (PARTITION BY series_id ORDER BY dt)"
 _BY_HOUR = "OVER (PARTITION BY series_id ORDER BY dt, hr)"
@@ -53,6 +53,40 @@ _INDEXED = f"""SELECT series_id, dt, "close", row_number() {_BY_DT} - 1 AS row_i
     count(*) OVER (PARTITION BY series_id) AS n FROM v_prices"""
 
 
+# The fitted lag model fed with its own values, from the last training rows of the lag table on.
+_ROLLED = _AR3 | {
+    "w": """SELECT series_id, cut, n, max(CASE WHEN row_idx = cut - 3 THEN target END) AS w1,
+      max(CASE WHEN row_idx = cut - 2 THEN target END) AS w2, max(CASE WHEN row_idx = cut - 1 THEN target END) AS w3
+      FROM (SELECT *, floor(n * 0.8::DOUBLE)::BIGINT AS cut FROM s) GROUP BY 1, 2, 3""",
+    "f": "SELECT *, my + d1/det*(w1-m1) + d2/det*(w2-m2) + d3/det*(w3-m3) AS v FROM w JOIN d USING (series_id) WHERE cut < n",
+    "r": """SELECT series_id, cut AS k, w2 AS w1, w3 AS w2, v AS w3, v FROM f
+      UNION ALL SELECT series_id, k + 1, w2, w3, v, v FROM (
+        SELECT r.series_id, k, n, r.w2, r.w3, my + d1/det*(r.w1-m1) + d2/det*(r.w2-m2) + d3/det*(r.w3-m3) AS v
+        FROM r JOIN f USING (series_id)) WHERE k + 1 < n""",
+}
+
+_SIDE = "CASE WHEN {x} >= level THEN ha + hb * {x} ELSE la + lb * {x} END"
+_THRESHOLD = _L3 | {
+    "l": """SELECT series_id, level, coalesce(ha, la) AS ha, coalesce(hb, lb) AS hb, coalesce(la, ha) AS la, coalesce(lb, hb) AS lb FROM (
+      SELECT series_id, level, regr_intercept(target, lag_1) FILTER (lag_1 >= level) AS ha, regr_slope(target, lag_1) FILTER (lag_1 >= level) AS hb,
+        regr_intercept(target, lag_1) FILTER (lag_1 < level) AS la, regr_slope(target, lag_1) FILTER (lag_1 < level) AS lb
+      FROM (SELECT *, avg(lag_1) OVER (PARTITION BY series_id) AS level FROM s WHERE split = 'train') GROUP BY 1, 2)""",
+    "w": _ROLLED["w"],
+    "f": f"SELECT *, {_SIDE.format(x='w3')} AS v FROM w JOIN l USING (series_id) WHERE cut < n",
+    "r": f"""SELECT series_id, cut AS k, v FROM f
+      UNION ALL SELECT series_id, k + 1, v FROM (
+        SELECT r.series_id, k, n, {_SIDE.format(x='r.v')} AS v FROM r JOIN f USING (series_id)) WHERE k + 1 < n""",
+}
+
+# One model over all series, on values of single precision.
+_F = {c: f"{c}::FLOAT::DOUBLE" for c in ("lag_3", "lag_2", "lag_1", "target")}
+_POOLED = _L3 | {
+    "x": f"SELECT series_id, dt, split, {', '.join(f'{v} AS {c}' for c, v in _F.items())} FROM s",
+    "c": _AR3["c"].replace("SELECT series_id, avg", "SELECT avg").replace("FROM s", "FROM x").replace(" GROUP BY 1", ""),
+    "d": _AR3["d"],
+}
+
+
 def _window_at(offset: int) -> str:
     """w1 (oldest) .. w3 of each series, the newest `offset` rows before the cut."""
     return f"""SELECT series_id, cut, n,
@@ -62,6 +96,10 @@ def _window_at(offset: int) -> str:
       FROM (SELECT *, floor(n * 0.8::DOUBLE)::BIGINT AS cut FROM i) GROUP BY 1, 2, 3"""
 
 
+_STATE = "0.0"
+for _lag in ("lag_3", "lag_2", "lag_1"):
+    _STATE = f"tanh({WEIGHT} * {_lag} / {SCALE} + {MEMORY} * {_STATE})"
+
 _NEXT = " + ".join([f"{FIXED_INTERCEPT}::DOUBLE", *[f"{c}::DOUBLE * w{k}" for k, c in enumerate(FIXED_COEFS, 1)]])
 
 SQL = {
@@ -208,6 +246,39 @@ SQL = {
               UNION ALL SELECT series_id, k + 1, n, w2, w3, {_NEXT}, {_NEXT} FROM r WHERE k + 1 < n""",
         },
     ),
+    "recursive_forecast_ar3": with_views(
+        ["v_prices"],
+        """SELECT r.series_id, k AS row_idx, dt, round(v, 3) AS prediction FROM r JOIN s ON s.series_id = r.series_id AND row_idx = k""",
+        recursive=True,
+        extra=_ROLLED,
+    ),
+    "forecast_overlay": with_views(
+        ["v_prices"],
+        """SELECT series_id, dt, split, 'observed' AS kind, target AS value FROM p UNION ALL
+        SELECT series_id, dt, split, 'predicted', round(prediction, 3) FROM p UNION ALL
+        SELECT series_id, dt, split, 'baseline', lag_1 FROM p UNION ALL
+        SELECT r.series_id, dt, split, 'recursive', round(v, 3) FROM r JOIN s ON s.series_id = r.series_id AND row_idx = k""",
+        recursive=True,
+        extra=_ROLLED,
+    ),
+    "threshold_forecast": with_views(
+        ["v_prices"],
+        f"""SELECT s.series_id, dt, split, round({_SIDE.format(x='lag_1')}, 3) AS prediction, round(v, 3) AS recursive
+        FROM s JOIN l USING (series_id) LEFT JOIN r ON r.series_id = s.series_id AND row_idx = k""",
+        recursive=True,
+        extra=_THRESHOLD,
+    ),
+    "sequence_forecast": with_views(
+        ["v_prices"],
+        f"""SELECT series_id, dt, round({SCALE} * {_STATE}, 3) AS prediction FROM t""",
+        extra={"t": _lag_view(3)},
+    ),
+    "forecast_by_split": with_views(
+        ["v_prices"],
+        """SELECT series_id, dt, split, target::FLOAT AS y,
+        round(my + d1/det*(lag_3-m1) + d2/det*(lag_2-m2) + d3/det*(lag_1-m3), 2) AS prediction FROM x, d""",
+        extra=_POOLED,
+    ),
     "frozen_forecast": with_views(
         ["v_prices"],
         f"""SELECT i.series_id, i.row_idx, i.dt, round({_NEXT}, 4) AS prediction

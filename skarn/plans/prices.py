@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from skarn.functions import numeric
-from skarn.operators import forecast, series
+from skarn.operators import forecast, scoring, series
 from skarn.operators.joins import align
 from skarn.operators.series import BARS, Layout
 from skarn.sources import views
@@ -198,7 +199,7 @@ def forecast_by_split(spark, sf_dir):
     table = series.lag_arrays(stored(_lag_split(spark, sf_dir, 3)), BARS, 3)
     model = forecast.fit_window_model(table.where(F.col("split") == "train"), "X", "y")
     out = forecast.predict_window_model(model, table, "X")
-    return out.select("series_id", "dt", "split", "y", "prediction")
+    return out.select("series_id", "dt", "split", "y", F.round("prediction", 2).alias("prediction"))
 
 
 def window60_forecast(spark, sf_dir):
@@ -233,6 +234,60 @@ def recursive_forecast(spark, sf_dir):
     return dated.select("series_id", "row_idx", "dt", F.round("prediction", 4).alias("prediction"))
 
 
+def _rolled(table, models, predict=forecast.linear_step):
+    """From the end of the training rows of a lag table through the rest of it, by a model fitted to them."""
+    values = table.select("series_id", "dt", "row_idx", "n_rows", F.col("target").alias("value"))
+    starts = forecast.start_windows(values, BARS, "value", 3)
+    return forecast.roll_forward(starts, models, KEY, predict)
+
+
+def recursive_forecast_ar3(spark, sf_dir):
+    """The fitted lag model fed with its own forecasts."""
+    table = stored(_lag_split(spark, sf_dir, 3))
+    models = forecast.fit_autoregression(table.where(F.col("split") == "train"), KEY, 3).drop("n_fit")
+    dated = align(_rolled(table, models), table.select("series_id", "row_idx", "dt"))
+    return dated.select("series_id", "row_idx", "dt", F.round("prediction", 3).alias("prediction"))
+
+
+def threshold_forecast(spark, sf_dir):
+    """A fitted model that is not linear: one step ahead, and fed with its own forecasts."""
+    table = stored(_lag_split(spark, sf_dir, 3))
+    models = stored(forecast.fit_threshold(table.where(F.col("split") == "train"), KEY))
+    ahead = forecast.predict_threshold(table, models, KEY).select("series_id", "row_idx", "dt", "split", "prediction")
+    both = align(ahead, _rolled(table, models, forecast.threshold_step).withColumnRenamed("prediction", "recursive"))
+    return both.select("series_id", "dt", "split", F.round("prediction", 3).alias("prediction"), F.round("recursive", 3).alias("recursive"))
+
+
+def boosted_forecast(spark, sf_dir):
+    """A boosted model over the lag vectors of all series, fed with its own forecasts."""
+    table = stored(_lag_split(spark, sf_dir, 3))
+    arrays = series.lag_arrays(table.where(F.col("split") == "train"), BARS, 3)
+    model = forecast.fit_window_model(arrays, "X", "y", kind="boosted")
+    dated = align(_rolled(table, None, forecast.window_predictor(model)), table.select("series_id", "row_idx", "dt"))
+    return dated.select("series_id", "row_idx", "dt", "prediction")
+
+
+SCALE, WEIGHT, MEMORY = 300_000.0, 0.9, 0.6  # of the sequence model that stands for one trained elsewhere
+
+
+def _load_sequence_model():
+    def predict(windows):
+        state = np.zeros(len(windows))
+        for k in range(windows.shape[1]):
+            state = np.tanh(WEIGHT * windows[:, k] / SCALE + MEMORY * state)
+        return (SCALE * state)[:, None]
+
+    return predict
+
+
+def sequence_forecast(spark, sf_dir):
+    """Batch inference of a recurrent model over the history windows."""
+    table = series.lag_table(_closes(spark, sf_dir), BARS, "close", 3)
+    windows = table.select("series_id", "dt", F.array("lag_3", "lag_2", "lag_1").alias("window"))
+    out = scoring.model_forecast(windows, _load_sequence_model, "window", 3)
+    return out.select("series_id", "dt", F.round("prediction", 3).alias("prediction"))
+
+
 def frozen_forecast(spark, sf_dir):
     bars = stored(series.row_index(_closes(spark, sf_dir), BARS))
     starts = forecast.start_windows(bars, BARS, "close", 3, start="last_sample")
@@ -249,6 +304,17 @@ def forecast_long(spark, sf_dir):
     return forecast.forecast_long(out, ["series_id", "dt", "split"], ["observed", "predicted", "baseline"])
 
 
+def forecast_overlay(spark, sf_dir):
+    """All four kinds over all splits: observed, one-step, baseline, and the model fed with its own forecasts."""
+    table = stored(_lag_split(spark, sf_dir, 3))
+    models = stored(forecast.fit_autoregression(table.where(F.col("split") == "train"), KEY, 3).drop("n_fit"))
+    out = forecast.persistence(forecast.predict_autoregression(table, models, KEY, 3).withColumnRenamed("prediction", "predicted"))
+    out = align(out, _rolled(table, models).withColumnRenamed("prediction", "recursive"), ("series_id", "row_idx"))
+    out = out.withColumn("baseline", F.col("lag_1")).withColumnsRenamed({"target": "observed"})
+    out = out.withColumns({c: F.round(c, 3) for c in ("predicted", "recursive")})
+    return forecast.forecast_long(out, ["series_id", "dt", "split"], ["observed", "predicted", "baseline", "recursive"])
+
+
 def volume_outliers(spark, sf_dir):
     bars = stored(views.prices(spark, sf_dir).select("series_id", "dt", "volume"))
     return series.outlier_flags(bars, "series_id", "volume").withColumns(
@@ -298,8 +364,13 @@ QUERIES = {
         window60_forecast,
         forecast_horizon,
         recursive_forecast,
+        recursive_forecast_ar3,
+        threshold_forecast,
+        boosted_forecast,
+        sequence_forecast,
         frozen_forecast,
         forecast_long,
+        forecast_overlay,
         volume_outliers,
         value_outliers_ticks,
         price_downsample,

@@ -270,6 +270,60 @@ def test_roll_forward_and_frozen(spark):
     assert frozen == [(8, 1 + 3 + 1.75), (9, 1 + 3 + 1.75)]
 
 
+def windows_of(spark, rows):
+    return spark.createDataFrame(rows, "series_id string, window array<double>, first_idx long, horizon long")
+
+
+def test_any_model_rolls_and_series_of_any_horizon_step_side_by_side(spark, monkeypatch):
+    starts = windows_of(spark, [("a", [1.0, 2.0], 5, 4), ("b", [3.0, 4.0], 0, 1), ("c", [0.5, 0.5, 0.5], 9, 3), ("d", [1.0, 1.0], 0, 0)]).coalesce(1)
+
+    def logistic(windows, model):
+        return 3.5 * windows[:, -1] * (1 - windows[:, -1]) + 0.1 * windows[:, 0]
+
+    want = []
+    for name, window, first, horizon in starts.collect():
+        for step in range(horizon):
+            value = 3.5 * window[-1] * (1 - window[-1]) + 0.1 * window[0]
+            window = [*window[1:], value]
+            want.append((name, first + step, pytest.approx(value)))
+    assert rows(forecast.roll_forward(starts, None, ["series_id"], logistic), "series_id", "row_idx") == want
+    assert forecast.roll_forward(starts.limit(0), None, ["series_id"], logistic).count() == 0
+
+
+def test_rolled_models_equal_the_fitted_ones_step_by_step(spark):
+    """Linear and boosted: the arrays give what the fitted model gives, at every step of a path."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 3))
+    y = np.where(x[:, 2] > 0.3, 2.0, -1.0) + x[:, 0] * 0.5
+    df = spark.createDataFrame([(v.tolist(), float(t)) for v, t in zip(x, y)], "X array<double>, y double")
+    for kind in ("linear", "boosted"):
+        model = forecast.fit_window_model(df, "X", "y", kind=kind, max_iter=5)
+        step = forecast.window_predictor(model)
+        assert step(x, {}) == pytest.approx([r["prediction"] for r in forecast.predict_window_model(model, df, "X").collect()])
+        starts = windows_of(spark, [("a", [0.1, 0.2, 0.9], 3, 4)])
+        got = [r["prediction"] for r in forecast.roll_forward(starts, None, ["series_id"], step).orderBy("row_idx").collect()]
+        window = [0.1, 0.2, 0.9]
+        for value in got:
+            one = spark.createDataFrame([(window,)], "X array<double>")
+            assert value == pytest.approx(forecast.predict_window_model(model, one, "X").first()["prediction"])
+            window = [*window[1:], value]
+
+
+def test_threshold_model(spark):
+    """Two lines; a series that never falls below its level has one for both sides."""
+    data = [("a", float(v), 10.0 - v if v >= 5 else 3.0 * v + 1) for v in range(10)] + [("b", 2.0, 4.0), ("b", 2.0, 6.0)]
+    table = spark.createDataFrame(data, "series_id string, lag_1 double, target double")
+    models = forecast.fit_threshold(table, ["series_id"])
+    a, b = models.orderBy("series_id").collect()
+    assert (a["level"], b["level"]) == (4.5, 2.0)
+    assert [a["high_slope"], a["high_intercept"], a["low_slope"], a["low_intercept"]] == pytest.approx([-1, 10, 3, 1])
+    ahead = forecast.predict_threshold(table.where("series_id = 'a'"), models, ["series_id"])
+    assert all(r["prediction"] == pytest.approx(r["target"]) for r in ahead.collect())
+    starts = windows_of(spark, [("a", [0.0, 4.0], 0, 3)])
+    got = [r["prediction"] for r in forecast.roll_forward(starts, models, ["series_id"], forecast.threshold_step).orderBy("row_idx").collect()]
+    assert got == pytest.approx([13, -3, -8])
+
+
 def test_series_without_enough_training_rows_has_no_start(spark):
     assert forecast.start_windows(bars(spark, range(3)), BARS, "close", 3).count() == 0
 
