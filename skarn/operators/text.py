@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skarn.functions.text import count_of, is_upper, sentiment_words, tokenize
+from skarn.operators.filters import likely_in
 from skarn.operators.joins import join_groups
 
 # Words and weights of the published method.
@@ -96,7 +97,6 @@ class PolarityRules:
 
 ROW_TOKENS = 50_000  # tokens of a lexicon that becomes a constant of the plan, some 2 MB
 FILTER_BITS = 1 << 23  # of the Bloom filter of a larger one: 1 MB; fuller filters only let more words through
-FILTER_HASHES = 3
 ROW = "_row"  # tells apart rows that repeat an id
 
 CORE = PolarityRules(
@@ -195,30 +195,9 @@ class _Lookup:
         return F.element_at(F.get(self.table, self._place(token, self.size)), token)
 
 
-def _bits(token: Column, size: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(token, F.lit(k)), F.lit(size)) for k in range(FILTER_HASHES)]
-
-
 def _likely(lexicon: DataFrame) -> Callable[[Column], Column]:
     """A test that every token of the lexicon passes, and few other words."""
-    n = lexicon.count()
-    size = min(FILTER_BITS, max(64, 1 << (16 * n - 1).bit_length()))
-    places = lexicon.where("token is not null").select(F.explode(F.array(*_bits(F.col("token"), size))).alias("bit"))
-    cells = places.groupBy((F.col("bit") / 64).cast("int").alias("cell")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))).alias("bits")
-    )
-    held = [0] * (size // 64)
-    for r in cells.collect():  # at most FILTER_BITS / 64 rows
-        held[r["cell"]] = r["bits"]
-    table = F.from_json(F.lit(json.dumps(held)), "array<bigint>")
-
-    def test(token: Column) -> Column:
-        passed = F.lit(True)
-        for bit in _bits(token, size):
-            passed = passed & (F.getbit(F.get(table, (bit / 64).cast("int")), (bit % 64).cast("int")) == 1)
-        return passed
-
-    return test
+    return likely_in(lexicon, "token", FILTER_BITS)
 
 
 def _measures(text: Column, rules: PolarityRules) -> Column:

@@ -213,6 +213,31 @@ SQL = {
     "softmax_scores": _on({}, "SELECT * FROM v_model", ("v_logits", "v_model")),
     "pivot_scores": _on({}, "SELECT * FROM v_model", ("v_logits", "v_model")),
     "model_scores": _on({}, "SELECT *, false AS failed FROM v_model", ("v_logits", "v_model")),
+    # naive Bayes from counts of hashed words, smoothed by one; softmax of the summed logarithms
+    "text_classifier_scores": r"""
+        WITH word AS (
+          SELECT doc_id, ('0x' || substr(md5(w), 1, 4))::INTEGER % 16384 AS cell FROM (
+            SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM documents)
+        ), rated AS (
+          SELECT d.doc_id, CASE WHEN quality + 1 - toxic = 0 THEN 0 WHEN quality + 1 - toxic = 1 THEN 1 ELSE 2 END AS y
+          FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE quality IS NOT NULL AND toxic IS NOT NULL AND text IS NOT NULL
+        ), prior AS (
+          SELECT c.y, ln((count(r.y) + 1) / ((SELECT count(*) FROM rated) + 3)) AS p
+          FROM (VALUES (0), (1), (2)) c(y) LEFT JOIN rated r ON r.y = c.y GROUP BY c.y
+        ), counts AS (SELECT y, cell, count(*) AS n FROM word JOIN rated USING (doc_id) GROUP BY ALL),
+        total AS (SELECT c.y, coalesce(sum(n), 0) AS n FROM (VALUES (0), (1), (2)) c(y) LEFT JOIN counts USING (y) GROUP BY c.y),
+        shares AS (
+          SELECT t.y, c.cell, ln((coalesce(k.n, 0) + 1) / (t.n + 16384)) AS s FROM total t, range(16384) c(cell)
+          LEFT JOIN counts k ON k.y = t.y AND k.cell = c.cell
+        ), used AS (SELECT doc_id, cell, count(*) AS n FROM word GROUP BY ALL),
+        summed AS (SELECT doc_id, y, sum(n * s) AS z FROM used JOIN shares USING (cell) GROUP BY ALL),
+        logit AS (
+          SELECT d.doc_id, p.y, p.p + coalesce(z, 0) AS z FROM documents d CROSS JOIN prior p
+          LEFT JOIN summed u ON u.doc_id = d.doc_id AND u.y = p.y WHERE regexp_matches(d.text, '\S')
+        ), top AS (SELECT doc_id, max(z) AS m FROM logit GROUP BY 1),
+        share AS (SELECT doc_id, y, exp(z - m) / sum(exp(z - m)) OVER (PARTITION BY doc_id) AS p FROM logit JOIN top USING (doc_id))
+        SELECT d.doc_id AS "Id", round(max(p) FILTER (y = 0), 6) AS neg, round(max(p) FILTER (y = 1), 6) AS neu, round(max(p) FILTER (y = 2), 6) AS pos
+        FROM documents d LEFT JOIN share USING (doc_id) GROUP BY d.doc_id""",
     "scoring_quarantine": """
     SELECT doc_id AS "Id", CASE WHEN text IS NULL THEN 'null text' ELSE 'blank text' END AS reason
     FROM documents WHERE text IS NULL OR NOT regexp_matches(text, '\\S')""",

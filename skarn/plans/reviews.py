@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from skarn.functions.numeric import softmax
 from skarn.operators import columns, plotdata, profile, scoring, text
+from skarn.operators.filters import likely_in
 from skarn.operators.joins import natural_left_join
 from skarn.sources import views
-from skarn.sources.files import literal_table
+from skarn.sources.files import literal_table, spread
 
 SCORES = ["neg", "neu", "pos", "compound"]
 LEXICON_SCORES = ["lexicon_neg", "lexicon_neu", "lexicon_pos"]
@@ -47,14 +48,22 @@ def _with_rules(spark, sf_dir):
     return text.polarity(views.scorer_input(spark, sf_dir), views.lexicon(spark), CORPUS_RULES)
 
 
+def _likely_rated(spark, sf_dir, rating=None):
+    """Texts that may be rated (so): others are dropped where they are read, before they are cut into words."""
+    wanted = likely_in(views.rated_ids(spark, sf_dir, rating), "Id")
+    return spread(views.texts(spark, sf_dir).where(wanted(F.col("Id"))), "Id")
+
+
 def _rated(spark, sf_dir):
-    """Scores with ratings, no text."""
-    return natural_left_join(_with_rules(spark, sf_dir), views.ratings(spark, sf_dir))
+    """Scores with ratings, no text; of the texts without a rating only a few."""
+    scores = text.polarity(_likely_rated(spark, sf_dir), views.lexicon(spark), CORPUS_RULES)
+    return natural_left_join(scores, views.ratings(spark, sf_dir))
 
 
-def _joint(spark, sf_dir):
+def _joint(spark, sf_dir, texts=None):
     """Both scorers and the rating. The texts are read once: model scores ride along."""
-    probs = views.scorer_input(spark, sf_dir).select("Id", "Text", views.model_logits(F.col("Text")).alias("z"))
+    texts = views.scorer_input(spark, sf_dir) if texts is None else texts
+    probs = texts.select("Id", "Text", views.model_logits(F.col("Text")).alias("z"))
     probs = probs.select("Id", "Text", softmax(F.col("z")).alias("p"))
     model = probs.select("Id", "Text", *[F.round(F.col("p")[i], 6).alias(c) for i, c in enumerate(MODEL_SCORES)])
     scores = text.polarity(model, views.lexicon(spark), CORPUS_RULES, keep=MODEL_SCORES)
@@ -124,12 +133,12 @@ def scorer_confusion(spark, sf_dir):
 
 
 def scorer_accuracy(spark, sf_dir):
-    out = scoring.accuracy(_joint(spark, sf_dir))
+    out = scoring.accuracy(_joint(spark, sf_dir, _likely_rated(spark, sf_dir)))
     return out.withColumn("accuracy", F.round("accuracy", 6))
 
 
 def pairwise_corr_by_rating(spark, sf_dir):
-    rated = _joint(spark, sf_dir).where(F.col("Score").isNotNull())
+    rated = _joint(spark, sf_dir, _likely_rated(spark, sf_dir)).where(F.col("Score").isNotNull())
     out = profile.correlation_by(rated, "Score", [*LEXICON_SCORES, *MODEL_SCORES])
     return out.withColumn("r", F.round("r", 6))
 
@@ -140,14 +149,15 @@ def pair_bins(spark, sf_dir):
 
 def _top(rating, score):
     def query(spark, sf_dir):
-        top = scoring.top_disagreements(_joint(spark, sf_dir), rating, score).select("Id", score)
+        joint = _joint(spark, sf_dir, _likely_rated(spark, sf_dir, rating))
+        top = scoring.top_disagreements(joint, rating, score).select("Id", score)
         return top.join(views.texts(spark, sf_dir), "Id")
 
     return query
 
 
 def disagreements_per_rating(spark, sf_dir):
-    joint = _joint(spark, sf_dir).withColumn("gap", F.round(F.col("model_pos") - F.col("lexicon_pos"), 6))
+    joint = _joint(spark, sf_dir, _likely_rated(spark, sf_dir)).withColumn("gap", F.round(F.col("model_pos") - F.col("lexicon_pos"), 6))
     return scoring.top_per_rating(joint, "gap").select("Score", "Id", "gap")
 
 
@@ -183,9 +193,10 @@ def model_scores(spark, sf_dir):
 
 
 def text_classifier_scores(spark, sf_dir):
-    """Learnt from the rated texts; every text is scored without a join."""
-    model = scoring.fit_text_classifier(views.rated_texts(spark, sf_dir))
-    return scoring.classifier_scores(model, views.scorer_input(spark, sf_dir))
+    """Learnt from counts of the rated texts; every text is scored without a join."""
+    model = scoring.fit_count_classifier(views.rated_texts(spark, sf_dir))
+    out = scoring.count_scores(model, views.scorer_input(spark, sf_dir))
+    return out.select("Id", *[F.round(c, 6).alias(c) for c in scoring.CLASSES])
 
 
 def scoring_quarantine(spark, sf_dir):

@@ -88,6 +88,12 @@ def rated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir).join(labels, "Id")
 
 
+def rated_ids(spark: SparkSession, sf_dir: str, rating: int | None = None) -> DataFrame:
+    """Id of the rated texts, or of those with one rating, from the labels alone."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("Id"), _score())
+    return labels.where(F.col("Score").isNotNull() if rating is None else F.col("Score") == rating).select("Id")
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Id and Text only."""
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("Id"), F.col("text").alias("Text"))

@@ -1,8 +1,10 @@
 """Plans of the registered queries: what must be there, and what must not."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from skarn.operators import filters
 from skarn.sources import views
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -50,6 +52,27 @@ def test_filter_reaches_the_scan(spark):
     assert "PushedFilters: [IsNotNull(_end), EqualTo(_end,true)" in plan_of(QUERIES["asof_ticks"](spark, SF_DIR))
 
 
+@pytest.mark.parametrize("name", sorted(q for q in QUERIES if q.startswith("top_disagreement")))
+def test_only_texts_that_may_have_the_rating_are_scored(spark, name):
+    """The filter of the ids lies below the scoring, next to the scan; the exact join comes after it, without texts."""
+    plan = plan_of(QUERIES[name](spark, SF_DIR))
+    lines = plan.splitlines()
+    kept = next(i for i, line in enumerate(lines) if "Filter" in line and "getbit(" in line)
+    assert "FileScan" in lines[kept + 1] and "documents.parquet" in lines[kept + 1]
+    assert not any("regexp_extract_all" in line for line in lines[kept:])  # words are cut of what is left
+
+
+@pytest.mark.parametrize("bits", [None, 64])
+def test_filters_let_all_members_pass(spark, bits):
+    members = spark.range(0, 5000, 7).withColumnRenamed("id", "k")
+    few = members.limit(3) if bits else members
+    test = filters.likely_in(few.union(spark.sql("SELECT CAST(NULL AS BIGINT)")), "k", bits)
+    passed = {r["id"] for r in spark.range(5000).where(test(F.col("id"))).collect()}
+    assert passed >= {r["k"] for r in few.collect()} and len(passed) < 1000
+    assert spark.range(9).where(filters.likely_in(members.limit(0), "k")(F.col("id"))).count() == 0
+    assert spark.sql("SELECT CAST(NULL AS BIGINT) AS id").where(test(F.col("id"))).count() == 0
+
+
 def test_top_rows_are_kept_on_the_map_side(spark):
     assert "TakeOrderedAndProject" in plan_of(QUERIES["top_disagreement_1_lexicon"](spark, SF_DIR))
     assert plan_of(QUERIES["last_k_ticks"](spark, SF_DIR)).count("WindowGroupLimit") == 2

@@ -153,3 +153,44 @@ def test_row_wise_operators_run_on_a_stream(spark, tmp_path):
         query.awaitTermination(120)
     assert sorted(r["Id"] for r in spark.table("good_rows").collect()) == [1, 3]
     assert [tuple(r) for r in spark.table("bad_rows").collect()] == [(2, "null text")]
+
+
+def test_count_classifier_equals_naive_bayes_by_hand(spark):
+    """Also with rows without rating or text, a class without rows, and texts of no known word."""
+    import hashlib
+    import math
+    import re
+    from collections import Counter
+
+    rows = [(1, 5, "Good good DAY"), (2, 5, "fine day"), (3, 1, "bad, bad day"), (4, None, "bad"), (5, 1, None), (6, None, "   "), (7, None, "??"), (8, None, "other")]
+    df = spark.createDataFrame(rows, "Id int, Score int, Text string")
+    cells = {k: [int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % scoring.FEATURES for w in re.findall(r"[a-z]+", (t or "").lower())] for k, _, t in rows}
+    label = {1: 0, 3: 1, 5: 2}
+    counts, texts = [Counter(), Counter(), Counter()], [0, 0, 0]
+    for k, score, t in rows:
+        if score and t:
+            counts[label[score]].update(cells[k])
+            texts[label[score]] += 1
+    model = scoring.fit_count_classifier(df)
+    got = {r["Id"]: (r["neg"], r["neu"], r["pos"]) for r in scoring.count_scores(model, df).collect()}
+    for k, _, t in rows:
+        if not t or not t.strip():
+            assert got[k] == (None, None, None)
+            continue
+        z = [
+            math.log((texts[c] + 1) / (sum(texts) + 3))
+            + sum(math.log((counts[c][cell] + 1) / (counts[c].total() + scoring.FEATURES)) for cell in cells[k])
+            for c in range(3)
+        ]
+        total = sum(math.exp(v) for v in z)
+        assert got[k] == pytest.approx([math.exp(v) / total for v in z])
+    assert got[1][2] > 0.5 > got[4][2]
+    assert len(scoring.fit_count_classifier(df.limit(0))) == scoring.FEATURES + 1
+
+
+def test_count_classifier_on_long_texts(spark):
+    """Sums of logarithms far beyond what an exponent holds."""
+    rows = [(1, 5, "good " * 5000), (2, 1, "bad " * 5000), (3, None, "good " * 3000 + "bad " * 2000)]
+    df = spark.createDataFrame(rows, "Id int, Score int, Text string")
+    got = {r["Id"]: r for r in scoring.count_scores(scoring.fit_count_classifier(df), df).collect()}
+    assert got[1]["pos"] == got[2]["neg"] == got[3]["pos"] == 1.0
