@@ -28,8 +28,24 @@ def shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_cols", F.lit(len(df.columns)))
 
 
-def column_profile(df: DataFrame) -> DataFrame:
-    """(position, column_name, dtype, non_null), from one pass over the data."""
+def presence(df: DataFrame, keep: Sequence[str] = (), nan: bool = True) -> DataFrame:
+    """Every column but `keep` as true where it has a value, NULL where not; with `nan` also where it is NaN.
+
+    Put below a join, it lets `column_profile` and `null_counts` (with nan=False) count what the
+    join would give without moving any value through it.
+    """
+    shown = []
+    for f in df.schema.fields:
+        gone = F.col(f.name).isNull() if nan else missing(F.col(f.name), f.dataType)
+        shown.append(F.col(f.name) if f.name in keep else F.when(~gone, True).alias(f.name))
+    return df.select(*shown)
+
+
+def column_profile(df: DataFrame, dtypes: Sequence[tuple[str, str]] | None = None) -> DataFrame:
+    """(position, column_name, dtype, non_null), from one pass over the data.
+
+    `dtypes` names the columns and types to report where `df` holds their `presence`.
+    """
     counts = df.agg(*[F.count(F.col(c)).alias(c) for c in df.columns])
     return counts.select(
         F.inline(
@@ -41,7 +57,7 @@ def column_profile(df: DataFrame) -> DataFrame:
                         F.lit(dtype).alias("dtype"),
                         F.col(name).alias("non_null"),
                     )
-                    for i, (name, dtype) in enumerate(df.dtypes)
+                    for i, (name, dtype) in enumerate(dtypes or df.dtypes)
                 ]
             )
         )

@@ -25,11 +25,13 @@ def table_shape(spark, sf_dir):
 
 
 def column_profile(spark, sf_dir):
-    return profile.column_profile(views.reviews(spark, sf_dir))
+    """Of texts with their ratings; what crosses the join is which columns have a value, not the texts."""
+    shown = views.rated(spark, sf_dir, profile.presence(views.language_texts(spark, sf_dir), ["Id"]))
+    return profile.column_profile(shown, views.reviews(spark, sf_dir).dtypes)
 
 
 def null_counts(spark, sf_dir):
-    return profile.null_counts(views.reviews(spark, sf_dir))
+    return profile.null_counts(views.rated(spark, sf_dir, profile.presence(views.language_texts(spark, sf_dir), ["Id"], nan=False)))
 
 
 def _line_numbers(spark, sf_dir):

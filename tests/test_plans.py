@@ -73,6 +73,20 @@ def test_filters_let_all_members_pass(spark, bits):
     assert spark.sql("SELECT CAST(NULL AS BIGINT) AS id").where(test(F.col("id"))).count() == 0
 
 
+@pytest.mark.parametrize("name", ["column_profile", "null_counts"])
+def test_no_text_crosses_the_join_of_a_profile(spark, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = QUERIES[name](spark, SF_DIR)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange hashpartitioning" in plan
+    text = [line for line in plan.splitlines() if "text#" in line]
+    # the column is looked at where it is read, and nowhere above
+    assert all("FileScan" in line or "isnotnull(text#" in line or "isnull(text#" in line for line in text)
+
+
 def test_top_rows_are_kept_on_the_map_side(spark):
     assert "TakeOrderedAndProject" in plan_of(QUERIES["top_disagreement_1_lexicon"](spark, SF_DIR))
     assert plan_of(QUERIES["last_k_ticks"](spark, SF_DIR)).count("WindowGroupLimit") == 2

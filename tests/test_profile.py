@@ -21,6 +21,14 @@ def test_null_counts_treat_nan_as_missing(holes):
     assert got == {"id": 0, "x": 2, "y": 1, "s": 1}
 
 
+def test_presence_counts_as_the_values_do(spark, holes):
+    names = holes.columns
+    plain = sorted(map(tuple, profile.column_profile(holes).collect()))
+    assert sorted(map(tuple, profile.column_profile(profile.presence(holes, names[:1]), holes.dtypes).collect())) == plain
+    nulls = sorted(map(tuple, profile.null_counts(holes).collect()))
+    assert sorted(map(tuple, profile.null_counts(profile.presence(holes, nan=False)).collect())) == nulls
+
+
 def test_column_profile_and_shape(holes):
     got = [tuple(r) for r in profile.column_profile(holes).orderBy("position").collect()]
     assert got == [(0, "id", "int", 4), (1, "x", "double", 3), (2, "y", "double", 3), (3, "s", "string", 3)]
