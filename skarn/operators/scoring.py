@@ -276,9 +276,7 @@ def mean_intervals(df: DataFrame, group: str, values: Sequence[str], z: float =
 
 def bootstrap_intervals(df: DataFrame, group: str, values: Sequence[str], replicates: int = 1000, seed: int = 0) -> DataFrame:
     """`bootstrap_interval` of several measures in one pass: (group, variable, n, mean, low, high)."""
-    keyed = _long(df, group, values).withColumn("_key", F.struct(group, "variable"))
-    out = bootstrap_interval(keyed, "_key", "value", replicates, seed)
-    return out.select(f"_key.{group}", "_key.variable", "n", "mean", "low", "high")
+    return _bootstrapped(_long(df, group, values), [group, "variable"], "value", replicates, seed, 0.95)
 
 
 def _uniform(key: np.ndarray, step: int) -> np.ndarray:
@@ -298,13 +296,16 @@ def _log_factorial(k: np.ndarray) -> np.ndarray:
     return np.where(k < 16, small[np.minimum(k, 15).astype(int)], series)
 
 
+INVERTED = 500  # mean below which a draw is an inversion of one uniform number
+
+
 @F.pandas_udf(DoubleType())
 def _poisson(mean: pd.Series, key: pd.Series) -> pd.Series:
-    """Poisson draws of any mean: by inversion below 10, above by transformed rejection."""
+    """Poisson draws of any mean: by inversion at the last 52 bits of the key below 500, above by transformed rejection."""
     m, keys = mean.to_numpy(), key.to_numpy().view(np.uint64)
     out = np.zeros(len(m))
-    at = np.flatnonzero((m > 0) & (m < 10))
-    u, term = _uniform(keys[at], 0), np.exp(-m[at])
+    at = np.flatnonzero((m > 0) & (m < INVERTED))
+    u, term = ((keys[at] & np.uint64((1 << 52) - 1)).astype(np.float64) + 0.5) / float(1 << 52), np.exp(-m[at])
     below, step = term.copy(), 0
     open_ = u > below
     # a term below 1e-18 no longer moves the distribution function
@@ -314,7 +315,7 @@ def _poisson(mean: pd.Series, key: pd.Series) -> pd.Series:
         term = term * m[at] / step
         below += term
         open_ &= (u > below) & ((term > 1e-18) | (step < m[at]))
-    at, step = np.flatnonzero(m >= 10), 0
+    at, step = np.flatnonzero(m >= INVERTED), 0
     while len(at):
         mu = m[at]
         b = 0.931 + 2.53 * np.sqrt(mu)
@@ -338,23 +339,29 @@ def bootstrap_interval(
 
     Equal values are counted first, and a value that occurs c times is drawn Poisson(c) times
     as a whole, which has the distribution of c single draws. So the replicates multiply the
-    distinct values (scores have four decimals), not the rows. Draws are hashed from the value,
-    the replicate and the seed, so a lost task repeats its draws.
+    distinct values (scores have four decimals), not the rows. Draws come from the MD5 of the
+    group, the value to ten decimals, the replicate and the seed: a lost task repeats its draws,
+    and another engine can make them too.
     """
-    values = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("v"))
-    counted = values.groupBy(group, "v").agg(F.count(F.lit(1)).cast("double").alias("c"))
-    drawn = counted.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    return _bootstrapped(df, [group], value, replicates, seed, level)
 
-    key = F.xxhash64(F.col(group), F.col("v"), F.col("b"), F.lit(seed))
+
+def _bootstrapped(df: DataFrame, groups: list[str], value: str, replicates: int, seed: int, level: float) -> DataFrame:
+    values = df.where(F.col(groups[0]).isNotNull() & F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("v"))
+    counted = values.groupBy(*groups, "v").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    drawn = counted.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    shown = [*[F.col(g).cast("string") for g in groups], F.col("v").try_cast("decimal(30,10)").cast("string"), F.col("b").cast("string")]
+    digest = F.md5(F.concat_ws(":", *shown, F.lit(str(seed))))
+    key = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
     weighted = drawn.withColumn("w", _poisson(F.col("c"), key))
-    means = weighted.groupBy(group, "b").agg(
+    means = weighted.groupBy(*groups, "b").agg(
         F.try_divide(F.sum(F.col("w") * F.col("v")), F.sum("w")).alias("m"),
         F.sum(F.col("c") * F.col("v")).alias("sum_v"),
         F.sum("c").alias("n"),
     )
     tail = (1 - level) / 2
     # One row per replicate: `percentile` holds at most `replicates` values.
-    return means.groupBy(group).agg(
+    return means.groupBy(*groups).agg(
         F.max("n").cast("long").alias("n"),
         (F.max("sum_v") / F.max("n")).alias("mean"),
         F.percentile("m", F.lit(tail)).alias("low"),

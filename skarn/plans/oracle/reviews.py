@@ -170,6 +170,28 @@ SQL = {
         FROM (UNPIVOT (SELECT "Score", neg, neu, pos, compound FROM rated WHERE "Score" IS NOT NULL)
               ON neg, neu, pos, compound INTO NAME variable VALUE value) GROUP BY 1, 2""",
     ),
+    # Poisson replicates of each distinct value, drawn by inversion at the bits of a digest
+    "rating_ci_bootstrap": _on(
+        _RATED
+        | {
+            "valued": """SELECT "Score", variable, value AS v, count(*) AS c FROM (
+              UNPIVOT (SELECT "Score", neg, neu, pos, compound FROM rated WHERE "Score" IS NOT NULL)
+              ON neg, neu, pos, compound INTO NAME variable VALUE value) GROUP BY ALL""",
+            "terms": """SELECT DISTINCT c, 0 AS k, exp(-c::DOUBLE) AS term, exp(-c::DOUBLE) AS upto FROM valued
+              UNION ALL SELECT c, k + 1, term * c / (k + 1), upto + term * c / (k + 1) FROM terms WHERE term > 1e-18 OR k < c""",
+            "steps": "SELECT c, upto, min(k) AS k FROM terms GROUP BY ALL",
+            "most": "SELECT c, max(k) AS k FROM terms GROUP BY 1",
+            "uniform": """SELECT *, (('0x' || substr(md5(concat_ws(':', "Score"::VARCHAR, variable, v::DECIMAL(30,10)::VARCHAR, b::VARCHAR, '0')),
+                1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496 AS u
+              FROM valued, range(1, 1001) r(b)""",
+            "drawn": """SELECT u."Score", u.variable, u.v, u.c, u.b, coalesce(s.k, m.k)::DOUBLE AS w FROM uniform u
+              ASOF LEFT JOIN steps s ON s.c = u.c AND s.upto >= u.u JOIN most m ON m.c = u.c""",
+            "means": """SELECT "Score", variable, b, sum(w * v) / nullif(sum(w), 0) AS m, sum(c * v) AS total, sum(c) AS n
+              FROM drawn GROUP BY ALL""",
+        },
+        """SELECT "Score", variable, max(n)::BIGINT AS n, round(max(total) / max(n), 6) AS mean,
+        round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM means GROUP BY 1, 2""",
+    ).replace("WITH", "WITH RECURSIVE", 1),
     "score_quantiles_by_rating": _on(
         _RATED,
         "\nUNION ALL\n".join(

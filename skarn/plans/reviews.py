@@ -108,7 +108,8 @@ def rating_ci_normal(spark, sf_dir):
 
 
 def rating_ci_bootstrap(spark, sf_dir):
-    return scoring.bootstrap_intervals(_rated(spark, sf_dir), "Score", SCORES)
+    out = scoring.bootstrap_intervals(_rated(spark, sf_dir), "Score", SCORES)
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "low", "high")})
 
 
 def score_quantiles_by_rating(spark, sf_dir):
