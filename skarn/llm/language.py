@@ -12,7 +12,6 @@ covers every text whole.
 
 from __future__ import annotations
 
-import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm._shared import stored, text_slices
+from skarn.llm._shared import release, stored, text_slices
 from skarn.llm._words import plain, words_of
 
 SAMPLE = 1200  # labelled texts of each language at most
@@ -33,7 +32,7 @@ SMOOTH = 0.1  # uses added to each piece of the vocabulary
 SLICE = 8 << 20
 SPACE = "▁"
 UNKNOWN = -14.0  # log probability of a character that no piece covers
-LETTER = re.compile(r"[^\W\d_]")
+GROUP = 60_000  # words of a group times the letters of its longest
 EDGES = ".,;:!?\"'()[]{}*#%&$…-_«»“”¿¡|/\\<>=+~`^@"
 
 
@@ -53,7 +52,7 @@ def vocabulary(path: str) -> dict[str, int]:
 def shaped(word: str) -> str:
     """A word as the vocabulary spells it, without marks at its ends; empty unless it holds a letter."""
     own = word.strip(EDGES)
-    return SPACE + own if LETTER.search(own) else ""
+    return SPACE + own if any(map(str.isalpha, own)) else ""
 
 
 class Pieces:
@@ -147,9 +146,10 @@ def fit(
     folds: int = 5,
     held_out: int = 0,
 ) -> Model:
-    """Learn from at most `sample` texts of each language outside the held-out fold, the smallest by a hash of the id.
+    """Learn from about 0.8 * `sample` texts of each language outside the held-out fold, those with the smallest hashes of the id.
 
-    Rows without id, text or language are left out. Without any row the model knows no language.
+    A language of fewer texts than that gives all of them, or the share of the hashes that comes to 0.8 * `sample`. Rows that
+    repeat an id are drawn together, so `sample` bounds ids, and `WORDS` what reaches the driver. Rows without id, text or language are left out. Without any row the model knows no language.
     """
     usable = docs.where(
         F.col(id_column).isNotNull() & F.col(text_column).isNotNull() & F.col(language_column).isNotNull()
@@ -158,7 +158,7 @@ def fit(
     # the `sample`-th smallest hash of each language, from ids and languages alone
     hashed = F.xxhash64(F.col("_id").cast("string"))
     sizes = {r["_lang"]: r["n"] for r in usable.groupBy("_lang").agg(F.count("*").alias("n")).collect()}
-    # a share of the hashes that gives about 0.8 of the bound, which the exact bound below then holds
+    # a share of the hashes that gives about 0.8 of the bound
     limits = {k: int(min(1.0, 0.8 * sample / n) * (1 << 30)) for k, n in sizes.items()}
     draw = F.pmod(hashed, F.lit(1 << 30))
     limit = F.coalesce(*[F.when(F.col("_lang") == k, F.lit(v)) for k, v in limits.items()], F.lit(0))
@@ -194,12 +194,24 @@ def fit(
         counts = np.stack([frequent[w] for w in words])
         for _ in range(ROUNDS):
             used = np.full((size, len(languages)), SMOOTH)
-            for at in range(0, len(words), 4000):
-                used += Lattice(words[at : at + 4000], matched).uses(logs, counts[at : at + 4000])
+            for some in like_long(words):
+                used += Lattice([words[k] for k in some], matched).uses(logs, counts[some])
             logs[:size] = np.log(used / used.sum(axis=0))
     return Model(languages, pieces, logs)
 
 
+def like_long(words: list[str]) -> Iterator[np.ndarray]:
+    """Positions of words in groups of like length: a forward pass is as long as the longest word of its group."""
+    order = np.array(sorted(range(len(words)), key=lambda k: len(words[k])), np.int64)
+    first = 0
+    for at, k in enumerate(order.tolist()):
+        if at > first and (at - first + 1) * len(words[k]) > GROUP:
+            yield order[first:at]
+            first = at
+    if len(order):
+        yield order[first:]
+
+
 class Scores:
     """distinct word -> log probabilities per language, remembered up to a bound."""
 
@@ -212,11 +224,8 @@ class Scores:
         if not self.model.languages:
             return np.zeros((len(words), 0))
         forms = {w: f for w in words if w not in self.place and (f := shaped(w)) not in self.place}
-        # words of like length side by side: the forward pass is as long as the longest of a group
         new = sorted(set(forms.values()), key=len)
-        found = [self.rows] + [
-            Lattice(new[at : at + 2000], self.pieces).totals(self.model.logs) for at in range(0, len(new), 2000)
-        ]
+        found = [self.rows] + [Lattice([new[k] for k in some], self.pieces).totals(self.model.logs) for some in like_long(new)]
         rows, first = np.concatenate(found), len(self.rows)
         place = dict(zip(new, range(first, first + len(new)), strict=True))
         at = [
@@ -229,14 +238,16 @@ class Scores:
         return rows[at]
 
 
-def classify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", keep: bool = False) -> DataFrame:
-    """(doc_id, lang_pred, score) of every row, or with `keep` all columns and `_lang_pred`, `_lang_score`.
+def classify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", keep: str | bool = False) -> DataFrame:
+    """(doc_id, lang_pred, score) of every row, or all columns and the language under the name `keep` (True: `_lang_pred`).
 
     `lang_pred` is the likeliest learned language, the alphabetically first on a tie, `score` its share of the likelihoods
     at equal priors. A text that is null or has no letter, and any text when no language was learned, gets `und` and 0.
     Repeated rows are scored each for itself.
     """
 
+    keep = "_lang_pred" if keep is True else keep
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = Scores(model)
         for batch in batches:
@@ -257,12 +268,14 @@ def classify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
                     names, share = ["und"] * rows.num_rows, np.zeros(rows.num_rows)
                 found = [pa.array(names, pa.string()), pa.array(share, pa.float64())]
                 if keep:
-                    yield pa.RecordBatch.from_arrays([*rows.columns, *found], [*rows.schema.names, "_lang_pred", "_lang_score"])
+                    yield pa.RecordBatch.from_arrays([*rows.columns, found[0]], [*rows.schema.names, keep])
                 else:
                     yield pa.RecordBatch.from_arrays([rows.column(id_column), *found], ["doc_id", "lang_pred", "score"])
+        del scores
+        release()
 
     if keep:
         fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-        return docs.mapInArrow(run, ", ".join([*fields, "_lang_pred string", "_lang_score double"]))
+        return docs.mapInArrow(run, ", ".join([*fields, f"`{keep}` string"]))
     kind = docs.schema[id_column].dataType.simpleString()
     return docs.select(id_column, text_column).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm._shared import stored, text_slices
+from skarn.llm._shared import release, stored, text_slices
 from skarn.llm._words import peaks, plain, raw_bytes, sums, words_of
 from skarn.llm.boosting import Trees, calibrated, fit_trees, isotonic
 
@@ -183,7 +183,10 @@ def fit(
     rows = stored(
         docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
         .join(F.broadcast(chosen), "_id")
-        .select("_id", F.coalesce("_text", F.lit("")).alias("_text"), "_y"),
+        # of documents that repeat an id one counts, so that the bound holds for rows as it does for ids
+        .groupBy("_id", "_y")
+        .agg(F.min(F.coalesce("_text", F.lit(""))).alias("_text"))
+        .select("_id", "_text", "_y"),
         "toxicity-sample",
     )
 
@@ -269,12 +272,14 @@ def fit(
     return model
 
 
-def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", keep: bool = False) -> DataFrame:
-    """(doc_id, score) of every row, or with `keep` all columns of `docs` and `_score`.
+def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", keep: str | bool = False) -> DataFrame:
+    """(doc_id, score) of every row, or all columns of `docs` and the score under the name `keep` (True: `_score`).
 
     A null or empty text gets the score of a text without any of the features. Repeated rows are scored each for itself.
     """
 
+    keep = "_score" if keep is True else keep
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(model)
         for batch in batches:
@@ -282,12 +287,14 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
                 x = features(rows.column(text_column), words)
                 p = calibrated(model.trees.margin(x), model.knots) if model.trees else np.full(len(x), 0.5)
                 if keep:
-                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(p)], [*rows.schema.names, "_score"])
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(p)], [*rows.schema.names, keep])
                 else:
                     yield pa.RecordBatch.from_arrays([rows.column(id_column), pa.array(p)], ["doc_id", "score"])
+        del words
+        release()
 
     if keep:
         fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-        return docs.mapInArrow(run, ", ".join([*fields, "_score double"]))
+        return docs.mapInArrow(run, ", ".join([*fields, f"`{keep}` double"]))
     kind = docs.schema[id_column].dataType.simpleString()
     return docs.select(id_column, text_column).mapInArrow(run, f"doc_id {kind}, score double")

@@ -117,3 +117,28 @@ def test_language_of_odd_rows(spark, docs):
     assert got[None][0] == "en" and got[5][0] == "en" and got[4][0] in ("en", "fr")
     none = language.fit(docs.limit(0), queries.PIECES)
     assert {r["lang_pred"] for r in language.classify(df, none).collect()} == {"und"}
+
+
+def test_signs_that_are_no_letters_make_no_language(spark):
+    ship(spark)
+    docs = [(k, ["the cat and the dog", "der hund und die katze"][k % 2], ["en", "de"][k % 2]) for k in range(40)]
+    odd = [(100, "²", None), (101, "½ ① Ⅷ", None), (102, "a" * 30_000, None), (103, "x" * 200_000 + " der hund", None)]
+    df = spark.createDataFrame(docs + odd, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r["lang_pred"] for r in language.classify(df, language.fit(df, queries.PIECES)).where("doc_id >= 100").collect()}
+    assert found[100] == found[101] == "und" and "und" not in (found[102], found[103])
+
+
+def test_groups_of_words_are_bounded_by_letters():
+    words = ["a"] * 100 + ["b" * 50_000, "c" * 50_000] + ["dd"] * 100_000
+    groups = list(language.like_long(words))
+    assert sorted(k for g in groups for k in g.tolist()) == list(range(len(words)))
+    assert all(len(g) == 1 or len(g) * max(len(words[k]) for k in g) <= language.GROUP for g in groups)
+
+
+def test_documents_that_repeat_a_labelled_id_count_once(spark):
+    ship(spark)
+    docs = spark.createDataFrame([(k, f"you {'idiot' if k % 2 else 'friend'} number {k}") for k in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    many = docs.unionByName(docs).unionByName(docs)
+    one, three = (sorted(tuple(r) for r in toxicity.score(docs, toxicity.fit(d, labels)).collect()) for d in (docs, many))
+    assert one == three
