@@ -26,29 +26,44 @@ from skarn.llm._shared import ship, stored, table
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that `docs` does not have, in whatever case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below 0.7, those with null and empty texts among them, in all their columns."""
     ship(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, keep=True).where(F.col("_score") < queries.TOXIC).drop("_score")
+    score = unused(docs, "_score")
+    return toxicity.score(docs, model, keep=score).where(F.col(score) < queries.TOXIC).drop(score)
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a letter, `lang` replaced by the predicted language; a table without any known language keeps none."""
     ship(spark)
-    found = language.classify(docs, language.fit(docs, queries.PIECES), keep=True)
-    return found.where("_lang_pred <> 'und'").withColumn("lang", F.col("_lang_pred")).select(docs.columns)
+    lang = unused(docs, "_lang_pred")
+    found = language.classify(docs, language.fit(docs, queries.PIECES), keep=lang)
+    return found.where(F.col(lang) != "und").withColumn("lang", F.col(lang)).select(docs.columns)
 
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, that with the smallest id; texts without words and rows without id stay."""
     ship(spark)
     return jaccard.one_of_each(docs)
 
 
 def safe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts replaced; a null text stays null."""
     ship(spark)
     return secrets.redact(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of the packed sequences; a null text is an empty one."""
     ship(spark)
     return packing.pack_documents(docs, queries.WORD_BPE)
 
