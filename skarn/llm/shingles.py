@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 
 from skarn.llm._words import plain, raw_bytes
 
 U = np.uint64
-BASE = U(0x9E3779B97F4A7C15)  # odd, hence with an inverse modulo 2^64
+BASE = U(0x9E3779B97F4A7C15)  # odd
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -20,18 +18,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-BYTES = mix(np.arange(1, 257, dtype=U) * BASE)
-
-
-@lru_cache(maxsize=1)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(int(BASE), -1, 1 << 64)
-    base = np.full(size, BASE, U)
-    back = np.full(size, inverse, U)
-    base[:1] = back[:1] = 1
-    return np.cumprod(base, dtype=U), np.cumprod(back, dtype=U)
-
-
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, bounds of each text). Words: runs without space and bytes 9 to 13, A-Z in lower case."""
     raw, places = raw_bytes(plain(texts))
@@ -47,10 +33,19 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     begins[inner] = ~blank[inner]
     ends[inner - 1] = ~blank[inner - 1]
     first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    size = 1 << max(22, int(len(raw)).bit_length())
-    power, inverse = _powers(size)
-    total = np.concatenate([np.zeros(1, U), np.cumsum(BYTES[raw] * power[: len(raw)], dtype=U)])
-    return mix((total[last] - total[first]) * inverse[first]), np.searchsorted(first, places)
+    if not len(first):
+        return np.empty(0, U), np.searchsorted(first, places)
+    # eight letters at a time, each eight mixed with its place in the word: sums of them have no structure to collide by
+    lengths = last - first
+    n = (lengths + 7) // 8
+    before = np.cumsum(n) - n
+    place = np.arange(int(n.sum())) - np.repeat(before, n)
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(raw) + 1, "<u8", padded.data, strides=(1,))[np.repeat(first, n) + 8 * place]
+    short = np.repeat(lengths, n) - 8 * place
+    eights &= np.where(short >= 8, ~U(0), (U(1) << (U(8) * np.minimum(short, 7).astype(U))) - U(1))
+    mixed = mix(eights ^ mix((place + 1).astype(U) * BASE))
+    return mix(np.add.reduceat(mixed, before) + lengths.astype(U)), np.searchsorted(first, places)
 
 
 def shingle_sets(texts: pa.Array, size: int = 5) -> list[np.ndarray]:
@@ -75,6 +70,34 @@ def shingle_sets(texts: pa.Array, size: int = 5) -> list[np.ndarray]:
     return out
 
 
+def parity(shingles: np.ndarray) -> bytes:
+    """One bit per cell: does it hold an odd number of the shingles? Of two cells for each shingle, about, a power of two.
+
+    The bits in which two sets differ are no more than the shingles in which they differ; see `apart`.
+    """
+    cells = 1 << min(17, max(9, int(2 * len(shingles) - 1).bit_length()))
+    return np.packbits(np.bincount((shingles & U(cells - 1)).astype(np.int64), minlength=cells) & 1, bitorder="little").tobytes()
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Parities of fewer cells: what `parity` gives for so many, as 64-bit words."""
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def apart(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Lower bounds of the shingles in which a set and each of some others differ, from their parities as 64-bit words."""
+    sizes = np.array([len(o) for o in others])
+    out = np.zeros(len(others), np.int64)
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        words = min(int(size), len(one))
+        theirs = np.stack([folded(others[k], words) for k in at])
+        out[at] = np.bitwise_count(theirs ^ folded(one, words)).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def fingerprint(shingles: np.ndarray) -> int:
     """A signed 64-bit name of a set; 0 for the empty set."""
     if not len(shingles):
