@@ -33,9 +33,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.llm._shared import drop_stored, stored, text_slices
+from skarn.llm._shared import drop_stored, release, stored, text_slices
 from skarn.llm.components import connected, forest
-from skarn.llm.shingles import fingerprint, shingle_sets
+from skarn.llm.shingles import apart, fingerprint, parity, shingle_sets
 
 PARTS = 5  # a similarity of at least (PARTS - 1) / PARTS links: 0.8
 SIZE = 5  # words of a shingle
@@ -189,6 +189,7 @@ def first_regions(spark: SparkSession, points: DataFrame) -> DataFrame:
         .join(shared, "region")
     )
     members = stored(members, "members")
+    bits.destroy()
     alike = members.groupBy("region").agg(
         F.count("*").alias("c"), F.min("point").alias("a"), F.max("point").alias("b"),
         F.sum(F.xxhash64("point").cast("decimal(38,0)")).alias("s"), F.expr("bit_xor(point)").alias("x"),
@@ -214,11 +215,13 @@ def _kept(table: DataFrame, column: str, wanted: DataFrame, inverse: bool = Fals
             may &= pc.is_valid(values).to_numpy(zero_copy_only=False)
             yield batch.filter(pa.array(~may if inverse else may))
 
-    return table.mapInArrow(run, table.schema)
+    out = table.mapInArrow(run, table.schema)
+    out.held = bits  # to be destroyed when the rows have been used
+    return out
 
 
 def point_texts(docs: DataFrame, id_column: str, text: str, wanted: DataFrame) -> DataFrame:
-    """(point, text) of each wanted (point, doc_id): the text of one document of each point.
+    """(point, n, bits, text) of each wanted (point, doc_id): the text of one document of each point, its set's size and parities.
 
     A filter of fixed size on both columns picks the documents where they lie. It may let others through; a text is then
     there under its own point as well, which no pair asks for, or twice.
@@ -231,11 +234,20 @@ def point_texts(docs: DataFrame, id_column: str, text: str, wanted: DataFrame) -
             batch = batch.filter(pc.is_valid(batch.column(0)))
             batch = batch.filter(pa.array(_has(ids.value, batch.column(0).cast(pa.int64()).to_numpy())))
             for rows in _slices(batch, text):
-                own = np.array([fingerprint(s) for s in shingle_sets(rows.column(text), SIZE)], np.int64)
-                there = pa.array(np.flatnonzero(_has(names.value, own)))
-                yield pa.RecordBatch.from_arrays([pa.array(own).take(there), rows.column(text).take(there)], ["point", "text"])
+                sets = shingle_sets(rows.column(text), SIZE)
+                own = np.array([fingerprint(s) for s in sets], np.int64)
+                there = np.flatnonzero(_has(names.value, own))
+                sizes, bits = [len(sets[k]) for k in there], [parity(sets[k]) for k in there]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own[there]), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), rows.column(text).take(pa.array(there))],
+                    ["point", "n", "bits", "text"],
+                )
+        release()
 
-    return stored(docs.select(id_column, text).mapInArrow(run, "point long, text string"), "texts")
+    out = stored(docs.select(id_column, text).mapInArrow(run, "point long, n long, bits binary, text string"), "texts")
+    ids.destroy()
+    names.destroy()
+    return out
 
 
 def distances(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -257,13 +269,17 @@ def distances(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                         [part.column("a"), part.column("b"), pa.array(1 - common / np.maximum(union, 1)), pa.array(linked)],
                         ["a", "b", "d", "linked"],
                     )
+        release()
 
     pairs = stored(pairs, "pairs")
-    needed = _kept(texts, "point", pairs.select("a").union(pairs.select("b")))
+    needed = _kept(texts.select("point", "text"), "point", pairs.select("a").union(pairs.select("b")))
     left = needed.select(F.col("point").alias("a"), F.col("text").alias("ta"))
     right = needed.select(F.col("point").alias("b"), F.col("text").alias("tb"))
     found = pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long, d double, linked boolean")
-    return stored(found.dropDuplicates(["a", "b"]), "distances")
+    out = stored(found.dropDuplicates(["a", "b"]), "distances")
+    needed.held.destroy()
+    drop_stored(pairs)
+    return out
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -301,10 +317,31 @@ def _tile(rows: pa.Table) -> pa.Table:
     return pa.Table.from_batches([*forest(iter([links]))])
 
 
+def _meeting(key: tuple, rows: pa.Table) -> pa.Table:
+    """The points of a tile that may link with one across: neither size nor parities of the two sets forbid it."""
+    side, n = rows.column("side").to_numpy(), rows.column("n").to_numpy()
+    points = rows.column("point").to_numpy()
+    bits = [np.frombuffer(b, np.uint64) for b in rows.column("bits").to_pylist()]
+    others = np.flatnonzero(~side)
+    theirs = [bits[k] for k in others]
+    meets = np.zeros(len(points), bool)
+    for k in np.flatnonzero(side):
+        # two sets link if they differ in no more than a ninth of the sum of their sizes
+        may = (2 * PARTS - 1) * np.maximum(apart(bits[k], theirs), abs(n[others] - n[k])) <= n[others] + n[k]
+        may &= points[others] != points[k]
+        meets[k] = may.any()
+        meets[others[may]] = True
+    at = pa.array(np.flatnonzero(meets))
+    region, i, j = (pa.array([v.as_py()] * len(at), v.type) for v in key)
+    return pa.table([region, i, j, rows.column("side").take(at), rows.column("point").take(at)], ["region", "i", "j", "side", "point"])
+
+
 def joined_pairwise(small: DataFrame, texts: DataFrame) -> DataFrame:
     """(u, v) links of regions (region, point, open, n open, m points) whose open points meet all points.
 
     A region is a grid of tiles, dealt by hash, each a group of bounded size: no task holds a region, no pair is a row.
+    Sizes and parities meet first, a few hundred bytes for a text of some thousands, and only points with a partner that
+    these allow send their texts to the tile.
     """
     rows, columns = (F.ceil(F.col(c) / size).cast("int") for c, size in zip("nm", TILE, strict=True))
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
@@ -312,9 +349,18 @@ def joined_pairwise(small: DataFrame, texts: DataFrame) -> DataFrame:
     opened = small.where("open").select("region", "point", drawn(rows, 1).alias("i"), every(columns).alias("j"), F.lit(True).alias("side"))
     others = small.select("region", "point", every(rows).alias("i"), drawn(columns, 2).alias("j"), F.lit(False).alias("side"))
     dealt = stored(opened.union(others), "tiles")
-    needed = _kept(texts, "point", dealt.select("point").distinct()).dropDuplicates(["point"])
-    met = dealt.join(needed, "point").select("region", "i", "j", "side", "point", "text")
-    return stored(met.groupBy("region", "i", "j").applyInArrow(_tile, "u long, v long"), "links")
+    # a text may be there twice under one point
+    shapes = _kept(texts.select("point", "n", "bits"), "point", dealt.select("point").distinct())
+    met = dealt.join(shapes.dropDuplicates(["point"]), "point").select("region", "i", "j", "side", "point", "n", "bits")
+    likely = met.groupBy("region", "i", "j").applyInArrow(_meeting, "region long, i int, j int, side boolean, point long")
+    likely = stored(likely, "likely")
+    needed = _kept(texts.select("point", "text"), "point", likely.select("point").distinct())
+    met = likely.join(needed.dropDuplicates(["point"]), "point").select("region", "i", "j", "side", "point", "text")
+    links = stored(met.groupBy("region", "i", "j").applyInArrow(_tile, "u long, v long"), "links")
+    shapes.held.destroy()
+    needed.held.destroy()
+    drop_stored(dealt, likely)
+    return links
 
 
 def next_level(members: DataFrame, texts: DataFrame, level: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
@@ -414,6 +460,7 @@ def linked_points(spark: SparkSession, docs: DataFrame, id_column: str, text: st
     """(doc_id, n, point) of every row, and (u, v): links that connect all points that links connect."""
     codes = spark.sparkContext.broadcast(rarity(docs, text))
     points = stored(signatures(docs, id_column, text, codes), "signatures")
+    codes.destroy()
     members = first_regions(spark, points)
     wanted = members.select("point").distinct().join(points.where("doc_id is not null").groupBy("point").agg(F.min("doc_id").alias("doc_id")), "point")
     # points whose rows all lack an id are not among them and link with nothing
