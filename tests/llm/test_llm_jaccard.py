@@ -127,3 +127,54 @@ def test_one_of_each(spark):
     df = spark.createDataFrame([(d, t, "p", "k") for d, t in rows], SCHEMA)
     kept = sorted(((r["doc_id"], r["text"]) for r in jaccard.one_of_each(df).collect()), key=str)
     assert kept == sorted([(1, text + " q"), (4, rows[2][1]), (None, text), (6, None)], key=str)
+
+
+def thue_morse(order, a, b):
+    word = [a]
+    for _ in range(order):
+        word += [b if c == a else a for c in word]
+    return "".join(word)
+
+
+def test_words_that_collide_under_polynomials_have_their_own_hashes():
+    """For any odd base the sums over these two words are equal modulo 2^64."""
+    import pyarrow as pa
+
+    from skarn.llm.shingles import word_hashes
+
+    one, two = thue_morse(10, "a", "b"), thue_morse(10, "b", "a")
+    hashes, bounds = word_hashes(pa.array([f"{one} {two}", two, "x", None, "", " abcdefgh abcdefghi Abcdefgh"]))
+    assert bounds.tolist() == [0, 2, 3, 4, 4, 4, 7]
+    assert hashes[0] != hashes[1] == hashes[2] and hashes[4] == hashes[6] != hashes[5]
+    rng = random.Random(1)
+    words = sorted({"".join(rng.choice("ab") for _ in range(rng.randint(1, 40))) for _ in range(3000)})
+    alone, _ = word_hashes(pa.array(words))
+    assert len(set(alone.tolist())) == len(words)
+    together, _ = word_hashes(pa.array(["  ".join(words)]))
+    assert together.tolist() == alone.tolist()
+
+
+def test_texts_of_two_words_that_look_alike_to_polynomials(spark):
+    rows = [(1, thue_morse(10, "a", "b")), (2, thue_morse(10, "b", "a")), (3, thue_morse(10, "a", "b"))]
+    assert ours(spark, rows) == brute(rows) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+
+
+def test_parities_never_exclude_a_link():
+    """Bounds from parities of any two lengths lie below the true difference."""
+    import numpy as np
+
+    from skarn.llm.shingles import apart, parity
+
+    rng = np.random.default_rng(2)
+    sets = []
+    for n in (0, 1, 5, 200, 300, 700, 5000, 200_000):
+        own = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        sets += [own, np.concatenate([own[: n - n // 9], rng.integers(0, 1 << 63, n // 9).astype(np.uint64)])]
+    bits = [np.frombuffer(parity(s), np.uint64) for s in sets]
+    for k, s in enumerate(sets):
+        bound = apart(bits[k], bits)
+        for j, t in enumerate(sets):
+            assert bound[j] <= len(np.setxor1d(s, t))
+            if k == j:
+                assert bound[j] == 0
+    assert apart(bits[6], [bits[8]])[0] > (len(sets[6]) + len(sets[8])) / 9  # and they do exclude
