@@ -349,6 +349,8 @@ def _score(t: Column, hits: Column, rules: PolarityRules) -> Column:
             found = _changed(found, step)
         return _shares(t, _sums(found), rules)
 
+    if not rules.contrast:
+        return adjusted(F.lit(None))
     # NULL where no word turns the text, so that neither side of it is found
     return _let(F.nullif(F.array_position(t["lower"], F.lit(rules.contrast_word)).cast("int"), F.lit(0)) - 1, adjusted)
 

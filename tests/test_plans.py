@@ -11,9 +11,11 @@ SF_DIR = "/root/testdata/sf0.001"
 QUERIES = entry.queries()
 
 # Python workers: user models, Poisson draws and the least-squares solver on one row per series.
-WITH_PYTHON = {"model_scores", "scored_or_quarantined", "rating_ci_bootstrap", "ar3_forecast", "forecast_vs_actual"}
+WITH_PYTHON = {
+    "model_scores", "scored_or_quarantined", "rating_ci_bootstrap", "ar3_forecast", "forecast_vs_actual", "recursive_forecast_ar3", "sequence_forecast",
+}
 # Fitting runs jobs of its own while the query is built.
-FITTED = {"kmeans_segments", "kmeans_elbow", "kmeans_lloyd_3", "text_classifier_scores", "forecast_by_split", "window60_forecast"}
+FITTED = {"kmeans_segments", "kmeans_elbow", "kmeans_lloyd_3", "text_classifier_scores", "forecast_by_split", "window60_forecast", "boosted_forecast"}
 
 
 def plan_of(df):
