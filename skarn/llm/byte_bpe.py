@@ -3,6 +3,9 @@
 A long text is cut ahead of the library where no match of the pattern can reach across: before a blank or line feed that
 follows a character which is no white space. No alternative of the pattern takes white space after other characters, and
 its only lookahead belongs to a match of white space alone, so both sides match as they do in the whole text.
+
+A very long run of white space, on which the library's matcher fails, never reaches it: the pattern takes such a run as one
+match up to its last character (to its end, where the text ends), so that match goes straight to the pair merging.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from skarn.llm._shared import text_slices, texts_of
 
 LONG = 1 << 16  # characters handed to the library in one call, unless no safe boundary comes
 SAFE = re.compile(r"(?<=\S)(?<![\x1c-\x1f])[ \n]")
+BLANK = re.compile(r"[^\S\x1c-\x1f]{%d,}" % LONG)  # white space as the library knows it
 
 
 def parts(text: str, size: int = LONG) -> Iterator[str]:
@@ -52,6 +56,16 @@ class ByteBpe:
         """Ids of a whole text; the strings of special tokens are ordinary text."""
         if len(text) <= LONG:
             return self.encoding.encode_ordinary(text)
+        ids: list[int] = []
+        first = 0
+        for run in BLANK.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            ids += self._plain(text[first : run.start()])
+            ids += self.encoding._encode_single_piece(text[run.start() : end])
+            first = end
+        return ids + self._plain(text[first:])
+
+    def _plain(self, text: str) -> list[int]:
         return [k for part in parts(text) for k in self.encoding.encode_ordinary(part)]
 
     def decode(self, ids: list[int]) -> bytes:

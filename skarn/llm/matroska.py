@@ -6,7 +6,8 @@ track under one of the three lacings: of equal size, with sizes as runs of bytes
 
 The parser reads any such file by its elements: identifiers and sizes of variable length, unknown sizes of segments and
 clusters, blocks inside block groups, every lacing, several tracks and clusters; what it does not know it skips. It gives
-one row per packet with track, timestamp, frame number and byte range, so a payload is read by ranges of the stored bytes.
+one row per packet with track, timestamp, frame number, byte range and time in nanoseconds (timestamp by the scale of the
+segment, later frames of a lace by the frame time of their track), so a payload is read by ranges of the stored bytes.
 """
 
 from __future__ import annotations
@@ -34,11 +35,10 @@ DOC_TYPE, DOC_VERSION, DOC_READ = 0x4282, 0x4287, 0x4285
 TIMESTAMP_SCALE, MUXER, WRITER, DURATION = 0x2AD7B1, 0x4D80, 0x5741, 0x4489
 TRACK, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC, AUDIO = 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0xE1
 RATE_ID, CHANNELS, DEPTH = 0xB5, 0x9F, 0x6264
-TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0xE7, 0xA3, 0xA0, 0xA1
+TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE, FRAME_TIME = 0xE7, 0xA3, 0xA0, 0xA1, 0xFB, 0x23E383
 CUE_POINT, CUE_TIME, CUE_PLACE, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 
 NO_LACING, XIPH, FIXED, EBML_LACING = 0, 1, 2, 3
-MASTERS = {SEGMENT, CLUSTER, BLOCK_GROUP, TRACKS, TRACK, CUES, CUE_POINT, CUE_PLACE}
 
 
 def size_bytes(n: int, width: int = 0) -> bytes:
@@ -118,6 +118,7 @@ class Packet:
     start: int
     size: int
     key: bool
+    time: int = 0  # nanoseconds
 
 
 class FormatError(ValueError):
@@ -184,45 +185,81 @@ def _lace(data: bytes, at: int, end: int, kind: int) -> list[tuple[int, int]]:
     return places
 
 
+def _whole(data: bytes, span: tuple[int, int]) -> int:
+    return int.from_bytes(data[slice(*span)], "big")
+
+
 def parsed(data: bytes) -> tuple[list[Packet], list[tuple[int, int, int]]]:
-    """(packets in file order, cues as (time, track, byte of the cluster)) of a file; an error if it is damaged."""
+    """(packets in file order, cues as (time, track, byte of the cluster)) of a file; FormatError if it is damaged.
+
+    A packet of a block group is a key frame unless the group refers to another block. An element of unknown size ends
+    where its parent does or where one begins that it cannot hold, so any number of such clusters may follow each other.
+    """
     packets: list[Packet] = []
     cues: list[tuple[int, int, int]] = []
-    segment, scale, step = 0, 0, 0
+    segment, cluster, scale = 0, 0, 1_000_000
+    frame_time: dict[int, int] = {}
 
     def frames(at: int, end: int, key: bool | None) -> None:
         track, at = _vint(data, at, False)
-        relative = int.from_bytes(data[at : at + 2], "big", signed=True)
+        if at + 3 > end or track is None:
+            raise FormatError(f"a block ends at byte {end} before its head")
+        time = cluster + int.from_bytes(data[at : at + 2], "big", signed=True)
         flags = data[at + 2]
-        lace = _lace(data, at + 3, end, flags >> 1 & 3)
+        try:
+            lace = _lace(data[:end], at + 3, end, flags >> 1 & 3) if flags >> 1 & 3 else [(at + 3, end - at - 3)]
+        except IndexError as cause:
+            raise FormatError(f"a lace runs past its block at byte {end}") from cause
+        shown = bool(flags & 0x80) if key is None else key
         for k, (first, size) in enumerate(lace):
-            packets.append(Packet(track, scale + relative, k, first, size, bool(flags & 0x80) if key is None else key))
-
-    def walk(at: int, end: int) -> None:
-        nonlocal segment, scale
-        for ident, first, stop in elements(data, at, end):
+            packets.append(Packet(track, time, k, first, size, shown, time * scale + k * frame_time.get(track, 0)))
+
+    def cue(first: int, stop: int) -> None:
+        own = [(i, (a, b)) for i, a, b in elements(data, first, stop)]
+        times = [_whole(data, span) for i, span in own if i == CUE_TIME]
+        for place in (span for i, span in own if i == CUE_PLACE):
+            held = {i: _whole(data, (a, b)) for i, a, b in elements(data, *place)}
+            if not times or CUE_TRACK not in held or CUE_CLUSTER not in held:
+                raise FormatError(f"a cue before byte {stop} lacks a time or place")
+            cues.append((times[0], held[CUE_TRACK], segment + held[CUE_CLUSTER]))
+
+    at, ends = 0, [len(data)]
+    while True:
+        while len(ends) > 1 and at >= ends[-1]:
+            ends.pop()
+        if at >= len(data):
+            return packets, cues
+        ident, first = _vint(data, at, True)
+        size, first = _vint(data, first, False)
+        stop = ends[-1] if size is None else first + size
+        if stop > ends[-1]:
+            raise FormatError(f"element {ident:x} runs past its parent at byte {at}")
+        at = stop
+        if ident in (SEGMENT, CLUSTER, CUES, INFO, TRACKS):
             if ident == SEGMENT:
-                segment = first
-                walk(first, stop)
+                segment, scale = first, 1_000_000
             elif ident == CLUSTER:
-                scale = 0
-                walk(first, stop)
-            elif ident == TIMESTAMP:
-                scale = int.from_bytes(data[first:stop], "big")
-            elif ident == SIMPLE_BLOCK:
-                frames(first, stop, None)
-            elif ident == BLOCK:
-                frames(first, stop, True)
-            elif ident == CUE_POINT:
-                own = {i: (a, b) for i, a, b in elements(data, first, stop)}
-                places = {i: int.from_bytes(data[a:b], "big") for i, a, b in elements(data, *own[CUE_PLACE])}
-                time = int.from_bytes(data[slice(*own[CUE_TIME])], "big")
-                cues.append((time, places[CUE_TRACK], segment + places[CUE_CLUSTER]))
-            elif ident in (CUES, BLOCK_GROUP):
-                walk(first, stop)
-
-    walk(0, len(data))
-    return packets, cues
+                cluster = 0
+            if size is not None:
+                ends.append(stop)
+            at = first  # its elements come next
+        elif ident == TIMESTAMP:
+            cluster = _whole(data, (first, stop))
+        elif ident == TIMESTAMP_SCALE:
+            scale = _whole(data, (first, stop))
+        elif ident == TRACK:
+            own = {i: (a, b) for i, a, b in elements(data, first, stop)}
+            if TRACK_NUMBER in own and FRAME_TIME in own:
+                frame_time[_whole(data, own[TRACK_NUMBER])] = _whole(data, own[FRAME_TIME])
+        elif ident == SIMPLE_BLOCK:
+            frames(first, stop, None)
+        elif ident == BLOCK_GROUP:
+            group = list(elements(data, first, stop))
+            for i, a, b in group:
+                if i == BLOCK:
+                    frames(a, b, all(j != REFERENCE for j, _, _ in group))
+        elif ident == CUE_POINT:
+            cue(first, stop)
 
 
 def feature(samples: np.ndarray) -> str:
@@ -259,7 +296,7 @@ def media_of(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     return df.select(id_column, text_column).mapInArrow(run, MEDIA)
 
 
-PACKETS = "doc_id long, track long, timestamp long, frame long, start long, size long, key boolean"
+PACKETS = "doc_id long, track long, timestamp long, frame long, start long, size long, key boolean, time long"
 
 
 def packets_of(media: DataFrame) -> DataFrame:
@@ -269,16 +306,16 @@ def packets_of(media: DataFrame) -> DataFrame:
         for batch in batches:
             for rows in text_slices(batch, "media", 4 << 20):
                 out = [
-                    (doc, p.track, p.timestamp, p.frame, p.start, p.size, p.key)
+                    (doc, p.track, p.timestamp, p.frame, p.start, p.size, p.key, p.time)
                     for doc, data in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "media")), strict=True)
                     if data is not None
                     for p in parsed(data)[0]
                 ]
-                columns = list(zip(*out, strict=True)) if out else [()] * 7
-                kinds = [pa.int64()] * 6 + [pa.bool_()]
+                columns = list(zip(*out, strict=True)) if out else [()] * 8
+                kinds = [pa.int64()] * 6 + [pa.bool_(), pa.int64()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
-                    ["doc_id", "track", "timestamp", "frame", "start", "size", "key"],
+                    ["doc_id", "track", "timestamp", "frame", "start", "size", "key", "time"],
                 )
 
     return media.select("doc_id", "media").mapInArrow(run, PACKETS)
@@ -291,19 +328,25 @@ DIGESTS = (
 
 
 def payload_digests(media: DataFrame, track: int = 1) -> DataFrame:
-    """Read each file's payload by the byte ranges of one track's packets, and give digests and features of it."""
+    """Read each file's payload by the byte ranges of one track's packets, and give digests and features of it.
+
+    A null file gives nulls but for its doc_id and n_bytes; a payload without a sample has no feature.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in text_slices(batch, "media", 4 << 20):
                 out = []
                 for doc, n, data in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True):
+                    if data is None:
+                        out.append((doc, n, *[None] * 6))
+                        continue
                     own = sorted((p for p in parsed(data)[0] if p.track == track), key=lambda p: (p.timestamp, p.frame))
                     payload = b"".join(data[p.start : p.start + p.size] for p in own)
                     out.append(
                         (
                             doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ALIGN:]), len(data),
-                            hashlib.sha256(data).hexdigest(), feature(np.frombuffer(payload, np.uint8)),
+                            hashlib.sha256(data).hexdigest(), feature(np.frombuffer(payload, np.uint8)) if payload else None,
                         )
                     )
                 kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]

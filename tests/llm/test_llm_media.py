@@ -74,3 +74,47 @@ def test_rows(spark):
     assert b"".join(files[4][p["start"] : p["start"] + p["size"]] for p in table).rstrip(b"\0") == texts[4].encode()
     assert mkv.payload_digests(mkv.media_of(df.limit(0))).collect() == []
     random.seed(0)
+
+
+UNKNOWN = b"\x01" + b"\xff" * 7
+
+
+def open_ended(ident, content):
+    return ident.to_bytes((ident.bit_length() + 7) // 8, "big") + UNKNOWN + content
+
+
+def test_live_recordings_of_many_clusters_of_unknown_size():
+    clusters = b"".join(open_ended(mkv.CLUSTER, mkv.number(mkv.TIMESTAMP, k) + mkv.element(mkv.SIMPLE_BLOCK, mkv.block(1, 0, [b"ab"]))) for k in range(5000))
+    tail = mkv.element(mkv.CUES, mkv.element(mkv.CUE_POINT, mkv.number(mkv.CUE_TIME, 3) + 2 * mkv.element(mkv.CUE_PLACE, mkv.number(mkv.CUE_TRACK, 1) + mkv.number(mkv.CUE_CLUSTER, 7))))
+    data = mkv.element(mkv.EBML, b"") + open_ended(mkv.SEGMENT, clusters + tail)
+    packets, cues = mkv.parsed(data)
+    assert [p.timestamp for p in packets] == list(range(5000)) and {data[p.start : p.start + p.size] for p in packets} == {b"ab"}
+    assert len(cues) == 2 and cues[0] == cues[1]
+
+
+def test_references_scales_and_frame_times():
+    track = mkv.element(mkv.TRACK, mkv.number(mkv.TRACK_NUMBER, 1) + mkv.number(mkv.FRAME_TIME, 250))
+    info = mkv.element(mkv.INFO, mkv.number(mkv.TIMESTAMP_SCALE, 1000))
+    plain = mkv.element(mkv.BLOCK, mkv.block(1, 2, [b"a", b"b", b"c"]))
+    groups = mkv.element(mkv.BLOCK_GROUP, plain) + mkv.element(mkv.BLOCK_GROUP, plain + mkv.number(mkv.REFERENCE, 1))
+    body = info + mkv.element(mkv.TRACKS, track) + mkv.element(mkv.CLUSTER, mkv.number(mkv.TIMESTAMP, 10) + groups)
+    packets, _ = mkv.parsed(mkv.element(mkv.EBML, b"") + mkv.element(mkv.SEGMENT, body))
+    assert [p.key for p in packets] == [True] * 3 + [False] * 3
+    assert [p.time for p in packets] == [12_000, 12_250, 12_500] * 2 and {p.timestamp for p in packets} == {12}
+
+
+@pytest.mark.parametrize("block", [b"", b"\x81", b"\x81\0", b"\x81\0\0", b"\x81\0\0\x02", b"\x81\0\0\x02\x05\xff\xff", b"\x81\0\0\x06\x03\x40", b"\x81\0\0\x04\x02abcd"])
+def test_damaged_blocks_are_format_errors(block):
+    """Cut in the head, in the sizes of a lace, and a lace that does not divide; another block follows each."""
+    body = mkv.element(mkv.SIMPLE_BLOCK, block) + mkv.element(mkv.SIMPLE_BLOCK, mkv.block(1, 0, [b"x" * 300]))
+    with pytest.raises(mkv.FormatError):
+        mkv.parsed(mkv.element(mkv.SEGMENT, mkv.element(mkv.CLUSTER, body)))
+
+
+def test_null_and_empty_files_have_nulls(spark):
+    ship(spark)
+    empty = mkv.element(mkv.EBML, b"") + mkv.element(mkv.SEGMENT, b"")
+    df = spark.createDataFrame([(1, 5, None), (2, 0, bytearray(empty))], mkv.MEDIA)
+    rows = {r["doc_id"]: r for r in mkv.payload_digests(df).collect()}
+    assert rows[1]["n_bytes"] == 5 and rows[1]["media_bytes"] is None and rows[1]["feature"] is None
+    assert rows[2]["payload_bytes"] == 0 and rows[2]["feature"] is None and rows[2]["media_bytes"] == len(empty)

@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -177,3 +178,33 @@ def test_repeated_and_null_ids_in_files(spark):
     path = scratch(spark, "huffman")
     got = sorted(((r["doc_id"], r["n_tokens"]) for r in huffman.read_ids(huffman.write_ids(tokens, path, 10, 2), path).collect()), key=str)
     assert got == [(1, 1), (1, 2), (None, 1)]
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\t", "\u00a0", " \n\t\u2003"])
+@pytest.mark.parametrize("tail", ["", "word", "7", "...", "\x1c", "\nend"])
+def test_runs_of_white_space_as_in_short_texts(monkeypatch, blank, tail):
+    """With a small bound the runs go to the pair merging by themselves, and give what the library gives for the whole."""
+    import re
+
+    import public_tokenizers
+
+    from skarn.llm import byte_bpe
+
+    bpe = byte_bpe.byte_bpe(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    text = "one  two" + blank * 40 + tail + "  x" + blank * 9 + "y" + blank * 30
+    whole = bpe.encoding.encode_ordinary(text)
+    monkeypatch.setattr(byte_bpe, "LONG", 8)
+    monkeypatch.setattr(byte_bpe, "BLANK", re.compile(r"[^\S\x1c-\x1f]{8,}"))
+    assert bpe.encode(text) == whole
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\t"])
+@pytest.mark.parametrize("n", [1_000_000, 5_000_000])
+def test_white_space_beyond_what_the_matcher_takes(blank, n):
+    import public_tokenizers
+
+    from skarn.llm import byte_bpe
+
+    bpe = byte_bpe.byte_bpe(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    text = "a" + blank * n + "b"
+    assert bpe.decode(bpe.encode(text)) == text.encode()
