@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,13 +73,36 @@ def stored(df: DataFrame) -> DataFrame:
     """Write a frame once to the shared folder and read it back.
 
     For narrow results of costly work that are read several times; they outlive lost executors.
+    Inside a block of `temporary` they are deleted at its end.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skarn-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _blocks:
+        _blocks[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that `stored` writes inside the block when it ends, also by an error.
+
+    Results must have been written or counted by then; blocks may be nested.
+    """
+    held: list[str] = []
+    _blocks.append(held)
+    try:
+        yield
+    finally:
+        _blocks.remove(held)
+        for name in held:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_blocks: list[list[str]] = []  # tables of the open blocks of `temporary`, the innermost last
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Deal rows to as many partitions as the caller asks for in `skarn.inputPartitions`; as they are without it.
 

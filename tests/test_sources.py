@@ -57,3 +57,23 @@ def test_spread_does_what_the_caller_asks(spark):
         assert files.spread(wide, "id").rdd.getNumPartitions() == 5
     finally:
         spark.conf.unset("skarn.inputPartitions")
+
+
+def test_stored_tables_end_with_their_block(spark):
+    import os
+
+    from skarn.sources import files
+
+    def folders():
+        return {f for f in os.listdir(files.shared_dir(spark).removeprefix("file://")) if f.startswith("skarn-")}
+
+    before = folders()
+    with files.temporary(spark):
+        outer = files.stored(spark.range(3))
+        with pytest.raises(RuntimeError), files.temporary(spark):
+            files.stored(spark.range(5))
+            raise RuntimeError
+        assert outer.count() == 3 and len(folders() - before) == 1
+    assert folders() == before
+    kept = files.stored(spark.range(2))
+    assert kept.count() == 2 and len(folders() - before) == 1
