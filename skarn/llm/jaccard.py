@@ -6,17 +6,22 @@ Level 0 deals sets to regions. A set enters one region for each of its rarest sh
 share at least one of (|x| - ceil(t |x|) + 1). Rarity is a count sketch over all texts, so wide-spread passages do not
 make regions unless a set has little else. Equal sets are one point with one name.
 
-Every further level joins the regions: some of a region's points are pivots (the most central one and some drawn by
+Level 1 takes the most central point of each region as its hub and holds all others against it. Most of these pairs only
+quote the same passage; sizes, the number of shared keys and parities of the sets show that (`_possible`, `_near`), and texts
+move for the rest alone. Regions of one hub go on as one, without it. Points that link with the same hub form a group:
+regions inside one group are settled, and of the others only points outside their settled group stay open.
+
+Regions that are left are joined pair by pair, in tiles. One that is too large for that goes through further levels: some of
+its points are pivots (the most central one and some drawn by
 hash), all others get their exact distance to them, and distances of at most r are links. Regions that share a pivot go on
 as one. Each point belongs to the Voronoi cell of its nearest pivot. By the triangle
 inequality a partner of a point in a cell lies no more than 2r further from that cell's pivot than from its own, so the
 boundary points inside this window are replicated into the cell, and points whose distance from the pivot differs by more
 than r from that of every open point of the cell are left out. A point is open in its cell unless it is linked to the
-pivot and no other pivot's cell could hold an unlinked partner, nor its own an unlinked one that was closed before. Cells are the regions of the next level; regions that have
-become small are joined pair by pair, in tiles. Pivots are compared with all points of their region and leave it, so the recursion
-ends. Only distances of candidate pairs are computed, each once a level, and copies of a text add no pair. Between levels
-points that link with the same hub form groups: regions inside one group are settled, and of the others only points outside
-their settled group stay open.
+pivot and no other pivot's cell could hold an unlinked partner, nor its own an unlinked one that was closed before. Cells are
+the regions of the next level. Pivots are compared with all points of their region and leave it, so the recursion
+ends. Only distances of candidate pairs are computed, each once a level, and copies of a text add no pair. Settled regions
+end between these levels as well.
 
 All steps are grouped aggregates and equi-joins over (region, point); a hot region is spread by adaptive execution, and
 nothing per document reaches the driver.
@@ -47,6 +52,8 @@ SHARE = 256  # open points for each pivot of a region, about
 CELLS = 22  # bits of a shingle that choose a cell of the count sketch
 BLOCKS = 64  # pieces of the sketch
 FILTER = 1 << 26  # bits of a membership filter
+BUCKETS = 1 << 10  # pieces in which keys meet, each a stretch of the filter
+HELD = 1 << 22  # keys that a task collects before it sends them
 SLACK = 1e-9
 
 
@@ -61,33 +68,23 @@ def _longs(sets: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-def _summed(parts: DataFrame, cells: int, dtype: str, union: bool) -> DataFrame:
-    """Add up (or unite) packed pieces of a table of fixed size; each task holds the blocks dealt to it, nothing more."""
-    size = cells // BLOCKS
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers with their lowest bytes first, then the next ones: small numbers leave little to store."""
+    return zlib.compress(values.view(np.uint8).reshape(len(values), -1).T.tobytes(), 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, packed in zip(batch.column("block").to_pylist(), batch.column("packed").to_pylist(), strict=True):
-                own = np.frombuffer(zlib.decompress(packed), dtype)
-                if block not in total:
-                    total[block] = np.zeros(size, np.uint8 if union else np.uint64)
-                total[block] = total[block] | own if union else total[block] + own
-        for block, own in total.items():
-            shown = own.tobytes() if union else _steps(own).tobytes()
-            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "packed": [zlib.compress(shown, 1)]})
 
-    return parts.repartition("block").mapInArrow(run, "block int, packed binary")
+def _from_planes(packed: bytes, dtype: str) -> np.ndarray:
+    raw = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(raw.T).view(dtype)[:, 0]
 
 
-def _steps(counts: np.ndarray) -> np.ndarray:
-    """Counts as half octaves, one byte each."""
-    return np.minimum(255, 2 * np.log2(counts.astype(np.float64) + 1)).astype(np.uint8)
+def _rows(blocks, packed: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"block": pa.array(blocks, pa.int32()), "packed": pa.array(packed, pa.binary())})
 
 
-def _blocks(table: np.ndarray) -> pa.RecordBatch:
-    pieces = [zlib.compress(p.tobytes(), 1) for p in np.split(table, BLOCKS)]
-    return pa.RecordBatch.from_pydict({"block": pa.array(range(BLOCKS), pa.int32()), "packed": pa.array(pieces, pa.binary())})
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
+    for batch in batches:
+        yield from zip(batch.column("block").to_pylist(), batch.column("packed").to_pylist(), strict=True)
 
 
 def _gathered(blocks: DataFrame, cells: int) -> np.ndarray:
@@ -108,25 +105,49 @@ def rarity(docs: DataFrame, text: str) -> np.ndarray:
             for rows in _slices(batch, text):
                 cells = np.concatenate([*shingle_sets(rows.column(text), SIZE), np.empty(0, np.uint64)])
                 np.add.at(total, (cells >> np.uint64(64 - CELLS)).astype(np.int64), np.uint32(1))
-        yield _blocks(total)
+        yield _rows(range(BLOCKS), [_planes(p) for p in np.split(total, BLOCKS)])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}  # the blocks dealt to a task, each of fixed size
+        for block, packed in _pieces(batches):
+            total[block] = total.get(block, np.uint64(0)) + _from_planes(packed, "<u4")
+        for block, own in total.items():
+            steps = np.minimum(255, 2 * np.log2(own.astype(np.float64) + 1)).astype(np.uint8)
+            yield _rows([block], [zlib.compress(steps.tobytes(), 1)])
 
-    return _gathered(_summed(docs.select(text).mapInArrow(run, "block int, packed binary"), 1 << CELLS, "<u4", False), 1 << CELLS)
+    parts = docs.select(text).mapInArrow(run, "block int, packed binary").repartition("block")
+    return _gathered(parts.mapInArrow(summed, "block int, packed binary"), 1 << CELLS)
 
 
 def _filter_of(values: DataFrame) -> np.ndarray:
     """Bits set at the longs of a one-column table: holds all of them and, as it fills up, some others."""
+    size = FILTER // BLOCKS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER, bool)
         for batch in batches:
-            bits[_bit(batch.column(0).to_numpy())] = True
-        yield _blocks(np.packbits(bits))
+            at = np.unique(_bit(batch.column(0).to_numpy())).astype("<u4")
+            cuts = np.searchsorted(at, np.arange(BLOCKS + 1) * size)
+            there = np.flatnonzero(np.diff(cuts))
+            yield _rows(there, [at[cuts[k] : cuts[k + 1]].tobytes() for k in there])
 
-    return _gathered(_summed(values.mapInArrow(run, "block int, packed binary"), FILTER // 8, "u1", True), FILTER // 8)
+    def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for block, packed in _pieces(batches):
+            own = total.setdefault(block, np.zeros(size, bool))
+            own[np.frombuffer(packed, "<u4") - block * size] = True
+        for block, own in total.items():
+            yield _rows([block], [zlib.compress(np.packbits(own).tobytes(), 1)])
+
+    parts = values.mapInArrow(run, "block int, packed binary").repartition("block")
+    return _gathered(parts.mapInArrow(united, "block int, packed binary"), FILTER // 8)
+
+
+def _spread(values: np.ndarray) -> np.ndarray:
+    return values.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def _bit(values: np.ndarray) -> np.ndarray:
-    return ((values.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(38)).astype(np.int64)
+    return (_spread(values) >> np.uint64(38)).astype(np.int64)
 
 
 def _has(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -134,71 +155,122 @@ def _has(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
-def signatures(docs: DataFrame, id_column: str, text: str, codes) -> DataFrame:
-    """(doc_id, n, point, keys) of every row: set size, name of the set (null if empty), its rarest shingles."""
+def _rarest(own: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a set in one order for all sets, by rarity and hash: two linked sets have one in common."""
+    n = len(own)
+    # the smaller of two linked sets keeps at least 4/5 of the larger in common
+    take = n - (n * (PARTS - 1) + PARTS - 1) // PARTS + 1 if n else 0
+    return own[np.argsort(code[(own >> np.uint64(64 - CELLS)).astype(np.int64)], kind="stable")[:take]]
+
+
+def _sent(keys: list[np.ndarray]) -> pa.RecordBatch:
+    """Keys cut to 40 bits, sorted into buckets by the first 10, as differences: less than three bytes a key."""
+    low = np.sort(_spread(np.concatenate(keys))) >> np.uint64(24)
+    cuts = np.searchsorted(low, np.arange(BUCKETS + 1, dtype=np.uint64) << np.uint64(30))
+    rest = (low & np.uint64((1 << 30) - 1)).astype("<u4")
+    there = np.flatnonzero(np.diff(cuts))
+    return _rows(there, [_planes(np.diff(rest[cuts[k] : cuts[k + 1]], prepend=np.uint32(0))) for k in there])
+
+
+def _twice(bucket: int, sent: list[bytes]) -> pa.RecordBatch:
+    """The stretch of the filter with the keys that came more than once to a bucket."""
+    keys = np.sort(np.concatenate([np.cumsum(_from_planes(p, "<u4"), dtype=np.uint32) for p in sent]))
+    bits = np.zeros(FILTER // BUCKETS, bool)
+    bits[keys[1:][keys[1:] == keys[:-1]] >> np.uint32(14)] = True  # 26 bits of a key choose its bit, 10 its bucket
+    return _rows([bucket], [zlib.compress(np.packbits(bits).tobytes(), 1)])
+
+
+def shared_keys(docs: DataFrame, text: str, codes) -> np.ndarray:
+    """A filter that holds every key of two different sets, and others, those of texts with copies among them.
+
+    Only shortened keys move; one that two sets share comes twice to its bucket.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, names, held = [], set(), 0
+        for batch in batches:
+            for rows in _slices(batch, text):
+                for own in shingle_sets(rows.column(text), SIZE):
+                    name = fingerprint(own)
+                    if len(own) and name not in names:
+                        names.add(name)
+                        keys.append(_rarest(own, codes.value))
+                        held += len(keys[-1])
+                if held > HELD:
+                    yield _sent(keys)
+                    keys, names, held = [], set(), 0
+        if keys:
+            yield _sent(keys)
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sent = 0, []
+        for bucket, packed in _pieces(batches):
+            if sent and bucket != at:
+                yield _twice(at, sent)
+                sent = []
+            at = bucket
+            sent.append(packed)
+        if sent:
+            yield _twice(at, sent)
+
+    parts = docs.select(text).mapInArrow(run, "block int, packed binary").repartition("block").sortWithinPartitions("block")
+    return _gathered(parts.mapInArrow(met, "block int, packed binary"), FILTER // 8)
+
+
+def signatures(docs: DataFrame, id_column: str, text: str, codes, shared) -> DataFrame:
+    """(doc_id, n, point, keys) of every row: set size, name of the set (null if empty), its rarest shingles that may be shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = codes.value
         for batch in batches:
             for rows in _slices(batch, text):
-                sets, keys = shingle_sets(rows.column(text), SIZE), []
-                for own in sets:
-                    n = len(own)
-                    # the smaller of two linked sets keeps at least 4/5 of the larger in common
-                    take = n - (n * (PARTS - 1) + PARTS - 1) // PARTS + 1 if n else 0
-                    rank = np.argsort(code[(own >> np.uint64(64 - CELLS)).astype(np.int64)], kind="stable")
-                    keys.append(own[rank[:take]])
+                sets = shingle_sets(rows.column(text), SIZE)
+                keys = [_rarest(own, codes.value) for own in sets]
                 sizes = np.array([len(s) for s in sets], np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         rows.column(id_column).cast(pa.int64()),
                         pa.array(sizes),
                         pa.array([fingerprint(s) for s in sets], pa.int64(), mask=sizes == 0),
-                        _longs(keys),
+                        _longs([k[_has(shared.value, k)] for k in keys]),
                     ],
                     ["doc_id", "n", "point", "keys"],
                 )
+        release()
 
     return docs.select(id_column, text).mapInArrow(run, "doc_id long, n long, point long, keys array<long>")
 
 
-def first_regions(spark: SparkSession, points: DataFrame) -> DataFrame:
-    """(region, point, open, degree): level 0, only regions of two points or more, and of regions with equal points one."""
-    keyed = points.where("point is not null").select("point", F.explode("keys").alias("region"))
-    shared = stored(
-        keyed.groupBy("region")
-        .agg(F.min("point").alias("a"), F.max("point").alias("b"))
-        .where("a <> b")
-        .select("region"),
-        "shared-keys",
+def first_regions(spark: SparkSession, points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Level 0: (point, doc_id) of each set, and (region, point, n, c, degree).
+
+    Only regions of two points or more, and of regions with equal points one: c points, each with its set's size and the
+    number of its keys that other sets have. Points whose rows all lack an id link with nothing and are left out.
+    """
+    # any row of a point will do
+    sets = stored(points.where("point is not null and doc_id is not null and size(keys) > 0").dropDuplicates(["point"]), "sets")
+    alike = (
+        sets.select("point", F.explode("keys").alias("region"))
+        .groupBy("region")
+        .agg(F.count("*").alias("c"), F.expr("bit_xor(xxhash64(point))").alias("x"), F.expr("bit_xor(xxhash64(point, 1))").alias("y"))
+        .where("c > 1")
     )
-    bits = spark.sparkContext.broadcast(_filter_of(shared))
+    one = stored(alike.groupBy("c", "x", "y").agg(F.min("region").alias("region"), F.count("*").alias("w")).select("region", "c", "w"), "regions")
+    bits = spark.sparkContext.broadcast(_filter_of(one.select("region")))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("keys")
             flat = keys.flatten().to_numpy()
             there = _has(bits.value, flat)
-            rows = np.repeat(batch.column("point").to_numpy(), pc.list_value_length(keys).to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(flat[there]), pa.array(rows[there])], ["region", "point"])
-
-    members = (
-        points.where("point is not null").select("point", "keys")
-        .mapInArrow(kept, "region long, point long")
-        .distinct()
-        .join(shared, "region")
-    )
-    members = stored(members, "members")
+            at = np.repeat(np.arange(batch.num_rows), pc.list_value_length(keys).to_numpy())[there]
+            own = batch.select(["point", "n"]).take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([pa.array(flat[there]), *own.columns], ["region", "point", "n"])
+
+    members = stored(sets.select("point", "n", "keys").mapInArrow(kept, "region long, point long, n long").join(one, "region"), "members")
     bits.destroy()
-    alike = members.groupBy("region").agg(
-        F.count("*").alias("c"), F.min("point").alias("a"), F.max("point").alias("b"),
-        F.sum(F.xxhash64("point").cast("decimal(38,0)")).alias("s"), F.expr("bit_xor(point)").alias("x"),
-    )
-    one = stored(alike.groupBy("c", "a", "b", "s", "x").agg(F.min("region").alias("region")).select("region"), "regions")
-    members = members.join(one, "region")
     # in how many regions a point is: the original of many edited copies shares more shingles with them than they do
-    degree = stored(members.groupBy("point").agg(F.count("*").alias("degree")), "degrees")
-    return stored(members.join(degree, "point").select("region", "point", F.lit(True).alias("open"), "degree"), "members")
+    degree = members.groupBy("point").agg(F.sum("w").alias("degree"))
+    return sets.select("point", "doc_id"), stored(members.join(degree, "point").select("region", "point", "n", "c", "degree"), "members")
 
 
 def _kept(table: DataFrame, column: str, wanted: DataFrame, inverse: bool = False) -> DataFrame:
@@ -282,6 +354,51 @@ def distances(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return out
 
 
+def _near(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets may link by their parities."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = ([np.frombuffer(b, np.uint64) for b in batch.column(c).to_pylist()] for c in ("ba", "bb"))
+            differ = np.array([int(apart(x, [y])[0]) for x, y in zip(one, two, strict=True)], np.int64)
+            may = (2 * PARTS - 1) * differ <= batch.column("n").to_numpy()
+            yield batch.select(["a", "b"]).filter(pa.array(may))
+
+    shapes = texts.select("point", "n", "bits").dropDuplicates(["point"])
+    left = shapes.select(F.col("point").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+    right = shapes.select(F.col("point").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "ba", "bb")
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _possible(n: str, degree: str, other_n: str, other_degree: str):
+    """Whether two sets may link by their sizes and by how many of their keys other sets share.
+
+    All they have in common up to the end of the keys that end first is among the keys of both; after it that set has no
+    more than ceil(t n) - 1 shingles.
+    """
+    both, larger = F.col(n) + F.col(other_n), F.greatest(n, other_n)
+    most = F.least(degree, other_degree) + F.ceil(larger * (PARTS - 1) / PARTS) - 1
+    sized = (2 * PARTS - 1) * F.abs(F.col(n) - F.col(other_n)) <= both
+    return sized & ((2 * PARTS - 1) * most >= (PARTS - 1) * both)
+
+
+def to_hubs(members: DataFrame) -> DataFrame:
+    """(hub, hub_degree, point, degree, c, possible): each point with the most central point of each of its regions.
+
+    c: points of the largest region that the two share.
+    """
+    hubs = members.groupBy("region").agg(F.max(F.struct("degree", "point", "n")).alias("hub"))
+    paired = members.join(hubs, "region").where("point <> hub.point")
+    return (
+        paired.select(F.col("hub.point").alias("hub"), F.col("hub.degree").alias("hub_degree"), F.col("hub.n").alias("hub_n"), "point", "degree", "n", "c")
+        .groupBy("hub", "hub_degree", "hub_n", "point", "degree", "n")
+        .agg(F.max("c").alias("c"))
+        .withColumn("possible", _possible("n", "degree", "hub_n", "hub_degree"))
+        .drop("hub_n", "n")
+    )
+
+
 def _common(x: np.ndarray, y: np.ndarray) -> int:
     if len(x) > len(y):
         x, y = y, x
@@ -363,8 +480,11 @@ def joined_pairwise(small: DataFrame, texts: DataFrame) -> DataFrame:
     return links
 
 
-def next_level(members: DataFrame, texts: DataFrame, level: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Join the regions of one level: (links found, a point that each point links with, regions of the next level or None)."""
+def next_level(members: DataFrame, texts: DataFrame, level: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Join the regions of one level: (links found, a point that each point links with, regions of the next level or None).
+
+    Where all regions are small, tiles do the whole level and nothing is left.
+    """
     counted = stored(
         members.groupBy("region").agg(
             F.expr("count_if(open)").alias("n"), F.count("*").alias("m"), F.expr("max(if(open, struct(degree, point), null)).point").alias("central")
@@ -372,19 +492,21 @@ def next_level(members: DataFrame, texts: DataFrame, level: int) -> tuple[DataFr
         "counted",
     )
     sized = members.join(counted, "region")
-    # level 1 compares every point with one pivot; regions of copies end there
-    small = F.lit(level > 1) & (F.col("n") * F.col("m") <= LEAF)
-    share = F.least(F.col("n") / SHARE, F.lit(float(PIVOTS))) / F.col("n") if level > 1 else F.lit(0.0)
+    small = F.col("n") * F.col("m") <= LEAF
+    share = F.least(F.col("n") / SHARE, F.lit(float(PIVOTS))) / F.col("n")
     drawn = F.pmod(F.xxhash64("point", F.lit(level)), F.lit(1 << 20)) < share * (1 << 20)
     pivots = stored(
         sized.where(F.col("open") & ~small & ((F.col("point") == F.col("central")) | drawn)).select("region", F.col("point").alias("pivot")),
         "pivots",
     )
+    tiled = joined_pairwise(sized.where(small), texts)
+    if pivots.isEmpty():
+        drop_stored(counted, pivots, members)
+        return tiled, None, None
     to_pivot = members.join(pivots, "region")
     found = distances(_ordered(to_pivot, "point", "pivot"), texts)
     links = found.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    tiled = joined_pairwise(sized.where(small), texts) if level > 1 else None
-    links = links if tiled is None else links.union(tiled)
+    links = links.union(tiled)
     rest = to_pivot.join(pivots.select("region", F.col("pivot").alias("point")), ["region", "point"], "left_anti")
     rest = rest.withColumn("a", F.least("point", "pivot")).withColumn("b", F.greatest("point", "pivot"))
     rest = stored(rest.join(found, ["a", "b"]).select("region", "point", "open", "degree", "pivot", "d", "linked"), "to-pivots")
@@ -413,7 +535,7 @@ def next_level(members: DataFrame, texts: DataFrame, level: int) -> tuple[DataFr
         "members",
     )
     hubs = rest.where("linked").select(F.col("point").alias("u"), F.col("pivot").alias("v"))
-    hubs = stored((hubs if tiled is None else hubs.union(tiled)).groupBy("u").agg(F.min("v").alias("v")), "hubs")
+    hubs = stored(hubs.union(tiled).groupBy("u").agg(F.min("v").alias("v")), "hubs")
     drop_stored(counted, pivots, rest, cells, ranges, members)
     return links, hubs, (None if after.isEmpty() else after)
 
@@ -440,9 +562,7 @@ def unsettled(members: DataFrame, hubs: DataFrame) -> DataFrame | None:
         )
         .where("a < b")
     )
-    regions = stored(regions, "regions")
-    one = regions.groupBy("c", "a", "b", "s", "x").agg(F.min("region").alias("region")).select("region")
-    regions = regions.join(one, "region")
+    regions = stored(regions.groupBy("c", "a", "b", "ca", "cb", "s", "x").agg(F.min("region").alias("region")), "regions")
     sizes = placed.join(regions.where("ca is null").select("region"), "region").groupBy("region", "root").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("region").agg(F.max(F.struct("n", "root")).alias("top")).select("region", F.col("top.root").alias("largest"))
     closing = regions.join(largest, "region", "left").select(
@@ -452,29 +572,37 @@ def unsettled(members: DataFrame, hubs: DataFrame) -> DataFrame | None:
         "region", "point", (F.col("open") & ~F.coalesce(F.col("root") == F.col("closing"), F.lit(False))).alias("open"), "degree"
     )
     after = stored(after, "members")
-    drop_stored(members, placed)
+    drop_stored(placed, regions)
     return None if after.isEmpty() else after
 
 
 def linked_points(spark: SparkSession, docs: DataFrame, id_column: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, point) of every row, and (u, v): links that connect all points that links connect."""
     codes = spark.sparkContext.broadcast(rarity(docs, text))
-    points = stored(signatures(docs, id_column, text, codes), "signatures")
+    shared = spark.sparkContext.broadcast(shared_keys(docs, text, codes))
+    points = stored(signatures(docs, id_column, text, codes, shared), "signatures")
     codes.destroy()
-    members = first_regions(spark, points)
-    wanted = members.select("point").distinct().join(points.where("doc_id is not null").groupBy("point").agg(F.min("doc_id").alias("doc_id")), "point")
-    # points whose rows all lack an id are not among them and link with nothing
-    wanted = stored(wanted, "wanted")
-    texts = point_texts(docs, id_column, text, wanted)
-    members = stored(members.join(wanted.select("point"), "point", "left_semi").select("region", "point", "open", "degree"), "members")
-    links, hubs, level = None, None, 0
+    shared.destroy()
+    ids, members = first_regions(spark, points)
+    pairs = stored(to_hubs(members), "to-hubs")
+    # a region of two is settled by its pair
+    needed = pairs.where("possible or c > 2").select("point").union(pairs.where("possible").select("hub")).distinct()
+    texts = point_texts(docs, id_column, text, stored(needed.join(ids, "point"), "wanted"))
+    ordered = pairs.select(F.least("hub", "point").alias("a"), F.greatest("hub", "point").alias("b"), "hub", "hub_degree", "point", "possible")
+    found = distances(_near(ordered.where("possible").select("a", "b").distinct(), texts), texts)
+    links = found.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    groups = ordered.join(found.where("linked").select("a", "b"), ["a", "b"]).groupBy(F.col("point").alias("u"))
+    hubs = stored(groups.agg(F.max(F.struct("hub_degree", "hub")).alias("top")).select("u", F.col("top.hub").alias("v")), "hubs")
+    rest = pairs.where("c > 2").select(F.col("hub").alias("region"), "point", F.lit(True).alias("open"), "degree")
+    members, level = unsettled(rest, hubs), 1
     while members is not None:
         level += 1
         own, near, members = next_level(members, texts, level)
-        links = own if links is None else links.union(own)
+        links = links.union(own)
         if members is not None:
-            hubs = near if hubs is None else stored(hubs.union(near).groupBy("u").agg(F.min("v").alias("v")), "hubs")
-            members = unsettled(members, hubs)
+            hubs = stored(hubs.union(near).groupBy("u").agg(F.min("v").alias("v")), "hubs")
+            before, members = members, unsettled(members, hubs)
+            drop_stored(before)
     return points.select("doc_id", "n", "point"), links
 
 

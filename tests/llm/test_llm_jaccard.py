@@ -178,3 +178,45 @@ def test_parities_never_exclude_a_link():
             if k == j:
                 assert bound[j] == 0
     assert apart(bits[6], [bits[8]])[0] > (len(sets[6]) + len(sets[8])) / 9  # and they do exclude
+
+
+def test_texts_that_share_a_passage_are_not_compared(spark, monkeypatch):
+    """Sizes, shared keys and parities tell them apart; whole texts move for copies only."""
+    seen, real = [], jaccard.distances
+
+    def counted(pairs, texts):
+        seen.append(pairs.count())
+        return real(pairs, texts)
+
+    monkeypatch.setattr(jaccard, "distances", counted)
+    passage = " ".join(f"p{j}" for j in range(40))
+    own = [" ".join(f"d{k}w{j}" for j in range(60)) for k in range(14)]
+    rows = [(k, f"{passage} {words}" if k % 2 else f"{words} {passage}") for k, words in enumerate(own)]
+    rows += [(20, rows[0][1] + " and more"), (21, rows[1][1])]
+    assert ours(spark, rows) == brute(rows)
+    assert sum(seen) == 1
+
+
+def test_keys_of_two_sets_are_in_the_filter():
+    """Shortened keys that come twice, from one task or two, and no others but a few."""
+    import zlib
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(0, 1 << 63, 30_000).astype(np.uint64))
+    both, alone = keys[:10_000], keys[10_000:]
+    sent = {}
+    for batch in (jaccard._sent([both[:6000], alone[:9000], both[:3000]]), jaccard._sent([both[3000:], alone[9000:]])):
+        for block, packed in jaccard._pieces(iter([batch])):
+            sent.setdefault(block, []).append(packed)
+    again = jaccard._sent([both[6000:]])
+    for block, packed in jaccard._pieces(iter([again])):
+        sent.setdefault(block, []).append(packed)
+    size = jaccard.FILTER // jaccard.BUCKETS // 8
+    bits = np.zeros(jaccard.FILTER // 8, np.uint8)
+    for block, pieces in sent.items():
+        ((_, packed),) = jaccard._pieces(iter([jaccard._twice(block, pieces)]))
+        bits[block * size : (block + 1) * size] = np.frombuffer(zlib.decompress(packed), np.uint8)
+    assert jaccard._has(bits, both).all()
+    assert jaccard._has(bits, alone).mean() < 0.01
