@@ -3,12 +3,15 @@
 1 - Jaccard similarity is a metric, and the join looks for pairs within a radius r of each other.
 
 Level 0 deals sets to regions. A set enters one region for each of its rarest shingles, as many as two sets within r must
-share at least one of (|x| - ceil(t |x|) + 1). Rarity is a count sketch over all texts, so wide-spread passages do not
-make regions unless a set has little else. Equal sets are one point with one name.
+share at least one of (|x| - ceil(t |x|) + 1). Shingles of wide-spread passages come last: a count sketch over all texts
+shows them, by how far their cells stand above an ordinary one. All others are ordered by how often their words occur, for
+five frequent words meet by chance, the more so the more texts there are, and rare ones do not. Both measures keep their
+meaning however large the input is. Equal sets are one point with one name.
 
 Level 1 takes the most central point of each region as its hub and holds all others against it. Most of these pairs only
 quote the same passage; sizes, the number of shared keys and parities of the sets show that (`_possible`, `_near`), and texts
-move for the rest alone. Regions of one hub go on as one, without it. Points that link with the same hub form a group:
+move for the rest alone. Points to which sizes and shared keys allow no partner in their region but the hub leave it
+(`with_partners`). Regions of one hub go on as one, without it. Points that link with the same hub form a group:
 regions inside one group are settled, and of the others only points outside their settled group stay open.
 
 Regions that are left are joined pair by pair, in tiles. One that is too large for that goes through further levels: some of
@@ -40,18 +43,22 @@ from pyspark.sql import functions as F
 
 from skarn.llm._shared import drop_stored, release, stored, text_slices
 from skarn.llm.components import connected, forest
-from skarn.llm.shingles import apart, fingerprint, parity, shingle_sets
+from skarn.llm.shingles import apart, fingerprint, parity, sets_of_words, shingle_sets, word_hashes
 
 PARTS = 5  # a similarity of at least (PARTS - 1) / PARTS links: 0.8
 SIZE = 5  # words of a shingle
 RADIUS = 1 / PARTS
 LEAF = 1 << 20  # comparisons up to which a region is joined pair by pair
 TILE = (64, 128)  # open points and points that meet in one task at a time
+SIDE = 1 << 11  # points of a region, about, whose sizes and shared keys meet those of as many in one group
+NEAREST = 16  # points next in size that are tried first
 PIVOTS = 32  # pivots of a region, about, at most
 SHARE = 256  # open points for each pivot of a region, about
 CELLS = 22  # bits of a shingle that choose a cell of the count sketch
-BLOCKS = 64  # pieces of the sketch
-FILTER = 1 << 26  # bits of a membership filter
+WORDS = 20  # bits of a word that choose a cell of the words' counts
+BLOCKS = 64  # pieces of the sketch, each of as many cells as the words' counts are cut into
+FILTER = 1 << 28  # bits of the membership filter of shared keys
+WANTED = 1 << 26  # bits of the other ones
 BUCKETS = 1 << 10  # pieces in which keys meet, each a stretch of the filter
 HELD = 1 << 22  # keys that a task collects before it sends them
 SLACK = 1e-9
@@ -97,35 +104,45 @@ def _gathered(blocks: DataFrame, cells: int) -> np.ndarray:
 
 
 def rarity(docs: DataFrame, text: str) -> np.ndarray:
-    """Half octaves of how many texts hold a shingle of each cell: a count sketch over all texts."""
+    """What orders shingles: for cells of them, half octaves above the middle cell; for cells of words, quarter octaves of their number.
+
+    Counts over all texts. An ordinary cell, full of shingles of few texts each, is 0.
+    """
+    piece = 1 << CELLS >> BLOCKS.bit_length() - 1
+    cells = (1 << CELLS) + (1 << WORDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << CELLS, np.uint32)
+        total = np.zeros(cells, np.uint32)
         for batch in batches:
             for rows in _slices(batch, text):
-                cells = np.concatenate([*shingle_sets(rows.column(text), SIZE), np.empty(0, np.uint64)])
-                np.add.at(total, (cells >> np.uint64(64 - CELLS)).astype(np.int64), np.uint32(1))
-        yield _rows(range(BLOCKS), [_planes(p) for p in np.split(total, BLOCKS)])
+                words, bounds = word_hashes(rows.column(text))
+                own = np.concatenate([*(s for s, _ in sets_of_words(words, bounds, SIZE)), np.empty(0, np.uint64)])
+                np.add.at(total, (own >> np.uint64(64 - CELLS)).astype(np.int64), np.uint32(1))
+                np.add.at(total, (1 << CELLS) + (words >> np.uint64(64 - WORDS)).astype(np.int64), np.uint32(1))
+        yield _rows(range(cells // piece), [_planes(p) for p in np.split(total, cells // piece)])
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}  # the blocks dealt to a task, each of fixed size
         for block, packed in _pieces(batches):
             total[block] = total.get(block, np.uint64(0)) + _from_planes(packed, "<u4")
         for block, own in total.items():
-            steps = np.minimum(255, 2 * np.log2(own.astype(np.float64) + 1)).astype(np.uint8)
+            steps = np.minimum(255, 8 * np.log2(own.astype(np.float64) + 1)).astype(np.uint8)
             yield _rows([block], [zlib.compress(steps.tobytes(), 1)])
 
     parts = docs.select(text).mapInArrow(run, "block int, packed binary").repartition("block")
-    return _gathered(parts.mapInArrow(summed, "block int, packed binary"), 1 << CELLS)
+    steps = _gathered(parts.mapInArrow(summed, "block int, packed binary"), cells)
+    shingles, words = steps[: 1 << CELLS], steps[1 << CELLS :]
+    middle = np.uint8(np.median(shingles))
+    return np.concatenate([(np.maximum(shingles, middle) - middle) // 4, words // 2])
 
 
 def _filter_of(values: DataFrame) -> np.ndarray:
     """Bits set at the longs of a one-column table: holds all of them and, as it fills up, some others."""
-    size = FILTER // BLOCKS
+    size = WANTED // BLOCKS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.unique(_bit(batch.column(0).to_numpy())).astype("<u4")
+            at = np.unique(_bit(batch.column(0).to_numpy(), WANTED)).astype("<u4")
             cuts = np.searchsorted(at, np.arange(BLOCKS + 1) * size)
             there = np.flatnonzero(np.diff(cuts))
             yield _rows(there, [at[cuts[k] : cuts[k + 1]].tobytes() for k in there])
@@ -139,28 +156,29 @@ def _filter_of(values: DataFrame) -> np.ndarray:
             yield _rows([block], [zlib.compress(np.packbits(own).tobytes(), 1)])
 
     parts = values.mapInArrow(run, "block int, packed binary").repartition("block")
-    return _gathered(parts.mapInArrow(united, "block int, packed binary"), FILTER // 8)
+    return _gathered(parts.mapInArrow(united, "block int, packed binary"), WANTED // 8)
 
 
 def _spread(values: np.ndarray) -> np.ndarray:
     return values.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def _bit(values: np.ndarray) -> np.ndarray:
-    return (_spread(values) >> np.uint64(38)).astype(np.int64)
+def _bit(values: np.ndarray, size: int) -> np.ndarray:
+    return (_spread(values) >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
 
 def _has(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    at = _bit(values)
+    at = _bit(values, 8 * len(bits))
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
-def _rarest(own: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """The rarest shingles of a set in one order for all sets, by rarity and hash: two linked sets have one in common."""
+def _rarest(own: np.ndarray, words: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a set in one order for all sets, by `rarity` and hash: two linked sets have one in common."""
     n = len(own)
     # the smaller of two linked sets keeps at least 4/5 of the larger in common
     take = n - (n * (PARTS - 1) + PARTS - 1) // PARTS + 1 if n else 0
-    return own[np.argsort(code[(own >> np.uint64(64 - CELLS)).astype(np.int64)], kind="stable")[:take]]
+    above = code[(own >> np.uint64(64 - CELLS)).astype(np.int64)].astype(np.uint16)
+    return own[np.argsort((above << np.uint16(10)) + words, kind="stable")[:take]]
 
 
 def _sent(keys: list[np.ndarray]) -> pa.RecordBatch:
@@ -176,31 +194,28 @@ def _twice(bucket: int, sent: list[bytes]) -> pa.RecordBatch:
     """The stretch of the filter with the keys that came more than once to a bucket."""
     keys = np.sort(np.concatenate([np.cumsum(_from_planes(p, "<u4"), dtype=np.uint32) for p in sent]))
     bits = np.zeros(FILTER // BUCKETS, bool)
-    bits[keys[1:][keys[1:] == keys[:-1]] >> np.uint32(14)] = True  # 26 bits of a key choose its bit, 10 its bucket
+    # 28 bits of a key choose its bit, 10 of them its bucket
+    bits[keys[1:][keys[1:] == keys[:-1]] >> np.uint32(41 - FILTER.bit_length())] = True
     return _rows([bucket], [zlib.compress(np.packbits(bits).tobytes(), 1)])
 
 
-def shared_keys(docs: DataFrame, text: str, codes) -> np.ndarray:
-    """A filter that holds every key of two different sets, and others, those of texts with copies among them.
+def shared_keys(sets: DataFrame) -> np.ndarray:
+    """A filter that holds every key of two rows of `sets`, and few others.
 
     Only shortened keys move; one that two sets share comes twice to its bucket.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, names, held = [], set(), 0
+        keys, held = [], 0
         for batch in batches:
-            for rows in _slices(batch, text):
-                for own in shingle_sets(rows.column(text), SIZE):
-                    name = fingerprint(own)
-                    if len(own) and name not in names:
-                        names.add(name)
-                        keys.append(_rarest(own, codes.value))
-                        held += len(keys[-1])
-                if held > HELD:
-                    yield _sent(keys)
-                    keys, names, held = [], set(), 0
-        if keys:
+            keys.append(batch.column("keys").flatten().to_numpy().copy())
+            held += len(keys[-1])
+            if held > HELD:
+                yield _sent(keys)
+                keys, held = [], 0
+        if held:
             yield _sent(keys)
+        release()
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, sent = 0, []
@@ -213,25 +228,27 @@ def shared_keys(docs: DataFrame, text: str, codes) -> np.ndarray:
         if sent:
             yield _twice(at, sent)
 
-    parts = docs.select(text).mapInArrow(run, "block int, packed binary").repartition("block").sortWithinPartitions("block")
+    parts = sets.select("keys").mapInArrow(run, "block int, packed binary").repartition("block").sortWithinPartitions("block")
     return _gathered(parts.mapInArrow(met, "block int, packed binary"), FILTER // 8)
 
 
-def signatures(docs: DataFrame, id_column: str, text: str, codes, shared) -> DataFrame:
-    """(doc_id, n, point, keys) of every row: set size, name of the set (null if empty), its rarest shingles that may be shared."""
+def signatures(docs: DataFrame, id_column: str, text: str, codes) -> DataFrame:
+    """(doc_id, n, point, keys) of every row: set size, name of the set (null if empty), its rarest shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above, frequent = codes.value[: 1 << CELLS], codes.value[1 << CELLS :]
         for batch in batches:
             for rows in _slices(batch, text):
-                sets = shingle_sets(rows.column(text), SIZE)
-                keys = [_rarest(own, codes.value) for own in sets]
-                sizes = np.array([len(s) for s in sets], np.int64)
+                words, bounds = word_hashes(rows.column(text))
+                weights = frequent[(words >> np.uint64(64 - WORDS)).astype(np.int64)]
+                sets = [*sets_of_words(words, bounds, SIZE, weights)]
+                sizes = np.array([len(s) for s, _ in sets], np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         rows.column(id_column).cast(pa.int64()),
                         pa.array(sizes),
-                        pa.array([fingerprint(s) for s in sets], pa.int64(), mask=sizes == 0),
-                        _longs([k[_has(shared.value, k)] for k in keys]),
+                        pa.array([fingerprint(s) for s, _ in sets], pa.int64(), mask=sizes == 0),
+                        _longs([_rarest(s, w, above) for s, w in sets]),
                     ],
                     ["doc_id", "n", "point", "keys"],
                 )
@@ -240,14 +257,40 @@ def signatures(docs: DataFrame, id_column: str, text: str, codes, shared) -> Dat
     return docs.select(id_column, text).mapInArrow(run, "doc_id long, n long, point long, keys array<long>")
 
 
-def first_regions(spark: SparkSession, points: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Level 0: (point, doc_id) of each set, and (region, point, n, c, degree).
+def distinct_sets(spark: SparkSession, points: DataFrame) -> DataFrame:
+    """(doc_id, n, point, keys): any one row of each set that has a row with an id, with those of its keys that may be shared.
+
+    Only rows that may have a copy, by a filter of fixed size, move.
+    """
+    named = points.where("point is not null and doc_id is not null")
+    copied = stored(named.groupBy("point").agg(F.count("*").alias("c")).where("c > 1").select("point"), "copied")
+    bits = spark.sparkContext.broadcast(_filter_of(copied))
+    single = _sieved(named, "point", bits, inverse=True).union(_sieved(named, "point", bits).dropDuplicates(["point"]))
+    shared = spark.sparkContext.broadcast(shared_keys(single))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("keys")
+            flat = keys.flatten().to_numpy()
+            may = _has(shared.value, flat)
+            ends = np.concatenate(([0], np.cumsum(may)))[np.cumsum(np.concatenate(([0], pc.list_value_length(keys).to_numpy())))]
+            left = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat[may]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], left], ["doc_id", "n", "point", "keys"]).filter(pa.array(np.diff(ends) > 0))
+        release()
+
+    sets = stored(single.mapInArrow(run, points.schema), "sets")
+    bits.destroy()
+    shared.destroy()
+    drop_stored(copied)
+    return sets
+
+
+def first_regions(spark: SparkSession, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Level 0 over `distinct_sets`: (point, doc_id) of each set, and (region, point, n, c, degree).
 
     Only regions of two points or more, and of regions with equal points one: c points, each with its set's size and the
     number of its keys that other sets have. Points whose rows all lack an id link with nothing and are left out.
     """
-    # any row of a point will do
-    sets = stored(points.where("point is not null and doc_id is not null and size(keys) > 0").dropDuplicates(["point"]), "sets")
     alike = (
         sets.select("point", F.explode("keys").alias("region"))
         .groupBy("region")
@@ -273,12 +316,8 @@ def first_regions(spark: SparkSession, points: DataFrame) -> tuple[DataFrame, Da
     return sets.select("point", "doc_id"), stored(members.join(degree, "point").select("region", "point", "n", "c", "degree"), "members")
 
 
-def _kept(table: DataFrame, column: str, wanted: DataFrame, inverse: bool = False) -> DataFrame:
-    """Rows of a table that may have a value of the one-column table `wanted` of longs: all that have, and few others.
-
-    `inverse`: the rows that surely have none of them, those without a value included.
-    """
-    bits = table.sparkSession.sparkContext.broadcast(_filter_of(wanted))
+def _sieved(table: DataFrame, column: str, bits, inverse: bool = False) -> DataFrame:
+    """Rows of a table whose value is in a broadcast filter, or those whose value is not, the ones without a value included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,7 +326,16 @@ def _kept(table: DataFrame, column: str, wanted: DataFrame, inverse: bool = Fals
             may &= pc.is_valid(values).to_numpy(zero_copy_only=False)
             yield batch.filter(pa.array(~may if inverse else may))
 
-    out = table.mapInArrow(run, table.schema)
+    return table.mapInArrow(run, table.schema)
+
+
+def _kept(table: DataFrame, column: str, wanted: DataFrame, inverse: bool = False) -> DataFrame:
+    """Rows of a table that may have a value of the one-column table `wanted` of longs: all that have, and few others.
+
+    `inverse`: the rows that surely have none of them, those without a value included.
+    """
+    bits = table.sparkSession.sparkContext.broadcast(_filter_of(wanted))
+    out = _sieved(table, column, bits, inverse)
     out.held = bits  # to be destroyed when the rows have been used
     return out
 
@@ -383,20 +431,89 @@ def _possible(n: str, degree: str, other_n: str, other_degree: str):
     return sized & ((2 * PARTS - 1) * most >= (PARTS - 1) * both)
 
 
-def to_hubs(members: DataFrame) -> DataFrame:
-    """(hub, hub_degree, point, degree, c, possible): each point with the most central point of each of its regions.
-
-    c: points of the largest region that the two share.
-    """
+def to_hubs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The most central point of each region and each other one: (hub, hub_degree, point, degree, possible), each pair once,
+    and (region, hub, point, n, degree, c) of regions with more than one other point."""
     hubs = members.groupBy("region").agg(F.max(F.struct("degree", "point", "n")).alias("hub"))
-    paired = members.join(hubs, "region").where("point <> hub.point")
-    return (
-        paired.select(F.col("hub.point").alias("hub"), F.col("hub.degree").alias("hub_degree"), F.col("hub.n").alias("hub_n"), "point", "degree", "n", "c")
-        .groupBy("hub", "hub_degree", "hub_n", "point", "degree", "n")
-        .agg(F.max("c").alias("c"))
+    paired = stored(members.join(hubs, "region").where("point <> hub.point"), "to-hubs")
+    pairs = (
+        paired.select(F.col("hub.point").alias("hub"), F.col("hub.degree").alias("hub_degree"), F.col("hub.n").alias("hub_n"), "point", "degree", "n")
+        .distinct()
         .withColumn("possible", _possible("n", "degree", "hub_n", "hub_degree"))
         .drop("hub_n", "n")
     )
+    # a region of two is settled by its pair
+    return pairs, paired.where("c > 2").select("region", F.col("hub.point").alias("hub"), "point", "n", "degree", "c")
+
+
+def _may_link(n: np.ndarray, degree: np.ndarray, other_n: np.ndarray, other_degree: np.ndarray) -> np.ndarray:
+    """`_possible` of arrays."""
+    both, larger = n + other_n, np.maximum(n, other_n)
+    most = np.minimum(degree, other_degree) + (larger * (PARTS - 1) + PARTS - 1) // PARTS - 1
+    return ((2 * PARTS - 1) * abs(n - other_n) <= both) & ((2 * PARTS - 1) * most >= (PARTS - 1) * both)
+
+
+def _partnered(group: np.ndarray, side: np.ndarray, point: np.ndarray, n: np.ndarray, degree: np.ndarray) -> np.ndarray:
+    """Whether each row may link with another one of its group, by `_may_link`. Rows of side 0 meet all, those of 1 and 2 one another."""
+    order = np.lexsort((n, group))
+    group, side, point, n, degree = (x[order] for x in (group, side, point, n, degree))
+
+    def meet(x, y) -> np.ndarray:
+        return ((side[x] == 0) | (side[x] != side[y])) & (point[x] != point[y]) & _may_link(n[x], degree[x], n[y], degree[y])
+
+    found, rows = np.zeros(len(n), bool), np.arange(len(n))
+    for k in range(1, min(NEAREST, len(n) - 1) + 1):
+        at = np.flatnonzero(group[k:] == group[:-k])
+        at = at[meet(rows[at], rows[at + k])]
+        found[at] = found[at + k] = True
+    starts = np.flatnonzero(np.diff(group, prepend=group[:1] - 1))
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(n)], strict=False):  # no row, no start
+        if b - a > NEAREST + 1 and not found[a:b].all():
+            alone = a + np.flatnonzero(~found[a:b])
+            for some in np.array_split(alone, 1 + len(alone) * (b - a) // LEAF):
+                found[some] = meet(some[:, None], rows[None, a:b]).any(axis=1)
+    out = np.empty(len(n), bool)
+    out[order] = found
+    return out
+
+
+def with_partners(paired: DataFrame) -> DataFrame:
+    """(hub, point, degree), each once: points that may link with another one of their region by sizes and shared keys.
+
+    A large region is a grid of groups, dealt by hash; in a group every point of one side meets every one of the other.
+    """
+    sides = F.ceil(F.col("c") / SIDE).cast("int")
+    every, drawn = F.explode(F.sequence(F.lit(0), sides - 1)), F.pmod(F.xxhash64("point"), sides).cast("int")
+    columns = ["region", "hub", "point", "n", "degree"]
+    large = paired.where(sides > 1)
+    dealt = (
+        paired.where(sides == 1)
+        .select(*columns, F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))
+        .union(large.select(*columns, drawn.alias("i"), every.alias("j"), F.lit(1).alias("side")))
+        .union(large.select(*columns, every.alias("i"), drawn.alias("j"), F.lit(2).alias("side")))
+    )
+
+    def of(rows: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+        keys = [rows.column(c).to_numpy() for c in ("region", "i", "j")]
+        return np.cumsum(np.any([np.diff(k, prepend=k[:1]) != 0 for k in keys], axis=0)), [rows.column(c).to_numpy() for c in ("side", "point", "n", "degree")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            group, values = of(rows)
+            done = int(np.searchsorted(group, group[-1])) if len(group) else 0  # the last group may go on in the next batch
+            held = rows.slice(done)
+            if done:
+                there = _partnered(group[:done], *(v[:done] for v in values))
+                yield from rows.slice(0, done).filter(pa.array(there)).select(["hub", "point", "degree"]).to_batches()
+        if held is not None and held.num_rows:
+            group, values = of(held)
+            yield from held.filter(pa.array(_partnered(group, *values))).select(["hub", "point", "degree"]).to_batches()
+
+    keys = ["region", "i", "j"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "hub long, point long, degree long").distinct()
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -579,21 +696,21 @@ def unsettled(members: DataFrame, hubs: DataFrame) -> DataFrame | None:
 def linked_points(spark: SparkSession, docs: DataFrame, id_column: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, point) of every row, and (u, v): links that connect all points that links connect."""
     codes = spark.sparkContext.broadcast(rarity(docs, text))
-    shared = spark.sparkContext.broadcast(shared_keys(docs, text, codes))
-    points = stored(signatures(docs, id_column, text, codes, shared), "signatures")
+    signed = stored(signatures(docs, id_column, text, codes), "signatures")
     codes.destroy()
-    shared.destroy()
-    ids, members = first_regions(spark, points)
-    pairs = stored(to_hubs(members), "to-hubs")
-    # a region of two is settled by its pair
-    needed = pairs.where("possible or c > 2").select("point").union(pairs.where("possible").select("hub")).distinct()
+    ids, members = first_regions(spark, distinct_sets(spark, signed))
+    points = stored(signed.select("doc_id", "n", "point"), "points")
+    drop_stored(signed)
+    pairs, paired = to_hubs(members)
+    pairs, meeting = stored(pairs, "to-hubs"), stored(with_partners(paired), "meeting")
+    needed = meeting.select("point").union(pairs.where("possible").select(F.explode(F.array("point", "hub")))).distinct()
     texts = point_texts(docs, id_column, text, stored(needed.join(ids, "point"), "wanted"))
     ordered = pairs.select(F.least("hub", "point").alias("a"), F.greatest("hub", "point").alias("b"), "hub", "hub_degree", "point", "possible")
     found = distances(_near(ordered.where("possible").select("a", "b").distinct(), texts), texts)
     links = found.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     groups = ordered.join(found.where("linked").select("a", "b"), ["a", "b"]).groupBy(F.col("point").alias("u"))
     hubs = stored(groups.agg(F.max(F.struct("hub_degree", "hub")).alias("top")).select("u", F.col("top.hub").alias("v")), "hubs")
-    rest = pairs.where("c > 2").select(F.col("hub").alias("region"), "point", F.lit(True).alias("open"), "degree")
+    rest = meeting.select(F.col("hub").alias("region"), "point", F.lit(True).alias("open"), "degree")
     members, level = unsettled(rest, hubs), 1
     while members is not None:
         level += 1

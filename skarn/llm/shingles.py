@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -50,24 +52,34 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_sets(texts: pa.Array, size: int = 5) -> list[np.ndarray]:
     """The distinct shingles of each text, ascending. A text of fewer words is one shingle; one without words has none."""
-    words, bounds = word_hashes(texts)
+    return [own for own, _ in sets_of_words(*word_hashes(texts), size)]
+
+
+def sets_of_words(words: np.ndarray, bounds: np.ndarray, size: int = 5, weights: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """`shingle_sets` of hashed words, each shingle with the sum of its words' weights if there is one for each word."""
     factors = mix(np.arange(101, 101 + size, dtype=U) * BASE) | U(1)
     n = len(words)
-    rolled = np.zeros(max(0, n - size + 1), U)
+    rolled, sums = np.zeros(max(0, n - size + 1), U), np.zeros(max(0, n - size + 1), np.uint16)
     for k in range(size):
         rolled += words[k : n - size + 1 + k] * factors[k] if n >= size else 0
+        if weights is not None and n >= size:
+            sums += weights[k : n - size + 1 + k]
     rolled = mix(rolled)
-    out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if b - a >= size:
-            own = np.sort(rolled[a : b - size + 1])
-            out.append(own[np.concatenate(([True], own[1:] != own[:-1]))])
+            own, weight = rolled[a : b - size + 1], None
+            if weights is None:
+                own = np.sort(own)
+            else:
+                order = np.argsort(own)
+                own, weight = own[order], sums[a : b - size + 1][order]
+            first = np.concatenate(([True], own[1:] != own[:-1]))
+            yield own[first], None if weights is None else weight[first]
         elif b > a:
             own = (words[a:b] * factors[: b - a]).sum(dtype=U) + U(b - a)
-            out.append(mix(np.array([own], U)))
+            yield mix(np.array([own], U)), None if weights is None else weights[a:b].sum(dtype=np.uint16, keepdims=True)
         else:
-            out.append(np.empty(0, U))
-    return out
+            yield np.empty(0, U), None if weights is None else np.empty(0, np.uint16)
 
 
 def parity(shingles: np.ndarray) -> bytes:

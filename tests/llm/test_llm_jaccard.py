@@ -220,3 +220,70 @@ def test_keys_of_two_sets_are_in_the_filter():
         bits[block * size : (block + 1) * size] = np.frombuffer(zlib.decompress(packed), np.uint8)
     assert jaccard._has(bits, both).all()
     assert jaccard._has(bits, alone).mean() < 0.01
+
+
+def test_texts_that_quote_one_passage_do_not_move(spark, monkeypatch):
+    """A region of many texts that sizes and shared keys keep apart asks for no text, however many they are."""
+    seen, real = [], jaccard.point_texts
+
+    def counted(docs, id_column, text, wanted):
+        seen.append(wanted.count())
+        return real(docs, id_column, text, wanted)
+
+    monkeypatch.setattr(jaccard, "point_texts", counted)
+    passage = " ".join(f"p{j}" for j in range(60))
+    rows = [(k, f"{passage} " + " ".join(f"d{k}w{j}" for j in range(9))) for k in range(30)]
+    assert ours(spark, rows) == brute(rows)
+    assert seen == [0]
+
+
+def test_frequent_words_that_meet_by_chance_make_no_key():
+    """A sketch as full as that of a large input cannot tell such shingles from others; the counts of their words can."""
+    import numpy as np
+    import pyarrow as pa
+
+    from skarn.llm.shingles import sets_of_words, shingle_sets, word_hashes
+
+    rng = random.Random(5)
+    texts = pa.array([" ".join([f"f{rng.randrange(6)}" for _ in range(60)] + [f"d{k}w{j}" for j in range(60)]) for k in range(200)] + ["f1 f2", "", None])
+    words, bounds = word_hashes(texts)
+    cells = (words >> np.uint64(64 - jaccard.WORDS)).astype(np.int64)
+    weights = (4 * np.log2(np.bincount(cells, minlength=1 << jaccard.WORDS) + 1)).astype(np.uint8)[cells]
+    full = np.zeros(1 << jaccard.CELLS, np.uint8)
+    sets = [*sets_of_words(words, bounds, 5, weights)]
+    assert [s.tolist() for s, _ in sets] == [s.tolist() for s in shingle_sets(texts)]
+    keys = [jaccard._rarest(s, w, full) for s, w in sets]
+    assert [len(k) for k in keys] == [len(s) - -(-len(s) * 4 // 5) + 1 if len(s) else 0 for s, _ in sets]
+    flat = np.concatenate(keys)
+    assert len(np.unique(flat)) == len(flat)
+    alike = np.concatenate([s[: len(k)] for (s, _), k in zip(sets, keys, strict=True)])  # by hash alone they do meet
+    assert len(np.unique(alike)) < len(alike)
+
+
+@pytest.mark.parametrize("nearest", [16, 2])
+def test_points_with_a_partner_are_found(monkeypatch, nearest):
+    """Against all pairs, in groups of all points and in those of two sides."""
+    import numpy as np
+
+    monkeypatch.setattr(jaccard, "NEAREST", nearest)
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        group = np.sort(rng.integers(0, 6, 150))
+        side = np.where(group < 4, 0, rng.integers(1, 3, 150))
+        point, n, degree = rng.integers(0, 120, 150), rng.integers(1, 80, 150), rng.integers(1, 9, 150)
+        got = jaccard._partnered(group, side, point, n, degree)
+        for k in range(150):
+            others = (group == group[k]) & (point != point[k]) & ((side == 0) | (side != side[k]))
+            may = [
+                9 * abs(int(a) - int(n[k])) <= a + n[k] and 9 * (min(d, degree[k]) + -(-4 * max(a, n[k]) // 5) - 1) >= 4 * (a + n[k])
+                for a, d in zip(n[others], degree[others], strict=True)
+            ]
+            assert got[k] == any(may)
+    assert jaccard._partnered(*[np.empty(0, np.int64)] * 5).tolist() == []
+
+
+def test_regions_dealt_to_several_groups_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SIDE", 3)
+    monkeypatch.setattr(jaccard, "NEAREST", 1)
+    rows = corpus(4, 72) + [(1000 + k, t) for k, t in template_variants(3, 2)]
+    assert ours(spark, rows) == brute(rows)
